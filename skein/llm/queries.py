@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import quality_rules
+from skein.llm import mixing, pii, quality_rules
 from skein.llm.common import read
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs).select("doc_id", "n_found", "kinds", "text")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(read(spark, sf_dir, "documents")).drop("_mtext")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op6_quality_rules": op6_quality_rules,
+    "op7_mixing": op7_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": quality_rules.ORACLE,
+    "op7_mixing": mixing.ORACLE,
 }
