@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import mixing, pii, quality_rules
+from skein.llm import mixing, pii, piece_bpe, quality_rules
 from skein.llm.common import read
 
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = piece_bpe.vocabulary(docs, PIECE_MODEL)
+    ids = piece_bpe.encode(docs, model).select("doc_id", "ids")
+    return piece_bpe.decode(ids, model).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs).select("doc_id", "n_found", "kinds", "text")
@@ -24,6 +41,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
