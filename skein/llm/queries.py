@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import mixing, pii, piece_bpe, quality_rules
+from skein.llm import jaccard_join, mixing, pii, piece_bpe, quality_rules
 from skein.llm.common import read
 
 
@@ -32,6 +32,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs).select("doc_id", "n_found", "kinds", "text")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
 }
