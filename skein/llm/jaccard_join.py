@@ -4,12 +4,12 @@ Texts with equal words in equal order are copies; one of them, with the least id
 Each such text gets MinHash values of its five-word shingles, cut into bands whose number and width
 give the target recall at the threshold. Texts that share a band hash must be compared.
 
-They are compared in blocks. A text's block is named by the least text that it shares a band with;
-where a block would hold too many shingles it is dealt into several by hash. Each pair of blocks
-that share a band is one unit of work, and all its pairs are verified on whole shingle sets. A unit
-returns one row per text, with the number of its links and the least text linked to it in the unit,
-so no pair is ever a row, and no link is lost by a limit. Classes are the connected components of
-the links.
+They are compared in blocks. Texts that bands connect form a block; one that would hold too many
+texts or shingles is dealt into several by hash. A block is one unit of work, and so are two blocks
+that have bands in common; a text goes to a unit of two blocks only if it shares a band with a text
+of the other block. All pairs of a unit are verified on whole shingle sets. A unit returns one row
+per text, with the number of its links and the least text linked to it in the unit, so no pair is
+ever a row, and no link is lost by a limit. Classes are the connected components of the links.
 
 Shuffles: band hashes (16 bytes a band), then texts of candidates only, one copy per unit. Group
 sizes are bounded by the block limits; joins have a unique key on one side, so adaptive execution
@@ -35,7 +35,7 @@ from skein.llm.common import cut
 
 THRESHOLD_PERCENT = 80
 TARGET_RECALL = 0.995
-MOST_HASHES = 128
+MOST_HASHES = 240
 BLOCK_SHINGLES = 400_000
 BLOCK_TEXTS = 1024
 SEED = 7
@@ -44,8 +44,8 @@ SEED = 7
 def banding(threshold: float = THRESHOLD_PERCENT / 100, recall: float = TARGET_RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows): the widest bands that reach the recall at the threshold with ``most`` hashes."""
     for rows in range(most, 0, -1):
-        miss = 1 - threshold**rows
-        bands = math.ceil(math.log(1 - recall) / math.log(miss)) if miss > 0 else 1
+        match = threshold**rows
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-match)) if match < 1 else 1
         if bands * rows <= most:
             return bands, rows
     raise ValueError("no banding of so few hashes reaches the recall")
@@ -55,13 +55,16 @@ def _band_hashes(shingles: np.ndarray, counts: np.ndarray, bands: int, rows: int
     """A hash per text and band; texts have a shingle at least."""
     rng = np.random.default_rng(SEED)
     starts = np.cumsum(counts) - counts
+    low_bits = shingles.astype(np.uint32)
+    value = np.empty_like(low_bits)
     out = np.zeros((len(counts), bands), np.uint64)
     for b in range(bands):
         total = np.full(len(counts), b + 1, np.uint64)
         for _ in range(rows):
-            a, c = rng.integers(1, 2**63, 2, dtype=np.uint64)
-            low = np.minimum.reduceat((shingles * (a | np.uint64(1)) + c) >> np.uint64(32), starts)
-            total = text_arrays.mix(total * np.uint64(0x9E3779B97F4A7C15) + low)
+            a, c = rng.integers(0, 2**32, 2, dtype=np.uint32)
+            np.multiply(low_bits, a | np.uint32(1), out=value)
+            np.add(value, c, out=value)
+            total = text_arrays.mix(total * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(value, starts))
         out[:, b] = total
     return out
 
@@ -234,19 +237,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     banded = texts.select("rep", "n", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("members")).where("members > 1")
     members = cut(banded.join(least, "band").select("band", "rep", "n", "least"))
-    named = members.groupBy("rep").agg(F.min("least").alias("name"), F.first("n").alias("n"))
-    loads = named.groupBy("name").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).alias("parts"))
-    blocks = cut(named.join(loads, "name").select("rep", F.xxhash64("name", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")))
+    named = components(members.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep")
+    named = named.join(texts.select("rep", "n", "size"), "rep")
+    loads = named.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).alias("parts"))
+    blocks = named.join(loads, "root").select("rep", "size", "parts", F.xxhash64("root", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+    blocks = cut(blocks)
     # Units: each block with itself, and each two blocks that a band has in common.
-    seen = members.select("band", "rep").join(blocks, "rep").select("band", "block").distinct()
-    wide = seen.groupBy("band").agg(F.count("*").alias("in_band")).where("in_band > 1").select("band")
-    seen = seen.join(wide, "band")
-    other = seen.select("band", F.col("block").alias("block2"))
-    across = seen.join(other, "band").where("block < block2").select("block", "block2").distinct()
-    unit = F.xxhash64("block", "block2").alias("unit")
-    alone = blocks.select("block").distinct().select("block", F.xxhash64("block").alias("unit"), F.lit(0).alias("side"))
-    both = across.select("block", unit, F.lit(1).alias("side")).union(across.select(F.col("block2"), unit, F.lit(2).alias("side")))
-    shipped = blocks.join(alone.union(both), "block").join(texts.select("rep", "size"), "rep").select("rep", "unit", "side", "size")
+    wide = members.select("band", "rep").join(blocks.where("parts > 1"), "rep").select("band", "rep", "size", "block")
+    other = wide.select("band", F.col("block").alias("block2")).distinct()
+    across = wide.join(other, "band").where("block != block2").select("rep", "size", "block", "block2").distinct()
+    unit = F.xxhash64(F.least("block", "block2"), F.greatest("block", "block2")).alias("unit")
+    both = across.select("rep", "size", unit, F.when(F.col("block") < F.col("block2"), 1).otherwise(2).alias("side"))
+    shipped = both.union(blocks.select("rep", "size", F.xxhash64("block"), F.lit(0)))
     bodies = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
     # A repeated id must not repeat in a unit; the signature tells the text that stands for its copies.
     held = bodies.join(shipped, "rep").repartition("unit").sortWithinPartitions("unit", "rep").dropDuplicates(["unit", "rep"]).sortWithinPartitions("unit", "rep")
