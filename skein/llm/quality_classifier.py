@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from skein.llm import text_arrays
 from skein.llm.common import WORD, let
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 2000
 ROUNDS = 60
-STEPS = 150
+STEPS = 100
 TRIGRAM_BITS = 16
 WORD_BITS = 18
 KEEP_AT = 0.5
