@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 LONG_WORD = 256
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
