@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,10 +144,20 @@ def message_tokens(text: Column) -> Column:
     return (F.length(F.coalesce(text, F.lit(""))) / 3).cast("long") + 4
 
 
-def like_glob(pattern: Column) -> Column:
+def glob_regex(pattern: str) -> str:
     """A shell pattern as a regular expression over the whole string; ``*`` matches slashes too."""
-    quoted = F.regexp_replace(pattern, r"([.+^$(){}|\\])", r"\\$1")
-    return F.concat(F.lit("^(?s:"), F.replace(F.replace(F.replace(quoted, F.lit("[!"), F.lit("[^")), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit(")$"))
+    out, i = "", 0
+    while i < len(pattern):
+        char = pattern[i]
+        end = pattern.find("]", i + 2 + pattern[i + 1 : i + 2].count("!")) if char == "[" else -1
+        if char == "[" and end > 0:
+            inside = pattern[i + 1 : end].replace("\\", r"\\").replace("[", r"\[").replace("&&", r"&\&")
+            out += f"[^{inside[1:]}]" if inside.startswith("!") else f"[{inside}]"
+            i = end
+        else:
+            out += {"*": ".*", "?": "."}.get(char) or re.escape(char)
+        i += 1
+    return f"^(?s:{out})$"
 
 
 def fenced_json(reply: Column) -> Column:

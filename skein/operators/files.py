@@ -10,13 +10,13 @@ from skein.functions import text as tx
 
 def find(files: DataFrame, pattern: str, limit: int | None = 100) -> DataFrame:
     """(path) that match a shell pattern, sorted; ``*`` crosses folders. The limit is the report's length."""
-    found = files.where(F.col("path").rlike(tx.like_glob(F.lit(pattern)))).select("path").orderBy("path")
+    found = files.where(F.col("path").rlike(tx.glob_regex(pattern))).select("path").orderBy("path")
     return found.limit(limit) if limit else found
 
 
 def grep(files: DataFrame, pattern: str, include: str | None = None, limit: int | None = 50) -> DataFrame:
     """(path, line, text) of lines with a match, in order; the limit is the report's length."""
-    rows = files if include is None else files.where(F.col("path").rlike(tx.like_glob(F.lit(include))) | F.substring_index("path", "/", -1).rlike(tx.like_glob(F.lit(include))))
+    rows = files if include is None else files.where(F.col("path").rlike(tx.glob_regex(include)) | F.substring_index("path", "/", -1).rlike(tx.glob_regex(include)))
     lines = rows.select("path", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line", "text")).where(F.col("text").rlike(pattern))
     found = lines.select("path", (F.col("line") + 1).alias("line"), F.left(tx.strip(F.col("text")), F.lit(200)).alias("text")).orderBy("path", "line")
     return found.limit(limit) if limit else found

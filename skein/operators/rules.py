@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -39,14 +38,10 @@ def decide(rules: list[Rule], tool: Column, pattern: Column) -> Column:
     """
     out = F.lit("ask")
     for rule in rules:
-        out = F.when(tool.rlike(_regex(rule.tool)) & pattern.rlike(_regex(rule.pattern)), rule.action).otherwise(out)
+        out = F.when(tool.rlike(tx.glob_regex(rule.tool)) & pattern.rlike(tx.glob_regex(rule.pattern)), rule.action).otherwise(out)
     return out
 
 
-def _regex(glob: str) -> str:
-    return fnmatch.translate(glob).replace(r"\z", r"\Z").replace(r"\Z", "$") if glob != "*" else "(?s).*"
-
-
 def segments(command: Column) -> Column:
     """The commands of a shell line."""
     return F.filter(F.transform(F.split(command, SHELL_PARTS), tx.strip), lambda s: s != "")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from skein.plans import graph_queries, retrieval_queries, trace_queries
+from skein.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_CATALOGS = (retrieval_queries.catalog, graph_queries.catalog, trace_queries.catalog)
+QUERIES: dict[str, Query] = {name: query for c in _CATALOGS for name, query in c.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for c in _CATALOGS for name, sql in c.sql.items()}
