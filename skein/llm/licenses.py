@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import text_arrays
+from skein.llm.sampling import first_by_hash
 
 NEGATIVES = 200
 NEGATIVE_PARAGRAPHS = 1500
@@ -275,7 +276,7 @@ def _text_trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sample_negatives(docs: DataFrame, text: str = "text") -> list[str]:
     """At most NEGATIVES texts, by hash."""
-    rows = docs.select(F.col(text).alias("text")).where("text is not null").withColumn("_lplace", F.xxhash64("text")).orderBy("_lplace", "text").limit(NEGATIVES)
+    rows = first_by_hash(docs.select(F.col(text).alias("text")).where("text is not null"), NEGATIVES, "text")
     return [r["text"] for r in rows.collect()]
 
 
