@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import text_arrays
 from skein.llm.common import WORD, let
+from skein.llm.sampling import first_by_hash
 
 TRAIN_DOCS = 2000
 ROUNDS = 60
@@ -114,7 +115,11 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Feature indices of all texts, and the number of them per text."""
     raw, at = text_arrays.raw_bytes(texts)
     padded = np.concatenate([raw, np.zeros(2, np.uint8)]).astype(np.uint32)
-    code = padded[:-2] | (padded[1:-1] << 8) | (padded[2:] << 16)
+    second, third = padded[1:-1].copy(), padded[2:].copy()
+    ends = at[1:][np.diff(at) > 0]
+    second[ends - 1], third[ends - 1] = 0, 0  # no trigram goes on in the next text
+    third[np.maximum(ends - 2, 0)] = 0
+    code = padded[:-2] | (second << 8) | (third << 16)
     trigram = ((code * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAM_BITS)).astype(np.int64)
     words, counts = text_arrays.word_hashes(texts, lower=False)
     word = (words >> np.uint64(64 - WORD_BITS)).astype(np.int64) + (1 << TRIGRAM_BITS)
@@ -165,14 +170,17 @@ def train(texts: list[str], target: np.ndarray, steps: int = STEPS) -> tuple[np.
     return weights, float(bias)
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_at: float = KEEP_AT, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, weak_label (posterior of the votes), score and keep (score of ``keep_at`` or more)."""
+def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_at: float = KEEP_AT, train_docs: int = TRAIN_DOCS, weak_labels: bool = False) -> DataFrame:
+    """doc_id, score and keep (score of ``keep_at`` or more), and if so asked ``weak_label``.
+
+    The weak label is the posterior of the document's votes; it costs to vote again.
+    """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = [f"_v_{x}" for x in LABELLERS]
     counted = vote_table(slim.select("text")).groupBy(*names).count().collect()  # 3^7 rows at most
     table = np.array([[r[c] for c in names] for r in counted], np.int64).reshape(-1, len(names))
     labels = expectation_maximisation(table, np.array([r["count"] for r in counted], float)) if counted else LabelModel(0.5, np.full((len(names), 2, 3), 1 / 3))
-    first = slim.where(F.col("text").rlike(WORD)).select("doc_id", "text", F.xxhash64("doc_id").alias("_vplace")).orderBy("_vplace", "doc_id", "text").limit(train_docs)
+    first = first_by_hash(slim.where(F.col("text").rlike(WORD)), train_docs, "doc_id", "text")
     sample = vote_table(first.select("text")).collect()
     target = labels.posterior(np.array([[r[c] for c in names] for r in sample], np.int64)) if sample else np.zeros(0)
     weights, bias = train([r["text"] for r in sample], target)
@@ -186,15 +194,19 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_a
                 odds = 1 / (1 + np.exp(-np.clip(_sums(w, index, sizes) + b, -40, 40)))
                 _, words = text_arrays.word_hashes(part.column("text"))
                 odds[words == 0] = 0.0
-                rest = [part.column(c) for c in ("doc_id", *names)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(odds)], names=["doc_id", *names, "score"])
-
-    voted = vote_table(slim)
-    scored = voted.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} int' for c in names)}, score double")
+                passed = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(odds)], names=[*passed, "score"])
+
+    voted = vote_table(slim) if weak_labels else slim
+    passed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in voted.schema.fields if f.name != "text")
+    scored = voted.mapInArrow(run, f"{passed}, score double")
+    keep = (F.col("score") >= keep_at).alias("keep")
+    if not weak_labels:
+        return scored.select("doc_id", "score", keep)
     gap = F.lit(float(np.log(labels.prior) - np.log(1 - labels.prior)))
     logs = np.log(labels.rates)
     for j, name in enumerate(names):
         steps = (logs[j, 1] - logs[j, 0]).tolist()
         gap = gap + F.when(F.col(name) == BAD, steps[0]).when(F.col(name) == GOOD, steps[1]).otherwise(steps[2])
     weak = F.when(F.col("score") == 0, 0.0).otherwise(1 / (1 + F.exp(-gap)))
-    return scored.select("doc_id", weak.alias("weak_label"), "score", (F.col("score") >= keep_at).alias("keep"))
+    return scored.select("doc_id", "score", keep, weak.alias("weak_label"))
