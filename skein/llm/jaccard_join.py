@@ -205,18 +205,26 @@ def _distinct_sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.bincount(np.concatenate(owners), minlength=rows)
 
 
+def _roots_of(parents: DataFrame) -> DataFrame:
+    """(node, parent) with each parent replaced by the root of its chain, by doubling."""
+    while True:
+        above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        jumped = cut(parents.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
+        parents = jumped.select("node", "parent")
+        if jumped.where("moved").isEmpty():
+            return parents
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes with an edge (a, b); the root is the least node of a component.
 
-    Every node takes its least neighbour below it as its parent; parents are then put in the place
-    of nodes, which leaves far fewer edges, until none is left.
+    Every node takes its least neighbour below it as its parent, and the roots of these trees are
+    put in the place of their nodes, which leaves far fewer edges, until none is left.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
     while not edges.isEmpty():
-        first = edges.groupBy("a").agg(F.min("b").alias("p"))
-        again = first.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        parents = cut(first.join(again, "p", "left").select(F.col("a").alias("node"), F.coalesce("pp", "p").alias("parent")))
+        parents = _roots_of(edges.groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "node"))
         labels = cut(labels.join(parents.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("parent", "root").alias("root")))
         ends = edges.join(parents.withColumnRenamed("node", "a"), "a").select(F.col("parent").alias("a"), "b")
         ends = ends.join(parents.select(F.col("node").alias("b"), F.col("parent").alias("q")), "b", "left").select("a", F.coalesce("q", "b").alias("b"))
