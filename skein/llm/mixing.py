@@ -115,11 +115,11 @@ def select(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, budget
 def mix(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The drawn documents with all their columns, each as often as it has epochs."""
     drawn = select(docs, weights, budget_percent, max_epochs).select(
-        F.col("doc_id").alias("_mid"), F.col("lang").alias("_mlang"), F.col("source").alias("_msource"), F.col("_mtext").alias("_mhash"), "n_copies"
+        F.col("doc_id").alias("_mid"), F.col("lang").alias("_mlang"), F.col("source").alias("_msource"), F.col("_mtext").alias("_mhash"), F.col("n_copies").alias("_mcopies")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_mid")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("_mhash"))
     same &= (F.coalesce("lang", F.lit("")) == F.col("_mlang")) & (F.coalesce("source", F.lit("")) == F.col("_msource"))
-    again = docs.join(drawn, same).withColumn("_mcopy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
+    again = docs.join(drawn, same).withColumn("_mcopy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mcopies"))))
     return again.select(*docs.columns)
 
 
