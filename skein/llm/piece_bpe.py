@@ -343,20 +343,26 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     keep[at[begins[strip]]] = False
     body = raw[keep]
     offsets[1:] -= np.cumsum(strip)
+    # Between byte pieces a control id parts what would else be one character.
+    inner = v.kind[ids] == CONTROL
+    inner[begins[counts > 0]] = inner[ends[counts > 0] - 1] = False
+    odd = set(np.searchsorted(ends, np.flatnonzero(inner), side="right").tolist())
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
     try:
         body.tobytes().decode()
-        broken = ()
+        if not odd:
+            return out.cast(pa.large_string())
     except UnicodeDecodeError:
-        broken = range(len(counts))
-    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
-    if not broken:
-        return out.cast(pa.large_string())
+        pass
     texts = out.to_pylist()
-    for k in broken:
+    for k, raw_text in enumerate(texts):
         try:
-            texts[k].decode()
+            if k not in odd:
+                raw_text.decode()
+                continue
         except UnicodeDecodeError:
-            texts[k] = _decode_with_errors(v, ids[begins[k] : ends[k]].tolist())
+            pass
+        texts[k] = _decode_with_errors(v, ids[begins[k] : ends[k]].tolist())
     return pa.array([t.decode() for t in texts], pa.large_string())
 
 
