@@ -134,7 +134,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """The documents that are kept, without their frequent lines; columns as they came."""
-    packed = docs.select(F.struct(*docs.columns).alias("_qrow"), F.col(doc_id).alias("_qdoc"), F.col(text).alias("_qbody"), F.col(host).alias("_qsource"))
+    rest_of = [c for c in docs.columns if c != text]
+    packed = docs.select(F.struct(*rest_of).alias("_qrow"), F.col(doc_id).alias("_qdoc"), F.col(text).alias("_qbody"), F.col(host).alias("_qsource"))
     rows = base_measures(packed.withColumn("_qhash", F.xxhash64(_text("_qbody"))), "_qbody").where(~F.col("base_failed"))
     out = _joined(rows, _marked(docs, doc_id, text, host, min_docs, max_share), "_qdoc", "_qsource").where(_verdict(min_kept_share))
     dropped = lambda line: F.coalesce(F.array_contains(F.col("_qkeys"), line_key(line)), F.lit(False))
