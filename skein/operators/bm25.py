@@ -7,8 +7,8 @@ count once and only matches are returned. Lists are ordered by score (rounded to
 by id, so that they do not depend on the plan.
 
 Only words that some query has leave the scan: passages are exploded against the distinct query
-words before anything is shuffled, term frequencies are summed on the map side, and lengths need no
-explosion. ``index`` builds the whole inverted index for a corpus that is searched again and again.
+words before anything is shuffled, term frequencies are summed on the map side, and a posting carries
+its passage's length, so that no join by passage is needed. ``index`` builds the whole inverted index for a corpus that is searched again and again.
 """
 
 from __future__ import annotations
@@ -42,22 +42,20 @@ FULL_TEXT = Profile(1.2, 0.75, False, False)
 
 @dataclass
 class Index:
-    """Postings (term, id, tf), lengths (id, length) and one row of totals (n, average)."""
+    """Postings (term, id, tf, length of the passage) and one row of totals (n, average)."""
 
     postings: DataFrame
-    lengths: DataFrame
     totals: DataFrame
 
 
 def _index(passages: DataFrame, profile: Profile, only: DataFrame | None) -> Index:
     """``passages`` has id and text; ``only`` has the terms that are needed."""
     words = passages.select("id", profile.tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    lengths = words.select("id", F.size("words").alias("length"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    terms = words.select("id", F.explode("words").alias("term"))
+    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average"))
+    terms = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
     if only is not None:
         terms = terms.join(only, "term")
-    return Index(terms.groupBy("term", "id").agg(F.count("*").alias("tf")), lengths, totals)
+    return Index(terms.groupBy("term", "id", "length").agg(F.count("*").alias("tf")), totals)
 
 
 def index(passages: DataFrame, profile: Profile = OKAPI) -> Index:
@@ -77,7 +75,7 @@ def scores(queries: DataFrame, built: Index, profile: Profile) -> DataFrame:
     document_counts = built.postings.groupBy("term").agg(F.count("*").alias("with_word"))
     weighted = terms.join(document_counts, "term").crossJoin(built.totals)
     weighted = weighted.select("qid", "term", "times", "average", profile.idf(F.col("n"), F.col("with_word")).alias("idf"))
-    hits = built.postings.join(weighted, "term").join(built.lengths, "id")
+    hits = built.postings.join(weighted, "term")
     norm = profile.k1 * (1 - profile.b + profile.b * F.col("length") / F.col("average"))
     gain = F.col("times") * F.col("idf") * F.col("tf") * (profile.k1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("qid", "id").agg(F.round(F.sum(gain), 6).alias("score"))

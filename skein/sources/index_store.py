@@ -26,7 +26,6 @@ def save(passages: DataFrame, folder: str, embedder: str) -> None:
     stored = passages.sparkSession.read.parquet(f"{folder}/passages")
     built = bm25.index(stored.select("id", "text"))
     built.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
-    built.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
     entity_graph.edges(stored.select("id", "text")).write.mode("overwrite").parquet(f"{folder}/graph")
     totals = built.totals.withColumn("embedder", F.lit(embedder))
     totals.write.mode("overwrite").parquet(f"{folder}/meta")
@@ -39,7 +38,7 @@ def load(spark: SparkSession, folder: str, embedder: str) -> Stored:
     if made_by != embedder:
         raise ValueError(f"the index was made with {made_by}, not {embedder}")
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    return Stored(read("passages"), bm25.Index(read("postings"), read("lengths"), meta.select("n", "average")), read("graph"))
+    return Stored(read("passages"), bm25.Index(read("postings"), meta.select("n", "average")), read("graph"))
 
 
 def sizes(spark: SparkSession, folder: str) -> DataFrame:

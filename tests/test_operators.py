@@ -273,7 +273,7 @@ def test_stores(spark, tmp_path):
     query = spark.createDataFrame([(1, "carbon tax per tonne")], "qid long, text string")
     fresh = bm25.search(query, passages.select("id", "text"), 3).collect()
     assert bm25.search(query, stored.passages.select("id", "text"), 3, built=stored.words).collect() == fresh
-    assert index_store.sizes(spark, str(tmp_path / "index")).count() == 5
+    assert index_store.sizes(spark, str(tmp_path / "index")).count() == 4
     with pytest.raises(ValueError):
         index_store.load(spark, str(tmp_path / "index"), "other")
     path = str(tmp_path / "sessions")
