@@ -8,9 +8,9 @@ kernel ``K_mm`` and the kernel ``K_nm`` between sample and landmarks, the coeffi
 with all landmarks are its 0/1 presence row times the landmarks' presence matrix; presence rows are
 stacked and scored by matrix products, a batch at a time.
 
-Fitting is bounded and documented: at most PER_LANGUAGE texts of each language and MOST_TEXTS in
-all, taken by hash of their id, of which at most LANDMARKS are landmarks. Spark picks them with a
-per-partition limit before it shuffles. Prediction covers all texts, whole, and shuffles nothing;
+Fitting is bounded and documented: at most PER_LANGUAGE texts of each of MOST_LANGUAGES languages and
+MOST_TEXTS in all, taken by hash of their id, of which at most LANDMARKS are landmarks. Languages are counted first, so that
+little more than the sample is shuffled. Prediction covers all texts, whole, and shuffles nothing;
 the broadcast model has a size bounded by these parameters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
@@ -31,9 +31,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import text_arrays
+from skein.llm.sampling import SPAN, place
 
 PER_LANGUAGE = 400
 MOST_TEXTS = 8000
+MOST_LANGUAGES = 1000
 LANDMARKS = 256
 RIDGE = 1e-3
 LETTERS = 62
@@ -167,12 +169,15 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from the documents that are not held out."""
     known = docs.where(~is_held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = known.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    ids = sample.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LANGUAGE)
-    ids = ids.orderBy("place", "lang").limit(MOST_TEXTS)
-    rows = sample.join(F.broadcast(ids.select("doc_id", "lang", "place")), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).orderBy("place", "lang").collect()
-    return fit_rows([r.text for r in rows], [r.lang for r in rows])
+    counts = sample.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES)
+    below = counts.select("lang", (F.least(F.lit(1.0), (2 * PER_LANGUAGE + 100) / F.col("_n")) * SPAN).cast("long").alias("_below"))
+    # A row per language, at most MOST_LANGUAGES, is broadcast; of the texts about twice as many as
+    # are wanted leave their tasks, so no task meets a whole language.
+    few = sample.withColumn("_place", place("doc_id")).join(F.broadcast(below), "lang").where(F.col("_place") < F.col("_below"))
+    order = Window.partitionBy("lang").orderBy("_place", "doc_id", "text")
+    rows = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANGUAGE).orderBy("rank", "lang").limit(MOST_TEXTS).collect()
+    return fit_rows([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
