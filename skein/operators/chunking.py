@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
+from skein.plans.lineage import cut
 
 WORDS, OVERLAP = 260, 40
 SECTION_WORDS = 200
@@ -35,10 +36,11 @@ def windows(pages: DataFrame, keys: list[str], text: str = "text", words: int =
 def numbered(chunks: DataFrame, order: list[str]) -> DataFrame:
     """``chunks`` with dense ids from 0 in the given order.
 
-    Rows are sorted by range; each range's offset is the number of rows before it, so that no task
-    sees more than one range.
+    Rows are dealt into ranges, once, and kept in the checkpoint folder, since another sampling could
+    deal them otherwise. A range's offset is the number of rows before it, so that no task sees more
+    than one range.
     """
-    ordered = chunks.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
+    ordered = cut(chunks.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     ordered = ordered.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

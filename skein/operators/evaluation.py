@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
+from skein.operators.chunking import numbered
 
 
 def score(hits: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,24 +37,25 @@ def summary(scores: DataFrame, by: str) -> DataFrame:
 def latency(calls: DataFrame, by: str, value: str) -> DataFrame:
     """Calls, mean, upper median, 95th percentile by index, and the half width of the mean's 95 % interval.
 
-    Positions are found by numbering rows, not by collecting a group's values.
+    Rows are numbered over all groups in ranges, so a large group is not gathered; a group's positions
+    count from its first row.
     """
-    order = Window.partitionBy(by).orderBy(value)
-    rows = calls.where(F.col(value).isNotNull()).select(by, F.col(value).alias("x"), F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    at = lambda place: F.max(F.when(F.col("place") == place, F.col("x")))
-    middle, late = F.floor(F.col("n") / 2) + 1, F.floor(0.95 * (F.col("n") - 1)) + 1
-    return rows.groupBy(by).agg(
-        F.count("*").alias("calls"), F.round(F.avg("x"), 6).alias("mean"), at(middle).alias("median"), at(late).alias("p95"),
-        F.round(1.96 * F.stddev_samp("x") / F.sqrt(F.count("*")), 6).alias("ci95"),
-    )
+    rows = numbered(calls.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, F.col(value).alias("x")), [by, "x"])
+    groups = rows.groupBy(by).agg(F.min("id").alias("_first"), F.count("*").alias("calls"), F.round(F.avg("x"), 6).alias("mean"), F.round(1.96 * F.stddev_samp("x") / F.sqrt(F.count("*")), 6).alias("ci95"))
+    at = {"median": F.floor(F.col("calls") / 2), "p95": F.floor(0.95 * (F.col("calls") - 1))}
+    wanted = groups.select(by, *((F.col("_first") + place).alias(name) for name, place in at.items()))
+    found = rows.join(wanted, by).where((F.col("id") == F.col("median")) | (F.col("id") == F.col("p95")))
+    values = found.groupBy(by).agg(*(F.max(F.when(F.col("id") == F.col(name), F.col("x"))).alias(name) for name in at))
+    return groups.join(values, by).select(by, "calls", "mean", "median", "p95", "ci95")
 
 
 def diagnostics(top_scores: DataFrame, thresholds: tuple[float, ...] = (0.72, 0.75)) -> DataFrame:
     """One row: least, upper median and greatest of ``score``, and how many are below each threshold."""
-    order = Window.orderBy("score")
-    rows = top_scores.select("score", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy()).alias("n"))
+    scores = top_scores.where("score is not null").select("score")
     below = [F.count_if(F.col("score") < t).alias(f"below_{round(t * 100)}") for t in thresholds]
-    return rows.agg(F.min("score").alias("least"), F.max(F.when(F.col("place") == F.floor(F.col("n") / 2) + 1, F.col("score"))).alias("median"), F.max("score").alias("greatest"), *below)
+    whole = scores.agg(F.count("*").alias("_n"), F.min("score").alias("least"), F.max("score").alias("greatest"), *below)
+    middle = numbered(scores, ["score"]).join(whole.select("_n"), F.col("id") == F.floor(F.col("_n") / 2)).select(F.col("score").alias("median"))
+    return whole.crossJoin(middle).select("least", "median", "greatest", *(f"below_{round(t * 100)}" for t in thresholds))
 
 
 def character_error_rate(truth: Column, read: Column) -> Column:
