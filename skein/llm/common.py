@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.plans.lineage import cut
+
+__all__ = ["SPACE", "WORD", "cut", "let", "read"]
+
 #: White space and its complement, as the contracts of the quality rules fix them.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,15 +23,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return df.checkpoint(eager=True)
