@@ -90,6 +90,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -
                 ends = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *keys, pa.array(n), lists], names=["doc_id", "k1", "k2", "n", "bands"])
+        text_arrays.give_back()
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     return slim.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
@@ -128,10 +129,10 @@ def _sparse_count(cells: np.ndarray, size: int) -> np.ndarray:
 
 def _roots(links: np.ndarray) -> np.ndarray:
     """The least index in each index's connected component."""
-    label = np.arange(len(links))
+    label = np.arange(len(links), dtype=np.int32)
     linked = links | np.eye(len(links), dtype=bool)
     while True:
-        low = np.where(linked, label[None, :], len(links)).min(axis=1)
+        low = np.where(linked, label[None, :], np.int32(len(links))).min(axis=1)
         low = low[low]
         if (low == label).all():
             return label
@@ -145,9 +146,12 @@ def _verify(rep: np.ndarray, side: np.ndarray, weight: np.ndarray, sets: np.ndar
     n = len(rep)
     owner = np.repeat(back, counts)
     shared = _overlaps(sets, owner, n)
-    sizes, of = counts[order], side[order]
-    # shared / (a + b - shared) >= p / 100, in whole numbers
-    links = (100 + percent) * shared >= percent * (sizes[:, None] + sizes[None, :])
+    # shared / (a + b - shared) >= p / 100, in whole numbers; these are exact in 32 bits below 2^24
+    kind = np.float32 if int(counts.max()) * 2 * (100 + percent) < 1 << 24 else np.float64
+    sizes, of = (percent * counts[order]).astype(kind), side[order]
+    shared = shared.astype(kind, copy=False)
+    shared *= kind(100 + percent)
+    links = shared >= sizes[:, None] + sizes[None, :]
     links &= (of[:, None] != of[None, :]) | (of[:, None] == 0)
     np.fill_diagonal(links, False)
     roots = rep[order][_roots(links)]
@@ -184,6 +188,8 @@ def _units(percent: int):  # noqa: ANN202
                 held.append(part.slice(last))
         if held:
             yield whole(pa.Table.from_batches(held))
+        held.clear()
+        text_arrays.give_back()
 
     return run
 

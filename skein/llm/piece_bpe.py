@@ -33,6 +33,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from skein.llm.text_arrays import give_back
+
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
 SLICE_BYTES = 2 << 20
@@ -410,6 +412,7 @@ def encode(df: DataFrame, model: Broadcast, text: str = "text", out: str = "ids"
                 else:
                     values = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
                 yield _with(part, fields, out, values)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -434,5 +437,6 @@ def decode(df: DataFrame, model: Broadcast, ids: str = "ids", out: str = "decode
                     flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.int64)
                     counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 yield _with(part, fields, out, decode_ids(v, flat, counts).cast(pa.string()))
+        give_back()
 
     return df.mapInArrow(run, schema)
