@@ -61,10 +61,13 @@ def _render(x: Column) -> Column:
 
 def render(conversations: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, rendered of the maximal conversations."""
-    kept = maximal(conversations).select(F.col("conv_id").alias("_kept"))
-    rows = turns(conversations).join(kept, F.col("conv_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # A struct of the id is equal to itself even where the id is null, and one exchange by it serves
+    # the join and the grouping.
+    kept = maximal(conversations).select(F.struct("conv_id").alias("_key"))
+    rows = turns(conversations).withColumn("_key", F.struct("conv_id")).join(kept, "_key", "left_semi")
     rows = rows.withColumn("part", F.greatest(F.floor(F.col("turn") / PART), F.lit(0)).cast("long"))
-    grouped = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("_turns"))
+    grouped = rows.groupBy("_key", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("_turns"))
+    grouped = grouped.select("_key.conv_id", "part", "_turns")
     return grouped.select("conv_id", "part", F.size("_turns").cast("long").alias("n_turns"), F.array_join(F.transform("_turns", _render), "").alias("rendered"))
 
 
