@@ -7,8 +7,8 @@ count once and only matches are returned. Lists are ordered by score (rounded to
 by id, so that they do not depend on the plan.
 
 Only words that some query has leave the scan: passages are exploded against the distinct query
-words before anything is shuffled, term frequencies are summed on the map side, and a posting carries
-its passage's length, so that no join by passage is needed. ``index`` builds the whole inverted index for a corpus that is searched again and again.
+words before anything is shuffled, a posting carries its passage's length, and postings are dealt by
+passage, so that neither a join nor the sum of scores needs a further exchange. ``index`` builds the whole inverted index for a corpus that is searched again and again.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from skein.functions import text as tx
 
 
+#: Query words of a batch up to which they are sent to the postings; beyond it both sides are shuffled.
+BROADCAST_TERMS = 200_000
+
+
 @dataclass(frozen=True)
 class Profile:
     k1: float
@@ -55,7 +59,8 @@ def _index(passages: DataFrame, profile: Profile, only: DataFrame | None) -> Ind
     terms = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
     if only is not None:
         terms = terms.join(only, "term")
-    return Index(terms.groupBy("term", "id", "length").agg(F.count("*").alias("tf")), totals)
+    # By passage alone: then scores are summed where their postings are.
+    return Index(terms.repartition("id").groupBy("term", "id", "length").agg(F.count("*").alias("tf")), totals)
 
 
 def index(passages: DataFrame, profile: Profile = OKAPI) -> Index:
@@ -75,7 +80,8 @@ def scores(queries: DataFrame, built: Index, profile: Profile) -> DataFrame:
     document_counts = built.postings.groupBy("term").agg(F.count("*").alias("with_word"))
     weighted = terms.join(document_counts, "term").crossJoin(built.totals)
     weighted = weighted.select("qid", "term", "times", "average", profile.idf(F.col("n"), F.col("with_word")).alias("idf"))
-    hits = built.postings.join(weighted, "term")
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    hits = built.postings.join(F.broadcast(weighted) if few else weighted, "term")
     norm = profile.k1 * (1 - profile.b + profile.b * F.col("length") / F.col("average"))
     gain = F.col("times") * F.col("idf") * F.col("tf") * (profile.k1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("qid", "id").agg(F.round(F.sum(gain), 6).alias("score"))
