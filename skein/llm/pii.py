@@ -9,8 +9,11 @@ built-in functions run, row by row: nothing is shuffled, so no key or group can
 What is found: e-mail addresses, IPv4 addresses, card numbers (13 to 19 digits, Luhn), IBANs
 (mod 97), US social security numbers (assigned ranges), telephone numbers, calendar dates
 (``yyyy-mm-dd``, ``dd/mm/yyyy``, ``mm/dd/yyyy``, ``dd.mm.yyyy``, from 1800 to 2199) and values that
-are assigned to a name such as ``token`` or ``password``. A candidate that fails its validation
-stays as it is. Addresses keep their top-level domain, telephone numbers their country code and
+are assigned to a name such as ``token`` or ``password``. A text with a candidate that fails its
+validation, or with a card number of unusual grouping, is searched again: candidates of all kinds,
+lengths and places, overlapping ones included, are validated first, and only valid ones are matched,
+numbers with a checksum or a calendar before telephone numbers, and those before card numbers of any
+other grouping. What fails in every reading stays as it is. Addresses keep their top-level domain, telephone numbers their country code and
 IBANs their country. Letters outside ASCII, names of over 24 letters and assigned secrets get a
 keyed digest in place of the permutation, since their alphabets have no fixed size.
 
@@ -40,6 +43,20 @@ PATTERNS = {
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Characters of an IBAN by country, as its registry fixes them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+IBAN = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+#: Usual groupings of card numbers.
+CARD = r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}"
+SSN = r"(?<!\d)(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\d)"
+DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
+NEVER = "(?!)"
+#: Telephone numbers of three, three and four digits.
+LOCAL = PATTERNS["phone"].split(r"|\+")[0]
 #: Days of 400 years, which is 189 * 773, from the first of the dates that are permuted.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
 
@@ -225,19 +242,85 @@ def _replacement(m: Column, key: str) -> Column:
     return out.otherwise(F.struct(F.lit("none").alias("kind"), m.alias("text")))
 
 
+def _valid_card(m: Column) -> Column:
+    return let(_only(m, "[0-9]"), lambda d: _luhn_sum(d, 1) % 10 == 0)
+
+
+def _valid_iban(m: Column) -> Column:
+    return let(F.replace(m, F.lit(" "), F.lit("")), lambda s: _mod97(F.concat(F.substr(s, F.lit(5)), F.substr(s, F.lit(1), F.lit(4)))) == 1)
+
+
+def _valid_date(m: Column) -> Column:
+    n = lambda layout: F.datediff(F.try_to_date(m, layout), F.lit(FIRST_DAY).cast("date")).between(0, DAYS_A * DAYS_B - 1)
+    layouts = F.when(m.rlike("-"), n("yyyy-MM-dd")).when(m.rlike("/"), F.coalesce(n("dd/MM/yyyy"), F.lit(False)) | F.coalesce(n("MM/dd/yyyy"), F.lit(False)))
+    return F.coalesce(layouts.otherwise(n("dd.MM.yyyy")), F.lit(False))
+
+
+def _valid_phone(m: Column) -> Column:
+    return F.length(_only(F.regexp_replace(m, r"^\+\d{1,3}(?=[ .(-])", ""), "[0-9]")).between(7, 15)
+
+
+def _certain(m: Column) -> Column:
+    """Whether a match is valid and has no other reading that leaves a part of it out."""
+    whole = lambda pattern: m.rlike(f"^(?:{pattern})$")
+    case = F.when(whole(PATTERNS["email"]) | whole(PATTERNS["secret"]), True).when(whole(PATTERNS["iban"]), whole(IBAN) & _valid_iban(m))
+    case = case.when(whole(PATTERNS["ipv4"]), True).when(whole(PATTERNS["date"]), _valid_date(m)).when(whole(PATTERNS["ssn"]), whole(SSN))
+    return case.when(whole(PATTERNS["card"]), whole(CARD) & _valid_card(m)).otherwise(_valid_phone(m))
+
+
+def _cut(parts: str, pattern: str) -> Column:
+    """(piece, was) with the matches of the row's pattern cut out of each piece."""
+
+    def split(e: Column) -> Column:
+        found = F.regexp_extract_all(e["piece"], F.col(pattern), F.lit(0))
+        return F.arrays_zip(F.split(e["piece"], F.col(pattern), -1).alias("piece"), F.concat(found, F.array(e["was"])).alias("was"))
+
+    return F.flatten(F.transform(F.col(parts), split))
+
+
+def _literals(found: Column, before: str, after: str) -> Column:
+    """An alternation of the strings found, the longest first, or null."""
+    order = F.array_sort(F.transform(F.array_distinct(found), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    made = F.array_join(F.transform(order, lambda o: F.concat(F.lit(before + r"\Q"), o["x"], F.lit(r"\E" + after))), "|")
+    return F.nullif(made, F.lit(""))
+
+
+def _searched(df: DataFrame, text: str) -> DataFrame:
+    """``_pparts`` where ``_psearch`` is set: pieces of the text, each with the valid match that follows it."""
+    body = F.when(F.col("_psearch"), F.col(text))
+    every = lambda before, pattern: F.regexp_extract_all(body, F.lit(f"{before}(?=({pattern}))"), F.lit(1))
+    ibans = (every(r"\b", rf"(?:{IBAN})\b"), every(r"\b", PATTERNS["iban"]), every(r"\b", PATTERNS["iban"].replace("(?: ?[A-Z0-9]{1,3})?", "")))
+    dates = every(r"(?<!\d)", rf"(?:{DATE})(?!\d)")
+    cards = (every(r"(?<!\d)", rf"\d(?:[ -]?\d){{{n - 1}}}(?!\d)") for n in range(13, 20))
+    calls = (every("", rf"\+\d{{1,3}}(?:[ .-]?\(?\d{{1,4}}\)?){{{n}}}(?!\d)") for n in range(2, 7))
+    df = df.withColumn("_pibans", F.filter(F.concat(*ibans), _valid_iban)).withColumn("_pdates", F.filter(dates, _valid_date))
+    df = df.withColumn("_pcards", F.filter(F.concat(*cards), _valid_card)).withColumn("_pcalls", F.filter(F.concat(*calls), _valid_phone))
+    usual = F.filter("_pcards", lambda x: x.rlike(f"^(?:{CARD})$"))
+    checked = F.concat_ws(
+        "|", F.lit(f"(?:{PATTERNS['email']})|{PATTERNS['secret']}"), _literals(F.col("_pibans"), r"\b", r"\b"), F.lit(f"(?:{PATTERNS['ipv4']})"), _literals(F.col("_pdates"), r"(?<!\d)", r"(?!\d)"), F.lit(SSN),
+        _literals(usual, r"(?<![\d+])", r"(?!\d)"), _literals(F.col("_pcards"), r"(?<![\d+)]|\d[ .-]|\)[ .-])", r"(?![ -]?\d)"),
+    )
+    stages = checked, F.concat_ws("|", F.lit(LOCAL), _literals(F.col("_pcalls"), "", r"(?!\d)")), F.coalesce(_literals(F.col("_pcards"), r"(?<!\d)", r"(?!\d)"), F.lit(NEVER))
+    df = df.withColumn("_pparts", F.when(F.col("_psearch"), F.array(F.struct(F.col(text).alias("piece"), F.lit(None).cast("string").alias("was")))))
+    for pattern in stages:
+        df = df.withColumn("_ppattern", F.when(F.col("_psearch"), pattern)).withColumn("_pparts", _cut("_pparts", "_ppattern"))
+    return df
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``n_found`` and ``kinds`` (sorted, distinct)."""
     body = F.col(text)
     matches = F.when(body.rlike("[0-9@\"]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    made = F.transform(F.col("_pmatches"), lambda m: F.struct(m.alias("was"), _replacement(m, key).alias("new")))
-    df = docs.withColumn("_pmatches", matches).withColumn("_pmade", made)
-    changed = F.filter("_pmade", lambda x: x["new"]["text"] != x["was"])
-    pieces = F.arrays_zip(F.split(body, ANY, -1).alias("piece"), F.transform("_pmade", lambda x: x["new"]["text"]).alias("name"))
-    joined = F.array_join(F.transform(pieces, lambda x: F.concat(x["piece"], F.coalesce(x["name"], F.lit("")))), "")
-    df = df.withColumn("_pchanged", changed)
+    df = _searched(docs.withColumn("_pmatches", matches).withColumn("_psearch", F.exists("_pmatches", lambda m: ~_certain(m))), text)
+    once = F.arrays_zip(F.split(body, ANY, -1).alias("piece"), F.concat("_pmatches", F.array(F.lit(None).cast("string"))).alias("was"))
+    df = df.withColumn("_pparts", F.when(F.col("_psearch"), F.col("_pparts")).when(F.size("_pmatches") > 0, once))
+    made = F.transform("_pparts", lambda x: F.struct(x["piece"].alias("piece"), x["was"].alias("was"), F.when(x["was"].isNotNull(), _replacement(x["was"], key)).alias("new")))
+    df = df.withColumn("_pmade", made)
+    joined = F.array_join(F.transform("_pmade", lambda x: F.concat(x["piece"], F.coalesce(x["new"]["text"], F.lit("")))), "")
+    df = df.withColumn("_pchanged", F.filter("_pmade", lambda x: x["new"]["text"] != x["was"]))
     kept = [c for c in docs.columns if c not in ("n_found", "kinds")]
-    return df.withColumn(text, F.when(F.size("_pmatches") > 0, joined).otherwise(body)).select(
+    return df.withColumn(text, F.coalesce(joined, body)).select(
         *kept,
-        F.coalesce(F.size("_pchanged"), F.lit(0)).cast("long").alias("n_found"),
+        F.coalesce(F.array_size("_pchanged"), F.lit(0)).cast("long").alias("n_found"),
         F.coalesce(F.array_sort(F.array_distinct(F.transform("_pchanged", lambda x: x["new"]["kind"]))), F.array().cast("array<string>")).alias("kinds"),
     )

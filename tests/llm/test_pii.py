@@ -87,3 +87,30 @@ def test_links_and_counts(spark):
     assert first in out[1]["text"] and "0123456789abcdef" not in out[1]["text"]
     assert [r["n_found"] for r in out] == [2, 2, 0] and out[1]["kinds"] == ["email", "secret"]
     assert out[2]["text"] == "nothing 42 here"
+
+
+def test_failed_candidates_are_searched_again(spark):
+    """Nothing valid stays because a longer candidate that holds it, or overlaps it, fails."""
+    clear = {
+        "555-123-4567 555-987-6543": (["555-123-4567", "555-987-6543"], ["phone"]),
+        "4111 1111 1111 1111 12/27": (["4111 1111 1111 1111"], ["card"]),
+        "order 12 4111 1111 1111 1111": (["4111 1111 1111 1111"], ["card"]),
+        "1234 4111 1111 1111 1111": (["4111 1111 1111 1111"], ["card"]),
+        "555-123-4567 1234": (["555-123-4567"], ["phone"]),
+        "555-123-4567 1234@example.com": (["555-123-4567", "1234@example"], ["email", "phone"]),
+        "ES91 2100 0418 4502 0005 1332 EUR": (["ES91 2100 0418 4502 0005 1332"], ["iban"]),
+        "ES91 2100 0418 4502 0005 1332 CODE": (["ES91 2100 0418 4502 0005 1332"], ["iban"]),
+        "AB12 4111 1111 1111 1111": (["4111 1111 1111 1111"], ["card"]),
+        "+49 30 1234567 4111 1111 1111 1111": (["30 1234567", "4111 1111 1111 1111"], ["card", "phone"]),
+        "31.02.2020-01-15": (["2020-01-15"], ["date"]),
+    }
+    rows = [(i, t) for i, t in enumerate(clear)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    for (was, (values, kinds)), row in zip(clear.items(), out, strict=True):
+        assert all(v not in row["text"] for v in values), was
+        assert (row["n_found"], row["kinds"]) == (len(values), kinds), was
+        assert len(row["text"]) == len(was), was
+    assert out[0]["text"] == " ".join(f"{d[:3]}-{d[3:6]}-{d[6:]}" for d in (digits("5551234567", "phone"), digits("5559876543", "phone")))
+    assert out[1]["text"] == masked(spark, "4111 1111 1111 1111") + " 12/27"
+    assert out[2]["text"] == "order 12 " + masked(spark, "4111 1111 1111 1111")
+    assert out[6]["text"] == masked(spark, "ES91 2100 0418 4502 0005 1332") + " EUR"
