@@ -3,9 +3,11 @@
 Paragraphs are blocks between blank lines, and the single lines of a block. A softmax regression
 over hashed word unigrams, bigrams and trigrams assigns each to a license family or to ``unknown``;
 it is trained on templates, deterministically damaged copies of them, and paragraphs of the corpus
-as ``unknown``. A temperature fitted on held-out copies calibrates the probabilities. A prediction
-counts only if its probability reaches ``MIN_PROBABILITY`` and the paragraph contains at least
-``MIN_CONTAINED`` of the word trigrams of one of the family's templates.
+as ``unknown``. A temperature fitted on held-out copies calibrates the probabilities. A paragraph can
+name several families: each counts if its probability against ``unknown`` reaches ``MIN_PROBABILITY``
+and the paragraph contains at least ``MIN_CONTAINED`` of the word trigrams of one of its templates, and
+of those among them that no more probable confirmed family has, so that kin such as GPL and LGPL do not
+follow from each other. The identifiers of an SPDX expression (AND, OR, WITH) are also read one by one.
 
 Because of that confirmation a document without any template trigram can have no finding; such
 documents are passed by after a vectorised look-up, and only the others are split and classified.
@@ -40,6 +42,8 @@ STEPS = 200
 MIN_PROBABILITY = 0.5
 MIN_CONTAINED = 0.6
 UNKNOWN = "unknown"
+#: An SPDX statement and its expression of identifiers.
+SPDX = r"SPDX-License-Identifier:[ \t]*([(]*[\w.+:-]+[)]*(?:[ \t]+(?:AND|OR|WITH|and|or|with)[ \t]+[(]*[\w.+:-]+[)]*)*)"
 
 #: Notices that the licenses' publishers recommend, and common one-line statements.
 TEMPLATES = {
@@ -168,38 +172,65 @@ class Model:
         return _softmax(self.logits(rows) / self.temperature)
 
     def scan(self, text: str) -> list[tuple[int, str, float, float]]:
-        """(paragraph number, family, probability, contained share) of confirmed paragraphs."""
+        """(paragraph number, family, probability, contained share) of confirmed families."""
         rows, numbers = [], []
-        for number, words in enumerate(paragraphs(text)):
-            if words:
-                rows.append(words)
-                numbers.append(number)
+        for number, part in enumerate(_parts(text)):
+            for words in (tokens(part), *map(tokens, _operands(part))):
+                if words:
+                    rows.append(words)
+                    numbers.append(number)
         if not rows:
             return []
         odds = self.probabilities(rows)
-        out = []
+        found: dict[tuple[int, str], tuple[float, float]] = {}
         for number, words, p in zip(numbers, rows, odds, strict=True):
-            best = int(p.argmax())
-            if self.families[best] == UNKNOWN or p[best] < MIN_PROBABILITY:
+            for family, probability, contained in self._confirmed(grams(words, 3), p):
+                found.setdefault((number, family), (probability, contained))
+        return [(number, family, *values) for (number, family), values in found.items()]
+
+    def _confirmed(self, own: set[int], p: np.ndarray) -> list[tuple[str, float, float]]:
+        """Families in order of probability; each must have trigrams that those before it do not explain."""
+        against = p / (p + p[self.families.index(UNKNOWN)])
+        out, explained = [], set()
+        for k in np.argsort(-p, kind="stable").tolist():
+            if self.families[k] == UNKNOWN or against[k] < MIN_PROBABILITY:
                 continue
-            own = grams(words, 3)
-            contained = max(len(own & t) / len(t) for k, t in self.templates if k == best)
-            if contained >= MIN_CONTAINED:
-                out.append((number, self.families[best], float(p[best]), contained))
+            shares = []
+            for t in (t for j, t in self.templates if j == k):
+                rest = t - explained
+                if rest and len(own & rest) >= MIN_CONTAINED * len(rest):
+                    shares.append(len(own & t) / len(t))
+            if shares and max(shares) >= MIN_CONTAINED:
+                out.append((self.families[k], float(against[k]), max(shares)))
+                explained |= {g for j, t in self.templates if j == k for g in t}
         return out
 
 
-def paragraphs(text: str) -> list[list[str]]:
-    """The words of each block between blank lines, each followed by its lines if it has several."""
+def _parts(text: str) -> list[str]:
+    """Each block between blank lines, followed by its lines if it has several."""
     out = []
     for block in re.split(r"\n[ \t\r]*\n", text):
         lines = block.split("\n")
-        out.append(tokens(block))
+        out.append(block)
         if len(lines) > 1:
-            out.extend(tokens(line) for line in lines)
+            out.extend(lines)
+    return out
+
+
+def _operands(part: str) -> list[str]:
+    """The identifiers of each SPDX expression with several, each as a statement of its own."""
+    out = []
+    for expression in re.findall(SPDX, part):
+        names = [x for x in re.split(r"[\s()]+", expression) if x and x.upper() not in ("AND", "OR", "WITH")]
+        out += [f"SPDX-License-Identifier: {x}" for x in names if len(names) > 1]
     return out
 
 
+def paragraphs(text: str) -> list[list[str]]:
+    """The words of each block between blank lines, each followed by its lines if it has several."""
+    return [tokens(part) for part in _parts(text)]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)

@@ -84,3 +84,16 @@ def test_licenses(docs, spark):
     assert not any(model.scan(x) for x in licenses.NEAR_MISSES)
     broken = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with\nthe License. You may obtain a copy of the License"
     assert {x[1] for x in model.scan(broken)} == {"Apache-2.0"}
+
+
+def test_several_licenses_in_a_paragraph():
+    model = licenses.train(["The committee met in the town hall on Monday and spoke of the new road over the old bridge.\nNothing else was decided."])
+    found = lambda text: sorted({x[1] for x in model.scan(text)})
+    assert found("SPDX-License-Identifier: MIT OR Apache-2.0") == ["Apache-2.0", "MIT"]
+    assert found("# SPDX-License-Identifier: (MPL-2.0 AND BSD-3-Clause) OR GPL-2.0-only WITH Classpath-exception-2.0") == ["BSD-3-Clause", "GPL-2.0", "MPL-2.0"]
+    assert found("SPDX-License-Identifier: Apache-2.0 and nothing else\nfor MIT students") == ["Apache-2.0"]
+    assert found("Released under the MIT License and the Apache License, Version 2.0") == ["Apache-2.0", "MIT"]
+    assert found("It is available under the MIT License and the Apache License, Version 2.0") == ["Apache-2.0", "MIT"]
+    for family, notices in licenses.TEMPLATES.items():
+        assert all(found(notice) == [family] for notice in notices)
+    assert not any(model.scan(x) for x in licenses.NEAR_MISSES)
