@@ -6,43 +6,60 @@ address another address. Equal values have equal pseudonyms in all documents, an
 of one format differ, because every round of a Feistel network can be undone with the key. Only
 built-in functions run, row by row: nothing is shuffled, so no key or group can be hot.
 
-What is found: e-mail addresses, IPv4 addresses, card numbers (13 to 19 digits, Luhn), IBANs
-(mod 97), US social security numbers (assigned ranges), telephone numbers, calendar dates
-(``yyyy-mm-dd``, ``dd/mm/yyyy``, ``mm/dd/yyyy``, ``dd.mm.yyyy``, from 1800 to 2199) and values that
-are assigned to a name such as ``token`` or ``password``. A text with a candidate that fails its
-validation, or with a card number of unusual grouping, is searched again: candidates of all kinds,
-lengths and places, overlapping ones included, are validated first, and only valid ones are matched,
-numbers with a checksum or a calendar before telephone numbers, and those before card numbers of any
-other grouping. What fails in every reading stays as it is. Addresses keep their top-level domain, telephone numbers their country code and
-IBANs their country. Letters outside ASCII, names of over 24 letters and assigned secrets get a
-keyed digest in place of the permutation, since their alphabets have no fixed size.
+What is found: e-mail addresses, IPv4 addresses, card numbers (13 to 19 digits, Luhn), IBANs (length
+by country, mod 97), US social security numbers (assigned ranges), telephone numbers, calendar dates
+(``yyyy-mm-dd``, ``dd/mm/yyyy``, ``mm/dd/yyyy``, ``dd.mm.yyyy``, from 1800 to 2199), values that are
+assigned to a name such as ``token`` or ``password`` (in quotes, or without them if they have a
+digit), and bare access keys of well-known forms. Where a match of the first pass fails its validation,
+or is a card number of unusual grouping, the text is searched again: at each place that a number can
+begin, candidates of all kinds and lengths are validated, and the first valid one is taken: numbers
+with a checksum or a calendar before telephone numbers, and those before card numbers of any other
+grouping. What fails in every reading stays as it is. Addresses keep their top-level domain, telephone
+numbers their country code and IBANs their country. Letters outside ASCII, names of over 24 letters
+and secrets get a keyed digest in place of the permutation, since their alphabets have no fixed size.
+
+Cost is linear in the text: every repetition is bounded or possessive, and each place is tried once.
+So an address has at most 64 characters before ``@`` (longer ones are no addresses) and 127 labels of
+63 characters; what follows those stays.
 
 Defined results: a null text stays null with no findings; an empty text has none. Repeated rows give
-repeated results, other columns are carried through, and helper columns start with ``_p``.
+repeated results, and other columns, whatever their names, are carried through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import let
+from skein.llm.common import let, pack, unpack
 
 KEY = "skein-demo-key"
 ROUNDS = 8
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: A name that a secret is assigned to, with the sign of assignment.
+ASSIGNED = r"(?<![A-Za-z0-9])(?i:token|secret|(?:api|access|secret|private|auth)[_-]?key|password|passwd|pwd)[\"']?\s{0,8}[=:]\s{0,8}"
+#: Openings of well-known access keys, and what follows them.
+ACCESS_KEYS = {"(?:AKIA|ASIA)": "[A-Z0-9]{16}", "gh[pousr]_": "[A-Za-z0-9]{36}", "[spr]k_(?:live|test)_": "[A-Za-z0-9]{16,}+", "xox[abprs]-": "[A-Za-z0-9-]{10,}+", "AIza": "[\\w-]{35}", "eyJ": r"[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+"}
+PEM = r"-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----"
+BARE = "|".join(rf"{a}{b}" for a, b in ACCESS_KEYS.items())
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?i:\b(?:token|secret|api[_-]?key|password|passwd)\s*[=:]\s*\"[^\"\s]{8,}\")",
+    "email": r"(?:(?<![\p{L}\p{N}])(?<![\p{L}\p{N}][._%+-])[\p{L}\p{N}]|(?<=[^\x00-\x7F])[A-Za-z0-9])[\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+",
+    "secret": rf"{ASSIGNED}(?:\"[^\"\s]{{8,}}+(?=\")|'[^'\s]{{8,}}+(?=')|[\"']?(?=[^\s\"',;]{{0,512}}?\d)[^\s\"',;]{{8,}}+)|(?<![\w-])(?:{BARE})(?![\w-])|{PEM}[A-Za-z0-9+/=\s]{{16,}}+(?=-----END)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv4": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}([/.])\d{2}\1\d{4})(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d)",
+    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{7,15}+(?!\d)|\+\d{1,3}+(?:[ .-]?\(?\d{1,4}+\)?){2,6}(?!\d)",
 }
+#: Patterns that a match has on its own, without what must follow it.
+WHOLE = PATTERNS | {"secret": PATTERNS["secret"].replace('(?=\\")', "").replace("(?=')", "").replace("(?=-----END)", "")}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What a text must have for any of them.
+HINT = r"[0-9@]|[=:]\s{0,8}[\"']|PRIVATE KEY-----|" + "|".join(ACCESS_KEYS)
 #: Characters of an IBAN by country, as its registry fixes them.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -54,11 +71,16 @@ IBAN = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4)
 CARD = r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}"
 SSN = r"(?<!\d)(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\d)"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
-NEVER = "(?!)"
 #: Telephone numbers of three, three and four digits.
 LOCAL = PATTERNS["phone"].split(r"|\+")[0]
+#: Characters from the place where a number begins that are looked at; more than any number has.
+SIGHT = 64
+#: Places that are decided on at once.
+CHUNK = 256
 #: Days of 400 years, which is 189 * 773, from the first of the dates that are permuted.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
+#: Steps of the walk that keeps a date inside its layout; one is left over in 10^25.
+WALK = 64
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -120,12 +142,12 @@ def permute_name(name: Column, key: str, tweak: Column) -> Column:
 def refill(shape: Column, filling: Column, kind: str) -> Column:
     """``shape`` with its characters of the class ``kind`` replaced, in order, by those of ``filling``."""
 
-    def fill(chars: Column) -> Column:
-        taken = lambda i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda c: c.rlike(kind)))
-        put = lambda c, i: F.when(c.rlike(kind), F.substr(filling, taken(i), F.lit(1))).otherwise(c)
-        return F.array_join(F.transform(chars, put), "")
+    def step(s: Column, c: Column) -> Column:
+        taken = s["n"] + F.when(c.rlike(kind), 1).otherwise(0)
+        put = F.when(c.rlike(kind), F.substr(filling, taken, F.lit(1))).otherwise(c)
+        return F.struct(taken.alias("n"), F.concat(s["out"], put).alias("out"))
 
-    return let(F.split(shape, ""), fill)
+    return F.aggregate(F.split(shape, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda s: s["out"])
 
 
 def _only(text: Column, kind: str) -> Column:
@@ -191,16 +213,28 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    layouts = [("^[0-9]{4}-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), ("/", "MM/dd/yyyy"), (r"\.", "dd.MM.yyyy")]
+    """Dates of one layout are permuted among themselves.
+
+    A date with slashes is read with the day first if it can be. One that cannot is permuted, again and
+    again, until the result cannot either; so no two dates of that look meet.
+    """
+    first = F.lit(FIRST_DAY).cast("date")
+    a, b = (F.lit(x).cast("long") for x in (DAYS_A, DAYS_B))
 
-    def swap(layout: str) -> Column:
-        day = lambda n: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), n), layout)
-        n = F.datediff(F.try_to_date(m, layout), F.lit(FIRST_DAY).cast("date"))
-        a, b = (F.lit(x).cast("long") for x in (DAYS_A, DAYS_B))
-        mixed = let(n, lambda d: feistel((d / DAYS_B).cast("long"), d % DAYS_B, a, b, key, F.lit("date")))
-        return F.when((n >= 0) & (n < DAYS_A * DAYS_B), let(mixed, lambda s: day((s["x"] * DAYS_B + s["y"]).cast("int"))))
+    def moved(d: Column) -> Column:
+        return let(feistel((d / DAYS_B).cast("long"), d % DAYS_B, a, b, key, F.lit("date")), lambda s: (s["x"] * DAYS_B + s["y"]).cast("int"))
 
-    return F.coalesce(*(F.when(m.rlike(like), swap(layout)) for like, layout in layouts), m)
+    def walked(d: Column) -> Column:
+        inside = lambda x: F.dayofmonth(F.date_add(first, x)) > 12
+        return F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), moved(d), lambda x, i: F.when(inside(x), x).otherwise(moved(x)))
+
+    def swap(layout: str, permuted: Callable[[Column], Column] = moved) -> Column:
+        n = F.datediff(F.try_to_date(m, layout), first)
+        new = let(let(n, permuted), lambda d: F.date_format(F.date_add(first, d), layout))
+        return F.when((n >= 0) & (n < DAYS_A * DAYS_B), new)
+
+    slashed = F.when(F.try_to_date(m, "dd/MM/yyyy").isNotNull(), swap("dd/MM/yyyy")).otherwise(swap("MM/dd/yyyy", walked))
+    return F.coalesce(F.when(m.rlike("^[0-9]{4}-"), swap("yyyy-MM-dd")).when(m.rlike("/"), slashed).otherwise(swap("dd.MM.yyyy")), m)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -226,15 +260,18 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, '"([^"]*)"', 1)
-    new = let(value, lambda v: let(_digest(key, F.lit("secret"), v), lambda h: F.substr(F.repeat(h, (F.length(v) / 64).cast("int") + 1), F.lit(1), F.length(v))))
-    return F.concat(F.substring_index(m, '"', 1), F.lit('"'), F.when(value == F.upper(value), F.upper(new)).otherwise(new), F.lit('"'))
+    """A digest in the letters and digits of the value; an access key keeps its opening."""
+    opening = F.regexp_extract(m, rf"^(?:{ASSIGNED}[\"']?)?(?:{'|'.join(ACCESS_KEYS)}|{PEM})?", 0)
+    value = F.substr(m, F.length(opening) + 1)
+    digest = lambda v: let(_digest(key, F.lit("secret"), v), lambda h: F.repeat(h, (F.length(v) / 64).cast("int") + 1))
+    new = lambda v: let(digest(v), lambda h: refill(v, F.when(v == F.upper(v), F.upper(h)).otherwise(h), "[A-Za-z0-9]"))
+    return F.concat(opening, let(value, new))
 
 
 def _replacement(m: Column, key: str) -> Column:
     """(kind, text) for a match."""
     made = {"email": _email, "secret": _secret, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
-    whole = lambda name: m.rlike(f"^(?:{PATTERNS[name]})$")
+    whole = lambda name: m.rlike(f"^(?:{WHOLE[name]})$")
     out = None
     for name, make in made.items():
         case = F.struct(F.lit(name).alias("kind"), make(m, key).alias("text"))
@@ -263,64 +300,109 @@ def _valid_phone(m: Column) -> Column:
 def _certain(m: Column) -> Column:
     """Whether a match is valid and has no other reading that leaves a part of it out."""
     whole = lambda pattern: m.rlike(f"^(?:{pattern})$")
-    case = F.when(whole(PATTERNS["email"]) | whole(PATTERNS["secret"]), True).when(whole(PATTERNS["iban"]), whole(IBAN) & _valid_iban(m))
+    case = F.when(whole(WHOLE["email"]) | whole(WHOLE["secret"]), True).when(whole(PATTERNS["iban"]), whole(IBAN) & _valid_iban(m))
     case = case.when(whole(PATTERNS["ipv4"]), True).when(whole(PATTERNS["date"]), _valid_date(m)).when(whole(PATTERNS["ssn"]), whole(SSN))
     return case.when(whole(PATTERNS["card"]), whole(CARD) & _valid_card(m)).otherwise(_valid_phone(m))
 
 
-def _cut(parts: str, pattern: str) -> Column:
-    """(piece, was) with the matches of the row's pattern cut out of each piece."""
+def _static(piece: Column, pattern: str) -> Column:
+    """(was, piece): the piece after each match of ``pattern``, and that match; the first has none."""
+    found = F.regexp_extract_all(piece, F.lit(pattern), F.lit(0))
+    return F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), found).alias("was"), F.split(piece, pattern, -1).alias("piece"))
+
+
+def _chosen(piece: Column, places: str, pick: Callable[[Column, Column], Column]) -> Column:
+    """(was, piece) as in ``_static`` for numbers that begin where the empty pattern ``places`` matches.
+
+    ``pick`` gets the text from a place on, and a text that is not empty where no other number ends just
+    before; it returns the number that begins there, or null. From left to right, one that begins in
+    another that was taken is passed over.
+    """
+    body = F.concat(F.lit("\n"), piece)  # so that nothing begins at the very start
+    ahead = F.regexp_extract_all(body, F.lit(rf"(?:{places})(?=([\s\S]{{1,{SIGHT}}}))"), F.lit(1))
+    apart = F.regexp_extract_all(body, F.lit(rf"(?:{places})(?=((?<![+)]|\d[ .-]|\)[ .-])[\s\S]|))"), F.lit(1))
+    picked = F.transform(F.arrays_zip(ahead.alias("ahead"), apart.alias("apart")), lambda x: pick(x["ahead"], x["apart"]))
+    rests = F.transform(F.split(body, places, -1), lambda x, i: F.when(i == 0, F.substr(x, F.lit(2))).otherwise(x))
+    steps = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), picked).alias("new"), rests.alias("rest"))
+    none = F.array().cast("array<struct<was:string,piece:string>>")
+
+    def step(s: Column, e: Column) -> Column:
+        def put(was: Column) -> Column:
+            over = F.coalesce(F.length(was), s["over"])
+            part = F.struct(was.alias("was"), F.substr(e["rest"], over + 1).alias("piece"))
+            return F.struct(F.greatest(over - F.length(e["rest"]), F.lit(0)).alias("over"), F.concat(s["out"], F.array(part)).alias("out"))
+
+        return let(F.when(s["over"] == 0, e["new"]), put)
+
+    def some(s: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, F.struct(s["over"].alias("over"), none.alias("out")), step)
+        return let(inner, lambda x: F.struct(x["over"].alias("over"), F.concat(s["out"], F.array(x["out"])).alias("out")))
+
+    chunks = lambda e: F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / CHUNK).cast("int")), lambda k: F.slice(e, k * CHUNK + 1, F.lit(CHUNK)))
+    start = F.struct(F.lit(0).alias("over"), F.array().cast("array<array<struct<was:string,piece:string>>>").alias("out"))
+    return let(F.flatten(F.aggregate(let(steps, chunks), start, some, lambda s: s["out"])), _merged)
+
+
+def _merged(parts: Column) -> Column:
+    """Each part that begins with a match, or is the first, together with those after it that do not."""
+
+    def slices(at: Column) -> Column:
+        to = lambda k: F.coalesce(F.get(at, k + 1), F.size(parts))
+        text = lambda i, k: F.array_join(F.transform(F.slice(parts, i + 1, to(k) - i), lambda x: x["piece"]), "")
+        return F.transform(at, lambda i, k: F.struct(F.get(parts, i)["was"].alias("was"), text(i, k).alias("piece")))
+
+    return let(F.filter(F.transform(parts, lambda x, i: F.when((i == 0) | x["was"].isNotNull(), i)), lambda i: i.isNotNull()), slices)
+
+
+def _first(options: Column, valid: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(options, lambda x: (x != "") & valid(x)), F.lit(0))
+
+
+def _checked(ahead: Column, apart: Column) -> Column:
+    """The IBAN, date or card number of clear bounds that ``ahead`` begins with."""
+    whole = lambda pattern: F.array(F.regexp_extract(ahead, pattern, 0))
+    clear = F.filter(_cards(ahead), lambda x: (x != "") & (x.rlike(f"^(?:{CARD})$") | ((apart != "") & ~F.substr(ahead, F.length(x) + 1).rlike(r"^[ -]?\d"))))
+    usual = lambda x: x.rlike(f"^(?:{CARD})$") & _valid_card(x)
+    return F.coalesce(
+        _first(whole(rf"^(?:{IBAN})\b"), _valid_iban),
+        _first(whole(rf"^(?:{DATE})(?!\d)"), _valid_date),
+        let(clear, lambda c: F.coalesce(_first(c, usual), _first(c, _valid_card))),
+    )
 
-    def split(e: Column) -> Column:
-        found = F.regexp_extract_all(e["piece"], F.col(pattern), F.lit(0))
-        return F.arrays_zip(F.split(e["piece"], F.col(pattern), -1).alias("piece"), F.concat(found, F.array(e["was"])).alias("was"))
 
-    return F.flatten(F.transform(F.col(parts), split))
+def _cards(ahead: Column) -> Column:
+    return F.array(*(F.regexp_extract(ahead, rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)", 0) for n in range(19, 12, -1)))
 
 
-def _literals(found: Column, before: str, after: str) -> Column:
-    """An alternation of the strings found, the longest first, or null."""
-    order = F.array_sort(F.transform(F.array_distinct(found), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
-    made = F.array_join(F.transform(order, lambda o: F.concat(F.lit(before + r"\Q"), o["x"], F.lit(r"\E" + after))), "|")
-    return F.nullif(made, F.lit(""))
+def _call(ahead: Column, apart: Column) -> Column:
+    forms = [f"^(?:{LOCAL})", r"^\+\d{7,15}+(?!\d)", *(rf"^\+\d{{1,3}}+(?:[ .-]?\(?\d{{1,4}}+\)?){{{n}}}(?!\d)" for n in range(6, 1, -1))]
+    return _first(F.array(*(F.regexp_extract(ahead, f, 0) for f in forms)), _valid_phone)
 
 
-def _searched(df: DataFrame, text: str) -> DataFrame:
-    """``_pparts`` where ``_psearch`` is set: pieces of the text, each with the valid match that follows it."""
-    body = F.when(F.col("_psearch"), F.col(text))
-    every = lambda before, pattern: F.regexp_extract_all(body, F.lit(f"{before}(?=({pattern}))"), F.lit(1))
-    ibans = (every(r"\b", rf"(?:{IBAN})\b"), every(r"\b", PATTERNS["iban"]), every(r"\b", PATTERNS["iban"].replace("(?: ?[A-Z0-9]{1,3})?", "")))
-    dates = every(r"(?<!\d)", rf"(?:{DATE})(?!\d)")
-    cards = (every(r"(?<!\d)", rf"\d(?:[ -]?\d){{{n - 1}}}(?!\d)") for n in range(13, 20))
-    calls = (every("", rf"\+\d{{1,3}}(?:[ .-]?\(?\d{{1,4}}\)?){{{n}}}(?!\d)") for n in range(2, 7))
-    df = df.withColumn("_pibans", F.filter(F.concat(*ibans), _valid_iban)).withColumn("_pdates", F.filter(dates, _valid_date))
-    df = df.withColumn("_pcards", F.filter(F.concat(*cards), _valid_card)).withColumn("_pcalls", F.filter(F.concat(*calls), _valid_phone))
-    usual = F.filter("_pcards", lambda x: x.rlike(f"^(?:{CARD})$"))
-    checked = F.concat_ws(
-        "|", F.lit(f"(?:{PATTERNS['email']})|{PATTERNS['secret']}"), _literals(F.col("_pibans"), r"\b", r"\b"), F.lit(f"(?:{PATTERNS['ipv4']})"), _literals(F.col("_pdates"), r"(?<!\d)", r"(?!\d)"), F.lit(SSN),
-        _literals(usual, r"(?<![\d+])", r"(?!\d)"), _literals(F.col("_pcards"), r"(?<![\d+)]|\d[ .-]|\)[ .-])", r"(?![ -]?\d)"),
-    )
-    stages = checked, F.concat_ws("|", F.lit(LOCAL), _literals(F.col("_pcalls"), "", r"(?!\d)")), F.coalesce(_literals(F.col("_pcards"), r"(?<!\d)", r"(?!\d)"), F.lit(NEVER))
-    df = df.withColumn("_pparts", F.when(F.col("_psearch"), F.array(F.struct(F.col(text).alias("piece"), F.lit(None).cast("string").alias("was")))))
-    for pattern in stages:
-        df = df.withColumn("_ppattern", F.when(F.col("_psearch"), pattern)).withColumn("_pparts", _cut("_pparts", "_ppattern"))
-    return df
+def _searched(text: Column) -> Column:
+    """(was, piece) of a text: each piece with the valid match before it."""
+    within = lambda parts, cut: F.flatten(F.transform(parts, lambda e: F.transform(cut(e["piece"]), lambda x, i: F.struct(F.when(i == 0, e["was"]).otherwise(x["was"]).alias("was"), x["piece"].alias("piece")))))
+    parts = _static(text, "|".join((f"(?:{PATTERNS['email']})", f"(?:{PATTERNS['secret']})", f"(?:{PATTERNS['ipv4']})", SSN)))
+    parts = within(parts, lambda x: _chosen(x, r"(?<![\d+])(?=\d)|\b(?=[A-Z]{2}\d{2})", _checked))
+    parts = within(parts, lambda x: _chosen(x, r"(?=\+\d)|(?<!\d)(?=\(\d{3}\)|\d{3}[ .-])", _call))
+    return within(parts, lambda x: _chosen(x, r"(?<!\d)(?=\d[ -]?\d)", lambda ahead, apart: _first(_cards(ahead), _valid_card)))
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``n_found`` and ``kinds`` (sorted, distinct)."""
-    body = F.col(text)
-    matches = F.when(body.rlike("[0-9@\"]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    df = _searched(docs.withColumn("_pmatches", matches).withColumn("_psearch", F.exists("_pmatches", lambda m: ~_certain(m))), text)
-    once = F.arrays_zip(F.split(body, ANY, -1).alias("piece"), F.concat("_pmatches", F.array(F.lit(None).cast("string"))).alias("was"))
-    df = df.withColumn("_pparts", F.when(F.col("_psearch"), F.col("_pparts")).when(F.size("_pmatches") > 0, once))
-    made = F.transform("_pparts", lambda x: F.struct(x["piece"].alias("piece"), x["was"].alias("was"), F.when(x["was"].isNotNull(), _replacement(x["was"], key)).alias("new")))
-    df = df.withColumn("_pmade", made)
-    joined = F.array_join(F.transform("_pmade", lambda x: F.concat(x["piece"], F.coalesce(x["new"]["text"], F.lit("")))), "")
-    df = df.withColumn("_pchanged", F.filter("_pmade", lambda x: x["new"]["text"] != x["was"]))
-    kept = [c for c in docs.columns if c not in ("n_found", "kinds")]
-    return df.withColumn(text, F.coalesce(joined, body)).select(
-        *kept,
-        F.coalesce(F.array_size("_pchanged"), F.lit(0)).cast("long").alias("n_found"),
-        F.coalesce(F.array_sort(F.array_distinct(F.transform("_pchanged", lambda x: x["new"]["kind"]))), F.array().cast("array<string>")).alias("kinds"),
+    df = pack(docs, _text=F.col(text))
+    body = F.col("_text")
+    df = df.withColumn("_matches", F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    once = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.col("_matches")).alias("was"), F.split(body, ANY, -1).alias("piece"))
+    parts = F.when(F.exists("_matches", lambda m: ~_certain(m)), _searched(body)).when(F.size("_matches") > 0, once)
+    made = F.transform(parts, lambda x: F.struct(x["piece"].alias("piece"), x["was"].alias("was"), F.when(x["was"].isNotNull(), _replacement(x["was"], key)).alias("new")))
+    df = df.withColumn("_made", made)
+    joined = F.array_join(F.transform("_made", lambda x: F.concat(F.coalesce(x["new"]["text"], F.lit("")), x["piece"])), "")
+    df = df.withColumn("_changed", F.filter("_made", lambda x: x["new"]["text"] != x["was"]))
+    return unpack(
+        df,
+        [c for c in docs.columns if c not in ("n_found", "kinds")],
+        {text: F.coalesce(joined, body)},
+        F.coalesce(F.array_size("_changed"), F.lit(0)).cast("long").alias("n_found"),
+        F.coalesce(F.array_sort(F.array_distinct(F.transform("_changed", lambda x: x["new"]["kind"]))), F.array().cast("array<string>")).alias("kinds"),
     )
