@@ -2,11 +2,12 @@
 
 A slice of texts is cut into words where no piece of the vocabulary can span the cut, and equal
 words are encoded once. The words' symbols lie in one flat array. A round finds each word's minimum
-pair rank by a segmented minimum, merges the leftmost occurrences of it in all words at once, and
-compacts the array; words without a pair left are set aside. Where a merged piece could at once take
-part in a merge of equal or better rank, only the first occurrence in the word is merged, so that
-the result is the sequential one in all cases. Words of over 256 symbols (long unbroken runs) are
-merged one pair at a time with a heap, which keeps the cost of the longest text near linear.
+pair rank by a segmented minimum and merges the leftmost occurrences of it in all words at once.
+Where one of them makes a pair of equal or better rank, those after it in the word wait for a later
+round, so that the result is the sequential one in all cases. The array is compacted, and words
+without a pair left are set aside, whenever that halves it; until then links lead over the gaps, and
+a round looks again only at blocks of symbols that were touched. So words of all lengths go the same
+way, and a long one costs little more than its merges.
 
 Characters outside the vocabulary become their UTF-8 bytes' pieces. Decoding follows the library:
 control ids vanish, one leading word mark is taken off, and bytes that are not valid UTF-8 give
@@ -22,7 +23,6 @@ packed as little-endian unsigned 32-bit integers in a binary column, or an array
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +38,7 @@ from skein.llm.text_arrays import give_back
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
 SLICE_BYTES = 2 << 20
-LONG_WORD = 256
+BLOCK = 256
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -151,93 +151,22 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-def _merge_long(v: Vocabulary, symbols: np.ndarray) -> np.ndarray:
-    """Merge one word pair by pair: best rank first, then leftmost."""
-    sym, n = symbols.tolist(), len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank, found = v.look_up(symbols[:-1], symbols[1:])
-    heap = [(int(rank[i]), int(i), sym[i], sym[i + 1], int(found[i])) for i in np.flatnonzero(rank != NONE)]
-    heapq.heapify(heap)
-    alive = [True] * n
-    known: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def push(i: int, j: int) -> None:
-        pair = sym[i], sym[j]
-        if pair not in known:
-            r, f = v.look_up(np.array(pair[:1]), np.array(pair[1:]))
-            known[pair] = int(r[0]), int(f[0])
-        if known[pair][0] != NONE:
-            heapq.heappush(heap, (known[pair][0], i, *pair, known[pair][1]))
-
-    while heap:
-        _, i, a, b, new = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or sym[i] != a or j >= n or sym[j] != b:
-            continue
-        sym[i], alive[j], after[i] = new, False, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-            push(i, after[j])
-        if before[i] >= 0:
-            push(before[i], i)
-    return np.array([s for s, live in zip(sym, alive, strict=True) if live], np.int32)
-
-
 def _merge_rounds(v: Vocabulary, sym: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols after all merges, word by word, and their number per word. Words have a symbol at least."""
     words = np.arange(len(lengths))
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    long = np.flatnonzero(lengths > LONG_WORD)
-    if len(long):
-        starts = np.cumsum(lengths) - lengths
-        for w in long:
-            out = _merge_long(v, sym[starts[w] : starts[w] + lengths[w]])
-            done.append((np.array([w]), np.array([len(out)]), out))
-        keep = lengths <= LONG_WORD
-        sym, words, lengths = sym[np.repeat(keep, lengths)], words[keep], lengths[keep]
     rank, new = np.full(len(sym), NONE, np.int32), np.full(len(sym), -1, np.int32)
     if len(sym):
         rank[:-1], new[:-1] = v.look_up(sym[:-1], sym[1:])
         rank[np.cumsum(lengths) - 1] = NONE
     while len(sym):
-        starts = np.cumsum(lengths) - lengths
-        best = np.minimum.reduceat(rank, starts)
-        open_words = best != NONE
-        if not open_words.all():
-            closed = np.repeat(~open_words, lengths)
-            done.append((words[~open_words], lengths[~open_words], sym[closed]))
-            left = ~closed
-            sym, rank, new, words, lengths, best = sym[left], rank[left], new[left], words[open_words], lengths[open_words], best[open_words]
-            if not len(sym):
-                break
-        word_of = np.repeat(np.arange(len(words)), lengths)
-        at = np.flatnonzero(rank == best[word_of])
-        # Of adjacent occurrences every other one merges, from the left.
-        jump = np.ones(len(at), bool)
-        jump[1:] = at[1:] != at[:-1] + 1
-        run = np.maximum.accumulate(np.where(jump, np.arange(len(at)), 0))
-        chosen = (np.arange(len(at)) - run) % 2 == 0
-        owner = word_of[at]
-        one = np.zeros(len(words), bool)
-        one[owner[v.eager[new[at]]]] = True
-        first = np.ones(len(at), bool)
-        first[1:] = owner[1:] != owner[:-1]
-        at = at[np.where(one[owner], first, chosen)]
-        sym[at] = new[at]
-        keep = np.ones(len(sym), bool)
-        keep[at + 1] = False
-        lengths = lengths - np.bincount(word_of[at], minlength=len(words))
-        moved = np.cumsum(keep) - 1
-        rank[at] = rank[at + 1]  # NONE if the word ends there; else looked up below
-        last = np.zeros(len(sym), bool)
-        last[np.cumsum(np.bincount(word_of, minlength=len(words))) - 1] = True
-        ended = last[at + 1]
-        right, left = moved[at[~ended]], moved[at[at > 0]] - 1
-        left = left[word_of[at[at > 0]] == word_of[at[at > 0] - 1]]
-        sym, rank, new = sym[keep], rank[keep], new[keep]
-        rank[moved[at[ended]]] = NONE
-        fresh = np.concatenate([left, right])
-        rank[fresh], new[fresh] = v.look_up(sym[fresh], sym[fresh + 1])
+        live, open_words = _rounds(v, sym, rank, new, lengths)
+        left = np.add.reduceat(live, np.cumsum(lengths) - lengths, dtype=np.int64)
+        is_open = np.repeat(open_words, lengths)
+        shut = live & ~is_open
+        done.append((words[~open_words], left[~open_words], sym[shut]))
+        keep = live & is_open
+        sym, rank, new, words, lengths = sym[keep], rank[keep], new[keep], words[open_words], left[open_words]
     order = np.concatenate([w for w, _, _ in done]) if done else np.zeros(0, np.int64)
     sizes = np.concatenate([n for _, n, _ in done]) if done else np.zeros(0, np.int64)
     flat = np.concatenate([s for _, _, s in done]) if done else np.zeros(0, np.int32)
@@ -246,6 +175,87 @@ def _merge_rounds(v: Vocabulary, sym: np.ndarray, lengths: np.ndarray) -> tuple[
     return flat[_ranges(begins[back], sizes[back])], sizes[back]
 
 
+def _rounds(v: Vocabulary, sym: np.ndarray, rank: np.ndarray, new: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge in place until half of the symbols are gone or closed: which symbols live, which words are open.
+
+    The segmented minimum of a word is taken over the minima of its blocks, and only blocks that a
+    merge has touched are looked at again, so that a round over a long word costs little.
+    """
+    n = len(sym)
+    ends = np.cumsum(lengths)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1], before[ends - lengths] = -1, -1
+    per_word = -(-lengths // BLOCK)
+    of_word = np.repeat(np.arange(len(lengths)), per_word)
+    nth = np.arange(len(of_word)) - np.repeat(np.cumsum(per_word) - per_word, per_word)
+    begins = (ends - lengths)[of_word] + nth * BLOCK
+    size = np.diff(np.append(begins, n))
+    block_of = np.repeat(np.arange(len(begins)), size)
+    low = np.minimum.reduceat(rank, begins)
+    live, open_words = np.ones(n, bool), np.ones(len(lengths), bool)
+    blocks, gone, held = np.arange(len(begins)), 0, n
+    while True:
+        owner = of_word[blocks]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        best = np.minimum.reduceat(low[blocks], first)
+        if (best == NONE).any():
+            shut = owner[first[best == NONE]]
+            open_words[shut] = False
+            held -= int(lengths[shut].sum())
+            stays = open_words[owner]
+            blocks, owner, best = blocks[stays], owner[stays], best[best != NONE]
+        if not len(blocks) or 2 * held <= n or 2 * gone >= n:
+            return live, open_words
+        number = np.cumsum(np.concatenate([[0], owner[1:] != owner[:-1]]))
+        hit = low[blocks] == best[number]
+        some = blocks[hit]
+        at = _ranges(begins[some], size[some])
+        wanted = np.repeat(best[number[hit]], size[some])
+        at = at[rank[at] == wanted]
+        word = of_word[block_of[at]]
+        # Of adjacent occurrences every other one merges, from the left.
+        jump = np.ones(len(at), bool)
+        jump[1:] = at[1:] != after[at[:-1]]
+        index = np.arange(len(at))
+        at = at[(index - np.maximum.accumulate(np.where(jump, index, 0))) % 2 == 0]
+        at = _in_turn(v, sym, rank, new, before, after, at, of_word[block_of[at]])
+        gone += len(at)
+        right = after[at]
+        sym[at], live[right], rank[right] = new[at], False, NONE
+        after[at] = after[right]
+        inner = at[after[at] >= 0]
+        before[after[inner]] = inner
+        rank[at] = NONE
+        left = before[at]
+        left = left[left >= 0]
+        fresh = np.concatenate([left, inner])
+        rank[fresh], new[fresh] = v.look_up(sym[fresh], sym[after[fresh]])
+        touched = np.unique(block_of[np.concatenate([at, right, left])])
+        cells = _ranges(begins[touched], size[touched])
+        low[touched] = np.minimum.reduceat(rank[cells], np.cumsum(size[touched]) - size[touched])
+
+
+def _in_turn(v: Vocabulary, sym: np.ndarray, rank: np.ndarray, new: np.ndarray, before: np.ndarray, after: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The occurrences that may merge at once: in each word, those up to the first that makes a pair of equal or better rank."""
+    risky = np.flatnonzero(v.eager[new[at]])
+    if not len(risky):
+        return at
+    here = at[risky]
+    piece, right, left = new[here], after[after[here]], before[here]
+    # The symbol on the left is a merged one if the occurrence before ends there.
+    earlier = np.maximum(risky - 1, 0)
+    joined = (risky > 0) & (after[at[earlier]] == left)
+    left_sym = np.where(joined, new[at[earlier]], sym[left])
+    pairs = np.minimum(
+        np.where(left >= 0, v.look_up(left_sym, piece)[0], NONE),
+        np.where(right >= 0, v.look_up(piece, sym[right])[0], NONE),
+    )
+    stops = risky[pairs <= rank[here]]
+    last = np.full(int(word[-1]) + 1, len(at))
+    np.minimum.at(last, word[stops], stops)
+    return at[np.arange(len(at)) <= last[word]]
+
+
 def _bytes_for_unknown(v: Vocabulary, sym: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Put the byte pieces of code points that have no piece in their place."""
     strange = np.flatnonzero(sym >= v.size)

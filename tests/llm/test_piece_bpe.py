@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -66,3 +67,12 @@ def test_query(spark, sf_dir, both):
         ids = both[1].encode(texts[r["doc_id"]], add_bos=True, add_eos=True)
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(both[1].decode(ids).encode()).hexdigest()
+
+
+def test_words_of_a_megabyte(both):
+    """Long unbroken runs go through the same rounds, exactly and in bounded time."""
+    rnd = random.Random(9)
+    pieces = [p for i in range(300, 32000) if "▁" not in (p := both[1].id_to_piece(i)) and p.isalpha() and p.isascii()]
+    start = time.time()
+    same(both, ["".join(rnd.choice("abcdeinrst") for _ in range(1_000_000)), "".join(rnd.choice(pieces) for _ in range(200_000)), "z" * 1_000_000])
+    assert time.time() - start < 60
