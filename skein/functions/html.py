@@ -1,9 +1,14 @@
-"""HTML to Markdown and plain text, as pandas functions over a column of pages."""
+"""HTML to Markdown and plain text, as pandas functions over a column of pages.
+
+A page is read into a small tree once. The region that counts is chosen on the tree, and a table of
+rules says what each element puts before and after its contents.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -11,147 +16,161 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Elements that are never shown, that are shown only in a main region, that are empty, and that part lines.
-SKIP = frozenset("script style noscript template svg head iframe button select form".split())
-BOILERPLATE = frozenset("nav footer aside".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-LINE = frozenset("div section article main header br hr ul ol figure dl dt dd".split())
-PARAGRAPH = frozenset("p blockquote table".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MIN_MAIN = 200
-
-
-class _Writer(HTMLParser):
-    """Writes Markdown while it reads; ``main`` names the region that counts, or nothing for all."""
-
-    def __init__(self, base: str, main: str) -> None:
+#: What HTML says of elements. Never shown; shown only in a main region; without contents.
+NEVER, ASIDE, EMPTY = (frozenset(x.split()) for x in ("script style noscript template svg head iframe button select form", "nav footer aside", "area base br col embed hr img input link meta source track wbr"))
+#: What an element puts before and after its contents; elements that are not named put nothing.
+RULES: dict[str, tuple[str, str]] = {
+    **{f"h{n}": (f"\n\n{'#' * n} ", "\n") for n in range(1, 7)},
+    **dict.fromkeys(("div", "section", "article", "main", "header", "figure", "dl", "dt", "dd"), ("\n", "\n")),
+    **dict.fromkeys(("p", "blockquote", "table"), ("\n\n", "\n")),
+    **dict.fromkeys(("br", "hr"), ("\n", "")),
+    **dict.fromkeys(("ul", "ol"), ("", "\n\n")),
+    **dict.fromkeys(("td", "th"), (" ", " |")),
+    "tr": ("\n|", ""),
+    "pre": ("\n\n```\n", "\n```\n\n"),
+}
+
+
+@dataclass
+class Node:
+    tag: str
+    attrs: dict[str, str | None] = field(default_factory=dict)
+    inside: list[Node | str] = field(default_factory=list)
+
+    @property
+    def hidden(self) -> bool:
+        return self.tag in NEVER or "hidden" in self.attrs or self.attrs.get("aria-hidden") == "true"
+
+
+class _Reader(HTMLParser):
+    """Builds the tree. An end tag closes the innermost open element of its name, and all inside it."""
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.base, self.main = base, main
-        self.chunks: list[str] = []
-        self.title: list[str] = []
-        self.in_title = False
-        self.open: dict[str, list[object]] = {}  # region -> [tag, depth]
-        self.numbers: list[int | None] = []  # one per open list; None for bullets
-        self.anchors: list[tuple[str, int]] = []
-        self.verbatim = 0
-
-    def _inside(self, region: str) -> bool:
-        return region in self.open
-
-    def _down(self, region: str, tag: str) -> None:
-        if region in self.open:
-            if self.open[region][0] == tag:
-                self.open[region][1] += 1  # type: ignore[operator]
-        elif tag not in VOID:
-            self.open[region] = [tag, 1]
-
-    def _up(self, region: str, tag: str) -> None:
-        if region in self.open and self.open[region][0] == tag:
-            self.open[region][1] -= 1  # type: ignore[operator]
-            if not self.open[region][1]:
-                del self.open[region]
-
-    def _write(self, text: str) -> None:
-        if not self._inside("hidden") and (not self.main or self._inside("main")):
-            self.chunks.append(text)
+        self.root = Node("")
+        self.path = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        given = dict(attrs)
-        self.in_title = self.in_title or tag == "title"
-        begins_main = tag == self.main or (self.main == "role" and given.get("role") == "main")
-        if self.main and (begins_main or self._inside("main")):
-            self._down("main", tag)
-        hides = tag in SKIP or (not self.main and tag in BOILERPLATE) or "hidden" in given or given.get("aria-hidden") == "true"
-        if hides or self._inside("hidden"):
-            self._down("hidden", tag)
-            return
-        match tag:
-            case "ul" | "ol":
-                self.numbers.append(0 if tag == "ol" else None)
-            case "li":
-                mark = "- "
-                if self.numbers and self.numbers[-1] is not None:
-                    self.numbers[-1] += 1
-                    mark = f"{self.numbers[-1]}. "
-                self._write("\n" + "  " * max(len(self.numbers) - 1, 0) + mark)
-            case "pre":
-                self.verbatim += 1
-                self._write("\n\n```\n")
-            case "code" if not self.verbatim:
-                self._write("`")
-            case "a":
-                self.anchors.append((given.get("href") or "", len(self.chunks)))
-            case "tr":
-                self._write("\n|")
-            case "td" | "th":
-                self._write(" ")
-            case _ if tag in HEADINGS:
-                self._write(f"\n\n{'#' * int(tag[1])} ")
-        if tag in PARAGRAPH:
-            self._write("\n\n")
-        elif tag in LINE:
-            if tag not in ("ul", "ol"):
-                self._write("\n")
+        if tag == "body":
+            self.handle_endtag("head")  # whose end tag may be left out
+        node = Node(tag, dict(attrs))
+        self.path[-1].inside.append(node)
+        if tag not in EMPTY:
+            self.path.append(node)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        self.in_title = self.in_title and tag != "title"
-        if self._inside("hidden"):
-            self._up("hidden", tag)
-        else:
-            self._close(tag)
-        self._up("main", tag)
-
-    def _close(self, tag: str) -> None:
-        match tag:
-            case "a" if self.anchors:
-                href, start = self.anchors.pop()
-                text = " ".join("".join(self.chunks[start:]).split())
-                visible = not self.main or self._inside("main")
-                if visible and text and href and not href.startswith(("#", "javascript:", "mailto:")):
-                    self.chunks[start:] = [f"[{text}]({urljoin(self.base, href)})"]
-            case "ul" | "ol" if self.numbers:
-                self.numbers.pop()
-                self._write("\n")
-            case "pre" if self.verbatim:
-                self.verbatim -= 1
-                self._write("\n```\n\n")
-            case "code" if not self.verbatim:
-                self._write("`")
-            case "td" | "th":
-                self._write(" |")
-            case _ if tag in HEADINGS | PARAGRAPH | LINE:
-                self._write("\n")
+        depth = next((i for i in range(len(self.path) - 1, 0, -1) if self.path[i].tag == tag), 0)
+        if depth:
+            del self.path[depth:]
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
+        self.path[-1].inside.append(data)
+
+
+def read(html: str | None) -> Node:
+    reader = _Reader()
+    reader.feed(html or "")
+    reader.close()
+    return reader.root
+
+
+def _walk(node: Node) -> Iterator[Node]:
+    """All elements below ``node`` in the order of the page; no recursion, as pages can be deep."""
+    todo = [node]
+    while todo:
+        at = todo.pop()
+        yield at
+        todo += [x for x in reversed(at.inside) if isinstance(x, Node)]
+
+
+def _outermost(root: Node, wanted: set[int]) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        at = todo.pop()
+        if id(at) in wanted:
+            out.append(at)
         else:
-            self._write(data if self.verbatim else re.sub(r"\s+", " ", data))
+            todo += [x for x in reversed(at.inside) if isinstance(x, Node)]
+    return out
+
+
+def _regions(root: Node) -> list[Node]:
+    """The main elements, or else those with that role, or else the articles; none inside another."""
+    found: dict[str, set[int]] = {"main": set(), "role": set(), "article": set()}
+    for node in _walk(root):
+        for name, hit in (("main", node.tag == "main"), ("role", node.attrs.get("role") == "main"), ("article", node.tag == "article")):
+            if hit:
+                found[name].add(id(node))
+    return _outermost(root, next((x for x in found.values() if x), set()))
+
+
+@dataclass
+class _Open:
+    """An element that is being rendered: what is left of it, and the text that it has given so far."""
+
+    node: Node
+    rest: Iterator[Node | str]
+    text: list[str]
+    verbatim: bool
+    lists: tuple[str, ...]
+    items: int = 0
+
+
+def _render(node: Node, base: str, whole_page: bool) -> str:
+    """The Markdown of an element and its contents."""
+    stack = [_Open(node, iter(node.inside), [], node.tag == "pre", ())]
+    while True:
+        top = stack[-1]
+        child = next(top.rest, None)
+        if isinstance(child, str):
+            top.text.append(child if top.verbatim else re.sub(r"\s+", " ", child))
+        elif child is not None:
+            if not (child.hidden or (whole_page and child.tag in ASIDE)):
+                lists = (*top.lists, child.tag) if child.tag in ("ul", "ol") else top.lists
+                stack.append(_Open(child, iter(child.inside), [], top.verbatim or child.tag == "pre", lists))
+        else:
+            stack.pop()
+            owner = next((x for x in reversed(stack) if x.node.tag in ("ul", "ol")), None)
+            made = _element(top, base, owner)
+            if not stack:
+                return made
+            stack[-1].text.append(made)
+
+
+def _element(done: _Open, base: str, owner: _Open | None) -> str:
+    text, tag = "".join(done.text), done.node.tag
+    if tag == "a":
+        href, label = done.node.attrs.get("href") or "", " ".join(text.split())
+        follows = href and not href.startswith(("#", "javascript:", "mailto:"))
+        return f"[{label}]({urljoin(base, href)})" if label and follows else text
+    if tag == "li":
+        mark = "- "
+        if owner is not None and owner.node.tag == "ol":
+            owner.items += 1
+            mark = f"{owner.items}. "
+        return "\n" + "  " * max(len(done.lists) - 1, 0) + mark + text
+    if tag == "code" and not done.verbatim:
+        return f"`{text}`"
+    before, after = RULES.get(tag, ("", ""))
+    return before + text + after
 
 
 def _tidy(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(line.rstrip() for line in text.splitlines())).strip()
 
 
-def _main_region(html: str) -> str:
-    for name, pattern in (("main", r"<main[\s>]"), ("role", r"role\s*=\s*[\"']main[\"']"), ("article", r"<article[\s>]")):
-        if re.search(pattern, html, re.I):
-            return name
-    return ""
-
-
 def to_markdown(html: str | None, base: str = "") -> tuple[str, str]:
     """(title, markdown) of a page's main region, or of the whole page if that has little text."""
-    source = html or ""
-    title, body = "", ""
-    for region in dict.fromkeys((_main_region(source), "")):
-        writer = _Writer(base, region)
-        writer.feed(source)
-        title = "".join(writer.title) or title
-        body = _tidy("".join(writer.chunks))
-        if region and len(body) >= MIN_MAIN:
-            break
-    return " ".join(title.split()), body
+    root = read(html)
+    title = " ".join(" ".join("".join(x for x in node.inside if isinstance(x, str)) for node in _walk(root) if node.tag == "title").split())
+    body = _tidy("".join(_render(x, base, False) for x in _regions(root) if not x.hidden))
+    if len(body) < MIN_MAIN:
+        body = _tidy(_render(root, base, True))
+    return title, body
 
 
 def to_text(html: str | None) -> str:

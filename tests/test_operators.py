@@ -168,6 +168,8 @@ def test_html():
         assert part in body
     assert not any(x in body for x in ("menu", "no\n", "\nf"))
     assert html.to_markdown("<main>short</main><p>outside</p>")[1] == "short\n\noutside" and html.to_markdown(None) == ("", "")
+    assert html.to_markdown("<head><title>T</title><body><p>shown") == ("T", "shown")
+    assert html.to_markdown("<ul><li>a<ol><li>b</li></ol></li></ul>")[1] == "- a\n  1. b"
     assert html.to_text('<p>a <a href="/b">c</a> <code>d</code>') == "a c d"
 
 
@@ -178,6 +180,8 @@ def test_actions():
         '{"tool": "a", "x": 1, "args": {"x": 2}}': ("a", '{"x": 2}', None),
         "<function=grep><parameter=pattern> x </parameter></function>": ("grep", '{"pattern": "x"}', None),
         '<tool_call>{"name": "w", "arguments": {"k": "v"}}</tool_call>': ("w", '{"k": "v"}', None),
+        "<tool_call><search>\nquery>\n a b \n</parameter></tool_call>": ("search", '{"query": " a b "}', None),
+        '<tool_call>{"name": "old"}</tool_call> <tool_call>{"name": "new", "arguments": "{}"}': ("new", "{}", None),
         "nothing": (None, None, actions.NO_ACTION),
         "```json\n{bad\n```": (None, None, "invalid json"),
         '```json\n{"a": 1}\n```': (None, None, 'json must be an object with a "tool" key'),
