@@ -6,8 +6,9 @@ estimates the prior and, for each labeller and class, how often it votes what; n
 The posterior of a document's votes is its weak label. A logistic scorer over hashed byte trigrams,
 word hashes and repeated neighbours learns the weak labels of a sample, and scores all documents.
 
-The counts cover all documents. The scorer is fitted on at most TRAIN_DOCS documents, taken by hash
-of their id. Scoring is per row and shuffles nothing; the broadcast weights have a fixed size.
+The counts cover all documents. The scorer is fitted on at most TRAIN_DOCS documents of at most
+SAMPLE_BYTES bytes, taken by hash of their id, and only features that occur in them take part in its
+steps. Scoring is per row and shuffles nothing; the broadcast weights have a fixed size.
 
 Defined results: a null or empty text, or one without a word, gets score 0 and is not kept. Repeated
 rows get equal results; null ids are allowed. Other columns are ignored. With no document to learn
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import text_arrays
 from skein.llm.common import WORD, let
-from skein.llm.sampling import first_by_hash
+from skein.llm.sampling import first_by_hash, fits
 
 TRAIN_DOCS = 2000
 ROUNDS = 60
@@ -51,6 +52,8 @@ def votes(text: Column, words: Column) -> dict[str, Column]:
     capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>{}!", ""))
     distinct = F.size(F.array_distinct(words))
+    # Herdan's measure of lexical variety hardly depends on the length of a text.
+    variety = F.when(n > 1, F.log(distinct) / F.log(n))
     repeats = let(words, lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))))
     function = F.size(F.filter(words, lambda w: F.lower(w).isin(FUNCTION_WORDS)))
     ends = F.regexp_count(text, F.lit(r"[.?!](?=\s|$)"))
@@ -59,7 +62,7 @@ def votes(text: Column, words: Column) -> dict[str, Column]:
         "symbols": _vote(symbols > 0.15 * n, symbols < 0.03 * n),
         "capitals": _vote(capitals > 0.3 * letters, capitals < 0.12 * letters),
         "neighbours": _vote(repeats > 0.1 * n, repeats < 0.02 * n),
-        "variety": _vote(distinct < 0.35 * F.least(n, F.lit(400)), distinct > 0.5 * F.least(n, F.lit(400))),
+        "variety": _vote(variety < 0.8, variety > 0.85),
         "function_words": _vote(function < 0.05 * n, function > 0.12 * n),
         "sentences": _vote(ends < n / 60, ends.between(n / 25, n / 3)),
     }
@@ -158,15 +161,18 @@ def train(texts: list[str], target: np.ndarray, steps: int = STEPS) -> tuple[np.
     per = np.repeat(1.0 / np.maximum(sizes, 1), sizes)
     classes = np.where(target > 0.5, 1 / max(target.sum(), 1), 1 / max((1 - target).sum(), 1))
     classes = classes / classes.sum()
-    bound, seen, seen_bias = 1.0, np.full(N_FEATURES, 1e-12), 1e-12
+    known, index = np.unique(index, return_inverse=True)
+    step = np.zeros(len(known))
+    bound, seen, seen_bias = 1.0, np.full(len(known), 1e-12), 1e-12
     for _ in range(steps):
-        odds = 1 / (1 + np.exp(-np.clip(_sums(weights, index, sizes) + bias, -40, 40)))
+        odds = 1 / (1 + np.exp(-np.clip(_sums(step, index, sizes) + bias, -40, 40)))
         slope = (odds - target) * classes
-        gradient = np.bincount(index, np.repeat(slope, sizes) * per, N_FEATURES) + 1e-7 * weights
+        gradient = np.bincount(index, np.repeat(slope, sizes) * per, len(known)) + 1e-7 * step
         seen += gradient**2
         seen_bias += slope.sum() ** 2
-        weights -= bound * gradient / np.sqrt(seen)
+        step -= bound * gradient / np.sqrt(seen)
         bias -= 0.1 * bound * slope.sum() / np.sqrt(seen_bias)
+    weights[known] = step
     return weights, float(bias)
 
 
@@ -180,7 +186,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_a
     counted = vote_table(slim.select("text")).groupBy(*names).count().collect()  # 3^7 rows at most
     table = np.array([[r[c] for c in names] for r in counted], np.int64).reshape(-1, len(names))
     labels = expectation_maximisation(table, np.array([r["count"] for r in counted], float)) if counted else LabelModel(0.5, np.full((len(names), 2, 3), 1 / 3))
-    first = first_by_hash(slim.where(F.col("text").rlike(WORD)), train_docs, "doc_id", "text")
+    first = first_by_hash(slim.where(F.col("text").rlike(WORD) & fits("text")), train_docs, "doc_id", "text")
     sample = vote_table(first.select("text")).collect()
     target = labels.posterior(np.array([[r[c] for c in names] for r in sample], np.int64)) if sample else np.zeros(0)
     weights, bias = train([r["text"] for r in sample], target)

@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 1 << 40
+#: Bytes of the longest text that a model is fitted on; so a sample of n texts has at most n times as many.
+SAMPLE_BYTES = 1 << 15
+
+
+def fits(text: str | Column) -> Column:
+    """Whether a text is short enough for a sample that is gathered on the driver."""
+    return F.octet_length(text) <= SAMPLE_BYTES
 
 
 def place(*columns: str | Column) -> Column:
