@@ -9,8 +9,9 @@ with all landmarks are its 0/1 presence row times the landmarks' presence matrix
 stacked and scored by matrix products, a batch at a time.
 
 Fitting is bounded and documented: at most PER_LANGUAGE texts of each of MOST_LANGUAGES languages and
-MOST_TEXTS in all, taken by hash of their id, of which at most LANDMARKS are landmarks. Languages are counted first, so that
-little more than the sample is shuffled. Prediction covers all texts, whole, and shuffles nothing;
+MOST_TEXTS in all, of at most SAMPLE_BYTES bytes each, taken by hash of their id. LANDMARKS of them, or
+one of each language if there are more languages, are landmarks; all their letters count, of whatever
+script. Languages are counted first, so that little more than the sample is shuffled. Prediction covers all texts, whole, and shuffles nothing;
 the broadcast model has a size bounded by these parameters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
@@ -31,15 +32,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import text_arrays
-from skein.llm.sampling import SPAN, place
+from skein.llm.sampling import SPAN, fits, place
 
 PER_LANGUAGE = 400
 MOST_TEXTS = 8000
 MOST_LANGUAGES = 1000
 LANDMARKS = 256
 RIDGE = 1e-3
-LETTERS = 62
 ROWS = 128
+#: Cells of the presence rows that are scored at once, which bounds their memory where landmarks have many n-grams.
+CELLS = 1 << 23
 UNKNOWN = "und"
 
 
@@ -50,30 +52,39 @@ def _is_letter() -> np.ndarray:
 
 @dataclass
 class Grams:
-    """Codes of letters (0: none, 1: another letter, from 2 on the learned ones) and ids of n-grams."""
+    """Numbers of letters (0: none, 1: one that no landmark has, from 2 on those of landmarks), and the
+    landmarks' n-grams with their ids in an open hash table."""
 
     letter: np.ndarray
     base: int
+    slots: np.ndarray
     ids: np.ndarray
     size: int
 
     @classmethod
-    def learn(cls, texts: list[str], landmarks: list[str]) -> Grams:
-        points = np.frombuffer("".join(texts).lower().encode("utf-32-le"), np.uint32)
-        counts = np.bincount(points[_is_letter()[points]], minlength=1)
-        common = np.argsort(-counts, kind="stable")[:LETTERS]
-        letter = _is_letter().astype(np.uint8)
-        common = common[counts[common] > 0]
-        letter[common] = np.arange(2, 2 + len(common))
-        base = 2 + len(common)
-        out = cls(letter, base, np.zeros(0, np.int32), 0)
-        used = np.zeros(base + base**2 + base**3, bool)
-        _, codes = out._codes(pa.array(landmarks))
-        used[codes] = True
-        out.ids = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)
-        out.size = int(used.sum())
+    def learn(cls, landmarks: list[str]) -> Grams:
+        points = np.unique(np.frombuffer("".join(landmarks).lower().encode("utf-32-le"), np.uint32))
+        points = points[_is_letter()[points]]
+        letter = _is_letter().astype(np.int32)
+        letter[points] = np.arange(2, 2 + len(points))
+        out = cls(letter, 2 + len(points), np.zeros(1, np.int64), np.zeros(1, np.int32), 0)
+        codes = np.unique(np.concatenate([out._codes(pa.array([x]))[1] for x in landmarks]))
+        out.size = len(codes)
+        out.slots = np.zeros(1 << (4 * len(codes)).bit_length(), np.int64)  # no n-gram has the code 0
+        out.ids = np.full(len(out.slots), -1, np.int32)
+        left = np.arange(len(codes))
+        at = out._slot(codes)
+        while len(left):
+            free = out.slots[at] == 0
+            spot, first = np.unique(at[free], return_index=True)
+            out.slots[spot], out.ids[spot] = codes[left[free][first]], left[free][first]
+            rest = out.slots[at] != codes[left]
+            left, at = left[rest], (at[rest] + 1) & (len(out.slots) - 1)
         return out
 
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
     def _codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Text and code of every n-gram occurrence."""
         lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -94,15 +105,30 @@ class Grams:
         owners = np.concatenate([owner[single], owner[:-1][same], owner[:-2][whole]])
         return owners, np.concatenate([symbol[single], one + pair[same], one + two + triple[whole]])
 
+    def _look_up(self, codes: np.ndarray) -> np.ndarray:
+        """The id of each code, or -1."""
+        out = np.full(len(codes), -1, np.int32)
+        at, rest = self._slot(codes), np.arange(len(codes))
+        while len(rest):
+            held = self.slots[at]
+            hit = held == codes
+            out[rest[hit]] = self.ids[at[hit]]
+            more = ~hit & (held != 0)
+            rest, codes, at = rest[more], codes[more], (at[more] + 1) & (len(self.slots) - 1)
+        return out
+
     def presence(self, texts: pa.Array) -> np.ndarray:
-        """A row of 0 and 1 per text: which of the known n-grams it has."""
+        """A row of 0 and 1 per text: which of the landmarks' n-grams it has."""
         owners, codes = self._codes(texts)
-        ids = self.ids[codes]
+        ids = self._look_up(codes)
         known = ids >= 0
         rows = np.zeros((len(texts), self.size), np.float32)
         rows.ravel()[owners[known].astype(np.int64) * self.size + ids[known]] = 1
         return rows
 
+    def rows_at_once(self) -> int:
+        return max(1, min(ROWS, CELLS // max(1, self.size)))
+
     def has_letter(self, texts: pa.Array) -> np.ndarray:
         return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
@@ -132,18 +158,19 @@ class Model:
 
 
 def fit_rows(texts: list[str], labels: list[str]) -> Model:
-    """Fit from texts that have a letter; the first LANDMARKS, dealt evenly to languages, are landmarks."""
+    """Fit from texts that have a letter; the first LANDMARKS, dealt evenly to languages, are landmarks, one of each at least."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], None, np.zeros((0, 0), np.float32), np.zeros(0, np.float32), 1.0)
     at = {x: [i for i, y in enumerate(labels) if y == x] for x in languages}
     share = max(1, LANDMARKS // len(languages))
     chosen = [i for x in languages for i in at[x][:share]]
-    grams = Grams.learn(texts, [texts[i] for i in chosen])
-    blocks = [grams.presence(pa.array(texts[i : i + ROWS])) for i in range(0, len(texts), ROWS)]
+    grams = Grams.learn([texts[i] for i in chosen])
+    at_once = grams.rows_at_once()
     marks = grams.presence(pa.array([texts[i] for i in chosen]))
     k_mm = _kernel(marks, marks).astype(np.float64)
-    k_nm = np.concatenate([_kernel(b, marks) for b in blocks]).astype(np.float64)
+    some = [pa.array(texts[i : i + at_once]) for i in range(0, len(texts), at_once)]
+    k_nm = np.concatenate([_kernel(grams.presence(x), marks) for x in some]).astype(np.float64)
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     offset = target.mean(axis=0)
     left = k_nm.T @ k_nm + len(texts) * RIDGE * k_mm + 1e-8 * np.eye(len(chosen))
@@ -151,10 +178,11 @@ def fit_rows(texts: list[str], labels: list[str]) -> Model:
     weights = marks.T @ (solved / np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None])
     model = Model(languages, grams, weights.astype(np.float32), offset.astype(np.float32), 1.0)
     truth = target.argmax(axis=1)
-    fits = np.concatenate([model.scores(b) for b in blocks])
+    # With the kernel in place of presence rows, the scores are those of the weights.
+    scored = k_nm @ solved + offset
 
     def loss(sharpness: float) -> float:
-        z = fits * sharpness
+        z = scored * sharpness
         z = z - z.max(axis=1, keepdims=True)
         return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]))
 
@@ -168,7 +196,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from the documents that are not held out."""
-    known = docs.where(~is_held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    known = docs.where(~is_held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & fits(F.col(text)))
     sample = known.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = sample.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES)
     below = counts.select("lang", (F.least(F.lit(1.0), (2 * PER_LANGUAGE + 100) / F.col("_n")) * SPAN).cast("long").alias("_below"))
@@ -189,8 +217,9 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
             for some in text_arrays.slices(batch, "text"):
-                for start in range(0, some.num_rows, ROWS):
-                    part = some.slice(start, ROWS)
+                at_once = m.grams.rows_at_once() if m.grams is not None else ROWS
+                for start in range(0, some.num_rows, at_once):
+                    part = some.slice(start, at_once)
                     texts = part.column("text")
                     best, score = np.full(part.num_rows, len(names) - 1), np.zeros(part.num_rows)
                     if m.grams is not None:

@@ -29,7 +29,7 @@ def test_language_held_out(docs):
 
 def test_kernel_is_the_share_of_common_grams():
     texts = ["abc abd", "abd", "zzz"]
-    grams = language_id.Grams.learn(texts, texts)
+    grams = language_id.Grams.learn(texts)
     rows = grams.presence(pa.array(texts))
 
     def by_hand(text: str) -> set[str]:
@@ -44,12 +44,43 @@ def test_kernel_is_the_share_of_common_grams():
 
 
 def test_scores_are_kernel_ridge_regression():
-    """The collapsed weights give what the kernels with all landmarks give."""
+    """The collapsed weights give what the kernels with all landmarks give, solved by hand."""
     texts = ["the cat and the dog", "a dog in the house", "der hund und die katze", "ein haus und der hund"] * 5
     labels = ["en", "en", "de", "de"] * 5
     model = language_id.fit_rows(texts, labels)
-    rows = model.grams.presence(pa.array(["the house", "die katze"]))
-    assert [model.languages[i] for i in model.scores(rows).argmax(axis=1)] == ["en", "de"]
+    asked = ["the house", "die katze", "hund and house"]
+
+    def sets(text: str) -> set[str]:
+        padded = f" {text} "
+        return {padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)} - {" "}
+
+    order = [i for lang in ("de", "en") for i in range(len(labels)) if labels[i] == lang]
+    known = set().union(*map(sets, texts))
+    kernel = lambda x, y: np.array([[len(sets(a) & sets(b)) / np.sqrt(len(sets(a) & known) * len(sets(b) & known)) for b in y] for a in x])
+    marks = [texts[i] for i in order]
+    k_nm, k_mm = kernel(texts, marks), kernel(marks, marks)
+    target = np.array([[1.0, -1.0] if x == "de" else [-1.0, 1.0] for x in labels])
+    solved = np.linalg.solve(k_nm.T @ k_nm + len(texts) * language_id.RIDGE * k_mm + 1e-8 * np.eye(len(marks)), k_nm.T @ (target - target.mean(axis=0)))
+    wanted = kernel(asked, marks) @ solved + target.mean(axis=0)
+    assert np.abs(model.scores(model.grams.presence(pa.array(asked))) - wanted).max() < 1e-3
+
+
+def test_many_scripts_and_languages():
+    """Chinese and Japanese are told apart by their letters, and so are a hundred invented languages."""
+    zh = ["我们今天去图书馆看书", "这个城市的天气很好", "他们在学校里学习中文", "请问你叫什么名字", "我喜欢喝茶和咖啡", "火车站离这里不远"]
+    ja = ["今日は図書館で本を読みます", "この町の天気はとても良いです", "彼らは学校で勉強しています", "お名前は何ですか", "私はお茶とコーヒーが好きです", "駅はここから遠くありません"]
+    model = language_id.fit_rows(zh[:5] + ja[:5], ["zh"] * 5 + ["ja"] * 5)
+    assert [model.languages[i] for i in model.scores(model.grams.presence(pa.array([zh[5], ja[5]]))).argmax(axis=1)] == ["zh", "ja"]
+    rng = np.random.default_rng(5)
+
+    def text(k: int) -> str:
+        own = [chr(0x4E00 + 40 * k + i) for i in range(40)]
+        return "".join(own[i] if i < 40 else " " for i in rng.integers(0, 45, 120))
+
+    labels = [f"l{k:03d}" for k in range(100) for _ in range(4)]
+    model = language_id.fit_rows([text(int(x[1:])) for x in labels], labels)
+    found = model.scores(model.grams.presence(pa.array([text(k) for k in range(100)]))).argmax(axis=1)
+    assert np.mean([model.languages[i] == f"l{k:03d}" for k, i in enumerate(found)]) > 0.99
 
 
 def test_classifier_against_labels(docs, spark):
