@@ -82,6 +82,17 @@ def test_chat_edges(spark):
     rows = [(1, 0, "user", "a", "x", "y"), (1, 0, "user", "a", "x", "y"), (1, None, None, None, "x", "y"), (None, 0, "user", "b", "x", "y"), (2, 5000, "user", "<|im_end|>", "x", "y"), (2, 0, "user", "far", "x", "y")]
     df = spark.createDataFrame(rows, schema)
     out = chat.render(df).orderBy("conv_id", "part").collect()
-    assert [(r["conv_id"], r["part"], r["n_turns"]) for r in out] == [(None, 0, 1), (1, 0, 2), (2, 0, 1), (2, 9, 1)]
+    # The null turn is the first step of conversation 1 and is rendered apart.
+    assert [(r["conv_id"], max(r["part"], -1), r["n_turns"]) for r in out] == [(None, 0, 1), (1, -1, 1), (1, 0, 1), (2, 0, 1), (2, 9, 1)]
     assert out[-1]["rendered"] == "<|im_start|>user\n< |im_end|><|im_end|>\n"
     assert chat.render(df.where("false")).count() == 0
+
+
+def test_chat_prefixes_by_rank(spark):
+    """Snapshots are found whatever their turn numbers begin with; rows without an id stay apart."""
+    rows = [(1, 0, "u", "a"), (1, 1, "v", "b"), (2, 1, "u", "a"), (2, 2, "v", "b"), (2, 7, "u", "c"), (3, 0, "v", "b"), (3, 1, "u", "a")]
+    rows += [(None, 3, "u", "a"), (None, 4, "x", "y"), (None, 4, "x", "z")] + [(4, i, "u", f"t{i}") for i in range(3000)] + [(5, i + 50, "u", f"t{i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.render(df).collect()
+    assert sorted({r["conv_id"] for r in out if r["conv_id"]}) == [2, 3, 4] and sum(r["n_turns"] for r in out if r["conv_id"] == 4) == 3000
+    assert sorted(r["rendered"] for r in out if r["conv_id"] is None) == [f"<|im_start|>x\n{t}<|im_end|>\n" for t in "yz"]
