@@ -17,7 +17,9 @@ can split what is hot on the other.
 
 Defined results: words are separated by white space and compared in lower case; texts of one to
 four words have one shingle, their whole; texts without words are copies of each other. Rows with
-a null id belong to no class and have no links. Repeated rows are copies. Other columns are ignored.
+a null id belong to no class and have no links. Repeated rows are copies. Different texts with one id
+are different texts, each with its own links; ids can be of any type that has an order. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import text_arrays
-from skein.llm.common import cut
+from skein.llm.common import cut, pack, unpack
 
 THRESHOLD_PERCENT = 80
 TARGET_RECALL = 0.995
@@ -69,8 +71,12 @@ def _band_hashes(shingles: np.ndarray, counts: np.ndarray, bands: int, rows: int
     return out
 
 
+def _whole(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(doc_id, k1, k2, n, bands): hashes of the word sequence, number of shingles, band hashes."""
+    """(doc_id, whole, k1, k2, n, bands): hashes of the text and of its word sequence, number of shingles, band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,11 +95,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -
                 hashes = _band_hashes(shingles, n[full], bands, rows) if full.any() else np.zeros((0, bands), np.uint64)
                 ends = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *keys, pa.array(n), lists], names=["doc_id", "k1", "k2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("whole"), *keys, pa.array(n), lists], names=["doc_id", "whole", "k1", "k2", "n", "bands"])
         text_arrays.give_back()
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    return slim.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), _whole(text).alias("whole"), F.col(text).alias("text")).where("doc_id is not null")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, whole long, k1 long, k2 long, n long, bands array<long>")
 
 
 def _overlaps(sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -245,44 +251,62 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     that links connect. ``n_links`` counts the other documents with a similarity of at least
     ``percent`` / 100, copies included; ``n_text_links`` counts different texts.
     """
+    return _joined(docs, doc_id, text, percent, recall).drop("whole", "class_node")
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, percent: int, recall: float) -> DataFrame:
+    """``join`` with the hash of each row's text. A text's node (``rep``) is a number of its own, as ids can repeat."""
     bands, rows = banding(percent / 100, recall)
     signed = cut(signatures(docs, doc_id, text, bands, rows))
-    texts = cut(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    texts = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "whole")).alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = cut(texts.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), F.col("least.doc_id").alias("text_id"), F.col("least.whole").alias("whole"), "size", "n", "bands"))
     banded = texts.select("rep", "n", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("members")).where("members > 1")
     members = cut(banded.join(least, "band").select("band", "rep", "n", "least"))
     named = components(members.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep")
-    named = named.join(texts.select("rep", "n", "size"), "rep")
+    named = named.join(texts.select("rep", "n", "size", "text_id", "whole"), "rep")
     loads = named.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_TEXTS)).alias("parts"))
-    blocks = named.join(loads, "root").select("rep", "size", "parts", F.xxhash64("root", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+    blocks = named.join(loads, "root").select("rep", "size", "text_id", "whole", "parts", F.xxhash64("root", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
     blocks = cut(blocks)
     # Units: each block with itself, and each two blocks that a band has in common.
-    wide = members.select("band", "rep").join(blocks.where("parts > 1"), "rep").select("band", "rep", "size", "block")
+    wide = members.select("band", "rep").join(blocks.where("parts > 1"), "rep").select("band", "rep", "size", "text_id", "whole", "block")
     other = wide.select("band", F.col("block").alias("block2")).distinct()
-    across = wide.join(other, "band").where("block != block2").select("rep", "size", "block", "block2").distinct()
+    across = wide.join(other, "band").where("block != block2").select("rep", "size", "text_id", "whole", "block", "block2").distinct()
     unit = F.xxhash64(F.least("block", "block2"), F.greatest("block", "block2")).alias("unit")
-    both = across.select("rep", "size", unit, F.when(F.col("block") < F.col("block2"), 1).otherwise(2).alias("side"))
-    shipped = both.union(blocks.select("rep", "size", F.xxhash64("block"), F.lit(0)))
-    bodies = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
-    # A repeated id must not repeat in a unit; the signature tells the text that stands for its copies.
-    held = bodies.join(shipped, "rep").repartition("unit").sortWithinPartitions("unit", "rep").dropDuplicates(["unit", "rep"]).sortWithinPartitions("unit", "rep")
+    both = across.select("rep", "size", "text_id", "whole", unit, F.when(F.col("block") < F.col("block2"), 1).otherwise(2).alias("side"))
+    shipped = both.union(blocks.select("rep", "size", "text_id", "whole", F.xxhash64("block"), F.lit(0)))
+    bodies = docs.select(F.col(doc_id).alias("text_id"), _whole(text).alias("whole"), F.col(text).alias("text")).where("text_id is not null")
+    # Repeated rows must not repeat in a unit.
+    held = bodies.join(shipped, ["text_id", "whole"]).repartition("unit").sortWithinPartitions("unit", "rep").dropDuplicates(["unit", "rep"]).sortWithinPartitions("unit", "rep")
     found = cut(held.select("rep", "unit", "side", "size", "text").mapInArrow(_units(percent), "rep long, n_texts long, n_docs long, root long"))
     counts = found.groupBy("rep").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    whole = texts.select("k1", "k2", "rep", "size").join(counts, "rep", "left").join(labels, "rep", "left")
-    out = signed.select("doc_id", "k1", "k2").join(whole, ["k1", "k2"]).select(
+    labels = labels.join(texts.select("rep", "text_id"), "rep")
+    least_id = labels.groupBy("root").agg(F.min("text_id").alias("class_id"))
+    labels = labels.join(least_id, "root").select("rep", "root", "class_id")
+    by_text = texts.select("k1", "k2", "rep", "text_id", "size").join(counts, "rep", "left").join(labels, "rep", "left")
+    out = signed.select("doc_id", "whole", "k1", "k2").join(by_text, ["k1", "k2"]).select(
         "doc_id",
-        F.coalesce("root", "rep").alias("class_id"),
+        "whole",
+        F.coalesce("root", "rep").alias("class_node"),
+        F.coalesce("class_id", "text_id").alias("class_id"),
         (F.col("size") - 1 + F.coalesce("n_docs", F.lit(0))).alias("n_links"),
-        F.col("rep").alias("text_id"),
+        "text_id",
         F.coalesce("n_texts", F.lit(0)).alias("n_text_links"),
     )
-    none = docs.where(F.col(doc_id).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("text_id"), F.lit(0).cast("long").alias("n_text_links"))
+    kind = docs.schema[doc_id].dataType
+    null, zero = F.lit(None).cast(kind), F.lit(0).cast("long")
+    none = docs.where(F.col(doc_id).isNull()).select(null.alias("doc_id"), _whole(text).alias("whole"), F.lit(None).cast("long").alias("class_node"), null.alias("class_id"), zero.alias("n_links"), null.alias("text_id"), zero.alias("n_text_links"))
     return out.unionByName(none)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the least id of each class, with all columns; those without an id stay."""
-    kept = join(docs, doc_id, text).where("doc_id = class_id").select(F.col("class_id").alias("_jid")).distinct()
-    with_id = docs.join(kept, F.col(doc_id) == F.col("_jid"), "left_semi").dropDuplicates([doc_id, text])
-    return with_id.unionByName(docs.where(F.col(doc_id).isNull()))
+    """A document of each class with its least id, with all columns; those without an id stay.
+
+    Where several texts of a class have that id, the one with the least hash stays; of repeated rows one.
+    """
+    found = _joined(docs, doc_id, text, THRESHOLD_PERCENT, TARGET_RECALL).where("doc_id = class_id")
+    kept = found.groupBy(F.col("class_node").alias("_class"), F.col("doc_id").alias("_id")).agg(F.min("whole").alias("_whole")).drop("_class")
+    packed = pack(docs, _id=F.col(doc_id), _whole=_whole(text))
+    with_id = packed.join(kept, ["_id", "_whole"], "left_semi").dropDuplicates(["_id", "_whole"])
+    return unpack(with_id.unionByName(packed.where("_id is null")), docs.columns, {})

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from skein.llm import jaccard_join
 from tests.llm import brute
 
@@ -62,3 +64,16 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     out = jaccard_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert {r["node"]: r["root"] for r in out} == {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
+
+
+def test_repeated_ids_lose_no_link(spark):
+    """Texts with one id are texts of their own, whatever the type of the ids."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, "alone " * 9)]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        out = sorted((int(r["doc_id"]), int(r["class_id"]), r["n_links"]) for r in jaccard_join.join(df).collect())
+        assert out == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0)]
+        kept = jaccard_join.keep_one(df.withColumn("_id", F.lit(7)).withColumn("_jid", F.lit(8)))
+        assert kept.columns == ["doc_id", "text", "_id", "_jid"]
+        assert sorted((int(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b), (4, "alone " * 9)])
