@@ -3,7 +3,8 @@
 Paragraphs are blocks between blank lines, and the single lines of a block. A softmax regression
 over hashed word unigrams, bigrams and trigrams assigns each to a license family or to ``unknown``;
 it is trained on templates, deterministically damaged copies of them, and paragraphs of the corpus
-as ``unknown``. A temperature fitted on held-out copies calibrates the probabilities. A paragraph can
+as ``unknown``. A model that has not seen some whole templates gives the temperature that calibrates
+the probabilities, and the error of calibration; the final one is fitted on all. A paragraph can
 name several families: each counts if its probability against ``unknown`` reaches ``MIN_PROBABILITY``
 and the paragraph contains at least ``MIN_CONTAINED`` of the word trigrams of one of its templates, and
 of those among them that no more probable confirmed family has, so that kin such as GPL and LGPL do not
@@ -14,6 +15,9 @@ documents are passed by after a vectorised look-up, and only the others are spli
 Nothing is shuffled but the bounded training sample (NEGATIVES texts at most); the broadcast model
 has a fixed size.
 
+Texts that several families share count for the one that has no more than them: the conditions of
+BSD-2-Clause are in BSD-3-Clause too, and a document with findings of both has the latter.
+
 Words are runs of letters, digits and dots in lower case. Hyphens, colons and slashes part words;
 other characters (as in ``License***``) and dots at the end of a word are ignored. Defined results: a null or empty text has no findings.
 Repeated rows get equal results. Other columns are ignored.
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import text_arrays
-from skein.llm.sampling import first_by_hash
+from skein.llm.sampling import first_by_hash, fits
 
 NEGATIVES = 200
 NEGATIVE_PARAGRAPHS = 1500
@@ -80,8 +84,12 @@ TEMPLATES = {
         "Licensed under the GNU Affero General Public License, version 3",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
-    "BSD-3-Clause": [
+    "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Released under the BSD 2-Clause License",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "BSD-3-Clause": [
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Released under the BSD 3-Clause License",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -105,11 +113,38 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        "Licensed under the Eclipse Public License, version 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "Released under the zlib License",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
     "CC0-1.0": [
         "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
         "Released under CC0 1.0 Universal",
     ],
 }
+#: Families whose text holds that of another; a document with both has the first.
+HOLDS = {"BSD-3-Clause": "BSD-2-Clause"}
 #: Sentences that speak of licenses and name none.
 NEAR_MISSES = (
     "A driving licence is required for this position.",
@@ -127,9 +162,15 @@ NEAR_MISSES = (
 )
 
 
-def tokens(text: str) -> list[str]:
-    """Words as this module compares them."""
-    return [w.rstrip(".") for w in re.sub(r"[^\w.\s]+|_", "", re.sub("[-:/]", " ", text.lower())).split() if w.rstrip(".")]
+def plain(texts: pa.Array) -> pa.Array:
+    """The texts as this module compares them: words of lower-case letters, digits and inner dots, parted by blanks."""
+    out = pc.replace_substring_regex(pc.fill_null(pc.utf8_lower(texts.cast(pa.large_string())), ""), r"[-:/\pZ\x00-\x20\x7f-\x{9f}]", " ")
+    return pc.replace_substring_regex(pc.replace_substring_regex(out, r"[^\p{L}\p{M}\p{N}. ]+", ""), r"\.+( |$)", r"\1")
+
+
+def tokens(texts: list[str]) -> list[list[str]]:
+    """The words of each text."""
+    return [[w for w in x.split(" ") if w] for x in plain(pa.array(texts, pa.string())).to_pylist()]
 
 
 def _hash(words: list[str]) -> int:
@@ -158,6 +199,8 @@ class Model:
     bias: np.ndarray
     temperature: float
     templates: list[tuple[int, frozenset[int]]]
+    #: The calibration error on held-out templates, by a model that has not seen them.
+    error: float = 0.0
 
     def logits(self, rows: list[list[str]]) -> np.ndarray:
         index, sizes = _stack(rows)
@@ -173,14 +216,11 @@ class Model:
 
     def scan(self, text: str) -> list[tuple[int, str, float, float]]:
         """(paragraph number, family, probability, contained share) of confirmed families."""
-        rows, numbers = [], []
-        for number, part in enumerate(_parts(text)):
-            for words in (tokens(part), *map(tokens, _operands(part))):
-                if words:
-                    rows.append(words)
-                    numbers.append(number)
-        if not rows:
+        asked = [(number, x) for number, part in enumerate(_parts(text)) for x in (part, *_operands(part))]
+        known = [(number, words) for (number, _), words in zip(asked, tokens([x for _, x in asked]), strict=True) if words]
+        if not known:
             return []
+        numbers, rows = [n for n, _ in known], [words for _, words in known]
         odds = self.probabilities(rows)
         found: dict[tuple[int, str], tuple[float, float]] = {}
         for number, words, p in zip(numbers, rows, odds, strict=True):
@@ -228,7 +268,7 @@ def _operands(part: str) -> list[str]:
 
 def paragraphs(text: str) -> list[list[str]]:
     """The words of each block between blank lines, each followed by its lines if it has several."""
-    return [tokens(part) for part in _parts(text)]
+    return tokens(_parts(text))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -251,53 +291,69 @@ def _damaged(words: list[str], filler: list[str], kind: int) -> list[str]:
 def train(negatives: list[str]) -> Model:
     """Fit on the templates and on paragraphs of ``negatives``."""
     families = [*TEMPLATES, UNKNOWN]
-    spare = [tokens(p) for text in negatives for p in text.split("\n")]
-    words_of = {f: [tokens(t) for t in TEMPLATES.get(f, [])] for f in families}
+    spare = tokens([p for text in negatives for p in text.split("\n")])
+    words_of = {f: tokens(TEMPLATES.get(f, [])) for f in families}
+    near_misses = tokens(list(NEAR_MISSES))
     known = {g for rows in words_of.values() for r in rows for g in grams(r, 3)}
-    none = [p for p in spare if p and not grams(p, 3) & known][:NEGATIVE_PARAGRAPHS] + [tokens(t) for t in NEAR_MISSES] * 5
+    none = [p for p in spare if p and not grams(p, 3) & known][:NEGATIVE_PARAGRAPHS] + near_misses * 5
     fillers = [p for p in none if len(p) >= 12] or [[]]
-    rows, labels, held = [], [], []
+    rows, labels, held = [], [], []  # held: a template, in all its copies, or a paragraph that only the calibration sees
     for k, family in enumerate(families[:-1]):
         for t, template in enumerate(words_of[family]):
             for kind in range(24):
                 rows.append(_damaged(template, fillers[(k * 31 + t * 7 + kind) % len(fillers)], kind))
                 labels.append(k)
-                held.append(kind % 4 == 3)
+                held.append(t == 2)
     for i, words in enumerate(none):
         rows.append(words)
         labels.append(len(families) - 1)
         held.append(i % 4 == 3)
+    # Only n-grams of notices and near misses weigh; a row is scaled by all that it has.
+    weighed = np.unique(_stack([*(t for f in families for t in words_of[f]), *near_misses])[0])
     index, sizes = _stack(rows)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    owner, at = np.repeat(np.arange(len(rows)), sizes), np.minimum(np.searchsorted(weighed, index), len(weighed) - 1)
+    hit = weighed[at] == index
+    x = np.zeros((len(rows), len(weighed)), np.float32)
+    x[owner[hit], at[hit]] = np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)[hit]
     target = np.eye(len(families))[labels]
-    fit = ~np.array(held)
-    share = np.bincount(np.array(labels)[fit], minlength=len(families)).clip(1)
-    weight = np.where(fit, 1 / share[labels], 0) / len(families)
-    scale = 1 / np.sqrt(np.maximum(sizes, 1))
-    value = np.repeat(scale, sizes)
-    model = Model(families, np.zeros((1 << BITS, len(families))), np.zeros(len(families)), 1.0, [(k, frozenset(grams(t, 3) or grams(t, len(t)))) for k, f in enumerate(families) for t in words_of[f]])
-    seen = np.full_like(model.weights, 1e-9)
-    for _ in range(STEPS):
-        z = np.stack([np.bincount(owner, model.weights[index, k] * value, len(rows)) for k in range(len(families))], axis=1) + model.bias
-        slope = (_softmax(z) - target) * weight[:, None]
-        gradient = np.stack([np.bincount(index, slope[owner, k] * value, 1 << BITS) for k in range(len(families))], axis=1) + 1e-6 * model.weights
-        seen += gradient**2
-        model.weights -= 0.2 * gradient / np.sqrt(seen)
-        model.bias -= slope.sum(axis=0)
-    away = [r for r, h in zip(rows, held, strict=True) if h]
+
+    def fitted(fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        share = np.bincount(np.array(labels)[fit], minlength=len(families)).clip(1)
+        weight = np.where(fit, 1 / share[labels], 0) / len(families)
+        weights, bias = np.zeros((len(weighed), len(families)), np.float32), np.zeros(len(families))
+        seen = np.full_like(weights, 1e-9)
+        for _ in range(STEPS):
+            slope = (_softmax(x @ weights + bias) - target) * weight[:, None]
+            gradient = x.T @ slope.astype(np.float32) + np.float32(1e-6) * weights
+            seen += gradient**2
+            weights -= np.float32(0.2) * gradient / np.sqrt(seen)
+            bias -= slope.sum(axis=0)
+        whole = np.zeros((1 << BITS, len(families)))
+        whole[weighed] = weights
+        return whole, bias
+
+    model = Model(families, *fitted(~np.array(held)), 1.0, [(k, frozenset(grams(t, 3) or grams(t, len(t)))) for k, f in enumerate(families) for t in words_of[f]])
     truth = np.array(labels)[np.array(held)]
-    logits = model.logits(away)
-    loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
+    logits = model.logits([r for r, h in zip(rows, held, strict=True) if h])
+    # Families and unknown weigh alike, as in the fit.
+    even = np.where(truth == len(families) - 1, 1 / max((truth == len(families) - 1).sum(), 1), 1 / max((truth < len(families) - 1).sum(), 1))
+    loss = lambda t: -(even * np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12)).sum()
     model.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
+    model.error = _calibration_error(_softmax(logits / model.temperature), truth)
+    model.weights, model.bias = fitted(np.ones(len(rows), bool))
     return model
 
 
+def _calibration_error(odds: np.ndarray, truth: np.ndarray) -> float:
+    """The mean difference of probability and share of right answers over ten ranges of probability."""
+    best, right = odds.max(axis=1), odds.argmax(axis=1) == truth
+    bins = np.minimum((best * 10).astype(int), 9)
+    return float(sum(abs(best[bins == b].sum() - right[bins == b].sum()) for b in range(10)) / max(len(truth), 1))
+
+
 def _text_trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all word trigrams of the texts, and the text of each."""
-    plain = pc.replace_substring_regex(pc.fill_null(pc.utf8_lower(texts.cast(pa.large_string())), ""), "[-:/]", " ")
-    plain = pc.replace_substring_regex(plain, r"[^\p{L}\p{M}\p{N}.\s]+", "")
-    plain = pc.replace_substring_regex(plain, r"\.+(\s|$)", r"\1")
-    words, counts = text_arrays.word_hashes(plain, lower=False)
+    words, counts = text_arrays.word_hashes(plain(texts), lower=False)
     owner = np.repeat(np.arange(len(counts)), counts)
     same = owner[2:] == owner[:-2]
     step = np.uint64(0x9E3779B97F4A7C15)
@@ -305,9 +361,13 @@ def _text_trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code[same], owner[:-2][same]
 
 
+def _families(found: set[str]) -> list[str]:
+    return sorted(found - {HOLDS[x] for x in found if x in HOLDS})
+
+
 def sample_negatives(docs: DataFrame, text: str = "text") -> list[str]:
-    """At most NEGATIVES texts, by hash."""
-    rows = first_by_hash(docs.select(F.col(text).alias("text")).where("text is not null"), NEGATIVES, "text")
+    """At most NEGATIVES texts of at most SAMPLE_BYTES bytes, by hash."""
+    rows = first_by_hash(docs.select(F.col(text).alias("text")).where(fits("text")), NEGATIVES, "text")
     return [r["text"] for r in rows.collect()]
 
 
@@ -330,7 +390,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 found: list[list[dict[str, object]]] = [[] for _ in range(part.num_rows)]
                 for i in np.unique(owner[hit]).tolist():
                     found[i] = [dict(zip(("paragraph", "family", "probability", "contained"), x, strict=True)) for x in m.scan(part.column("text")[i].as_py())]
-                names = [sorted({x["family"] for x in f}) for f in found]
+                names = [_families({x["family"] for x in f}) for f in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.list_(pa.string())), pa.array(found, kind)], names=["doc_id", "licenses", "findings"])
 
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, licenses array<string>, findings array<struct<paragraph: int, family: string, probability: double, contained: double>>"

@@ -7,8 +7,10 @@ import os
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from skein.llm import language_id, licenses, quality_classifier
+from skein.llm import language_id, licenses, quality_classifier, queries
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -117,6 +119,42 @@ def test_licenses(docs, spark):
     assert {x[1] for x in model.scan(broken)} == {"Apache-2.0"}
 
 
+def test_license_kin_and_blanks(spark):
+    texts = {
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": ["BSD-2-Clause"],
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": ["BSD-3-Clause"],
+        "Released\u00a0under\u00a0the\u2003MIT\u00a0License": ["MIT"],
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": ["ISC"],
+        "Nothing of the kind.": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["licenses"] for r in licenses.scan(df).orderBy("doc_id").collect()] == list(texts.values())
+
+
+@given(st.lists(st.sampled_from([*(w for rows in licenses.TEMPLATES.values() for t in rows for w in t.split()), "\u00a0", "\n", "\n\n", "...", "--", "\x1c", "x"]), max_size=30), st.sampled_from([" ", "\u00a0", "\t", "\u2028"]))
+@settings(max_examples=100, deadline=None)
+def test_no_finding_is_passed_by(words, blank):
+    """Trigrams of any paragraph are trigrams of the whole text."""
+    text = blank.join(words)
+    whole = set(licenses._text_trigrams(pa.array([text]))[0].tolist())
+    for part in licenses._parts(text):
+        assert set(licenses._text_trigrams(pa.array([part]))[0].tolist()) <= whole
+        assert len(licenses.grams(licenses.tokens([part])[0], 3)) <= len(whole)
+
+
+def test_calibration(docs):
+    assert licenses.train(licenses.sample_negatives(docs)).error < 0.5  # of whole wordings that were not seen
+
+
+def test_query_by_phrases(spark, sf_dir):
+    """op4 over all documents against a plain search for notices."""
+    marks = {"apache license, version 2.0": "Apache-2.0", "the mit license": "MIT", "gnu general public license, version 3": "GPL-3.0", "cc by-nc 4.0": "CC-BY-NC-4.0"}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op4_license_scans(spark, sf_dir).collect():
+        plain = "".join(c for c in texts[r["doc_id"]].lower() if c not in "#*$%&!")
+        assert r["licenses"] == sorted({v for k, v in marks.items() if k in plain})
+
+
 def test_several_licenses_in_a_paragraph():
     model = licenses.train(["The committee met in the town hall on Monday and spoke of the new road over the old bridge.\nNothing else was decided."])
     found = lambda text: sorted({x[1] for x in model.scan(text)})
