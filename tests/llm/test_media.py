@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from html import unescape
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -52,6 +54,44 @@ def test_query(spark, sf_dir):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
         assert r["feature"] == media.feature(media.from_png(stored))
+        lines = [" ".join(x.split()) for x in raw.decode().split("\n")]
+        kept = [x for x in lines if x]
+        assert (r["n_items"], r["position"]) == (len(kept) + 1, 1 if lines[0] else 0)
+        assert r["items_sha256"] == hashlib.sha256("".join(f"{x}\n" for x in kept).encode()).hexdigest()
+
+
+def test_pages_as_they_come():
+    page = '<html><head><title>no</title><meta name="a"><body><p>one</p><figure><img src="a.png"><figure><img src="b.png"><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>'
+    page += '<img srcset="s.png 1x, l.png 2x"><img src="data:image/gif;base64,R0lGOA==" alt="d"><img src="data:,a%20b"><img src="data:;base64,?"><p>end'
+    items = media.parse(page)
+    assert [(i["text"] or i["src"][:8], i["caption"], i["bytes"]) for i in items] == [
+        ("one", None, None), ("a.png", "outer", None), ("b.png", "inner", None), ("l.png", None, None),
+        ("data:ima", "d", 4), ("data:,a%", None, 3), ("data:;ba", None, None), ("end", None, None),
+    ]
+    assert items[5]["digest"] == hashlib.sha256(b"a b" + bytes(61)).hexdigest() and items[6]["digest"] is None
+
+
+def test_real_pages(spark, sf_dir):
+    """All text of a page's body is in its items, in order, and each reference at its place."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in media.interleave(pages).collect():
+        page = re.sub(r"(?is)<(script|style|template|noscript|title)\b.*?</\1>|<!--.*?-->|<!doctype[^>]*>", " ", html[r["page_id"]])
+        words = unescape(re.sub(r"<[^>]*>", " ", page)).split()
+        assert " ".join(x["text"] or "" for x in r["items"] if x["kind"] == "text").split() == words or "figcaption" in page
+        assert [x["src"] for x in r["items"] if x["kind"] == "media"] == re.findall(r'(?i)<(?:img|video|audio|source|embed)\b[^>]*?\bsrc="([^"]+)"', page)
+        assert [x["position"] for x in r["items"]] == list(range(len(r["items"])))
+
+
+def test_repeated_and_null_pages_align(spark):
+    raw = "<p>x<img src='data:,one'><p>y"
+    pages = spark.createDataFrame([(1, raw), (1, raw), (1, "<img src='data:,two'>"), (None, raw), (None, "<p>z")], "page_id long, html string")
+    sequences = media.interleave(pages)
+    resolved = media.resolve(sequences, media.read_back(media.store(media.embedded(sequences))))
+    rows = media.align(sequences, resolved).collect()
+    found = sorted((r["page_id"] or 0, [x["media"]["payload_sha256"][:6] if x["media"] else x["text"] for x in r["items"]]) for r in rows)
+    one, two = (hashlib.sha256(x + bytes(61)).hexdigest()[:6] for x in (b"one", b"two"))
+    assert sorted(map(str, found)) == sorted(map(str, [(0, ["x", one, "y"]), (0, ["z"]), (1, ["x", one, "y"]), (1, ["x", one, "y"]), (1, [two])]))
 
 
 def test_payload_of_any_length(spark):
