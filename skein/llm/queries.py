@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +11,16 @@ from skein.llm import chat, jaccard_join, language_id, licenses, media, mixing,
 from skein.llm.common import read
 
 
-PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+def piece_model() -> str:
+    """The path of the vocabulary that the registered queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = piece_bpe.vocabulary(docs, PIECE_MODEL)
+    model = piece_bpe.vocabulary(docs, piece_model())
     ids = piece_bpe.encode(docs, model).select("doc_id", "ids")
     return piece_bpe.decode(ids, model).select(
         "doc_id",

@@ -7,7 +7,7 @@ import sentencepiece
 
 import corpus_pipeline
 from skein.llm import pii
-from skein.llm.queries import PIECE_MODEL
+from skein.llm.queries import piece_model
 from tests.llm import brute
 
 
@@ -20,7 +20,7 @@ def test_stages_by_brute_force(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in named}
     docs = [d | {"text": texts[d["doc_id"]]} for d in docs]
     copies = brute.mix(docs)
-    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     wanted = []
     for d in docs:
         ids = library.encode(d["text"], add_bos=True, add_eos=True)
