@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Where the session names none, as in tests on one machine, a temporary folder is used.
+    Where the session names none and runs in one process, as in tests, a temporary folder is used; on a
+    cluster, whose executors would not share it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return df.checkpoint(eager=True)
