@@ -209,14 +209,14 @@ def notes_extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.extraction_stats(sections(spark, sf_dir), _extracted(spark, sf_dir), "team1")
 
 
-FACTS = f"""{LINKS}, fact AS (SELECT path, 'Role ' || heading AS source, 'speaks in' AS relation, 'Team ' || (ord % 4) AS target, 'turn ' || ord AS evidence FROM sec WHERE ord < 4),
+FACTS = f"""{LINKS}, fact AS (SELECT path, 'Role ' || heading AS source, 'speaks in' AS relation, 'Team ' || (ord % 4) AS target, 'turn ' || ord AS evidence FROM sec),
 ed AS (SELECT 'note:' || source AS source, 'note:' || target AS target, 'link' AS kind, NULL AS label FROM link
   UNION SELECT 'entity:' || source, 'entity:' || target, 'relation', relation FROM fact
   UNION SELECT 'note:' || path, 'entity:' || unnest([source, target]), 'mention', NULL FROM fact)"""
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sections(spark, sf_dir).where("ord < 4")
+    rows = sections(spark, sf_dir)
     triples_ = rows.select(
         F.xxhash64("id").alias("ord"), "key", F.concat(F.lit("Role "), "heading").alias("source"), F.lit("speaks in").alias("relation"), F.concat(F.lit("Team "), (F.col("ord") % 4).cast("string")).alias("target"),
         F.concat(F.lit("turn "), F.col("ord").cast("string")).alias("evidence"), F.lit(0.5).alias("confidence"),

@@ -32,18 +32,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searcher(spark: SparkSession, sf_dir: str) -> Searcher:
-    """Documents that have a vector; the encoder looks vectors up in place of a model.
+    """All documents; the encoder looks vectors up in place of a model.
 
+    There are fewer vectors than documents, which take them in turn by their number.
     A question's vector is that of the same number (of the number plus 100 when widened), at half
     length for odd numbers, so that weak evidence occurs.
     """
     known = vectors(spark, sf_dir)
-    docs = documents(spark, sf_dir).join(known, "id").withColumn("file", F.lit("corpus")).withColumn("page", F.col("id"))
+    numbered = known.withColumnRenamed("id", "_number")
+    docs = documents(spark, sf_dir).withColumn("_number", F.col("id") % F.lit(known.count())).join(numbered, "_number").drop("_number").withColumn("file", F.lit("corpus")).withColumn("page", F.col("id"))
     scale = F.when(F.col("qid") % 2 == 1, 0.5).otherwise(1.0)
 
     def encode(queries: DataFrame) -> DataFrame:
         number = F.col("qid") + F.when(F.col("text").endswith(WIDER), 100).otherwise(0)
-        found = queries.withColumn("_number", number).join(known.withColumnRenamed("id", "_number"), "_number")
+        found = queries.withColumn("_number", number).join(numbered, "_number")
         return found.select("qid", "text", F.transform("vec", lambda x: (x * scale).cast("float")).alias("vec"))
 
     images = known.select(F.lit("corpus").alias("file"), (F.col("id") + 7).alias("page"), "vec")
@@ -92,7 +94,7 @@ def _fuse(lists: list[str], name: str, k: int) -> str:
 
 
 DOCS = "p AS (SELECT doc_id AS id, text FROM documents), q AS (SELECT item_id AS qid, text FROM benchmark)"
-WITH_VECTORS = """p AS (SELECT doc_id AS id, text, embedding AS vec FROM documents JOIN embeddings ON doc_id = vec_id),
+WITH_VECTORS = """p AS (SELECT doc_id AS id, text, embedding AS vec FROM documents JOIN embeddings ON doc_id % (SELECT count(*) FROM embeddings) = vec_id),
 q AS (SELECT item_id AS qid, text, list_transform(embedding, lambda x: (x * CASE WHEN item_id % 2 = 1 THEN 0.5 ELSE 1.0 END)::FLOAT) AS vec
       FROM benchmark JOIN embeddings ON item_id = vec_id)"""
 RANKED = "SELECT qid, rank::INT AS rank, id, score FROM"

@@ -55,18 +55,19 @@ def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add(
-    """WITH f AS (SELECT 'f' || doc_id AS path, left(text, 20) AS text, doc_id FROM documents)
-SELECT CASE WHEN doc_id % 5 = 2 THEN 'moved/' || path ELSE path END AS path, CASE WHEN doc_id % 5 = 1 THEN 'new' ELSE text END ||
+    """WITH f AS (SELECT 'f' || doc_id AS path, text, doc_id FROM documents)
+SELECT path, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM (SELECT CASE WHEN doc_id % 5 = 2 THEN 'moved/' || path ELSE path END AS path, CASE WHEN doc_id % 5 = 1 THEN 'new' ELSE text END ||
   CASE WHEN doc_id % 5 IN (1, 3) THEN CASE WHEN (CASE WHEN doc_id % 5 = 1 THEN 'new' ELSE text END) IN ('') OR ends_with(CASE WHEN doc_id % 5 = 1 THEN 'new' ELSE text END, chr(10)) THEN '' ELSE chr(10) END || 'more' ELSE '' END AS text
-FROM f WHERE doc_id % 5 != 4"""
+FROM f WHERE doc_id % 5 != 4)"""
 )
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth file is written, moved, appended to or deleted; the written ones are appended to as well."""
-    rows = load(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.left("text", F.lit(20)).alias("text"), "doc_id")
+    rows = load(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "text", "doc_id")
     part, nothing = F.col("doc_id") % 5, F.lit(None).cast("string")
     ends = rows.where(part.isin(1, 2, 4)).select(F.lit(1).alias("seq"), F.when(part == 1, "write").when(part == 2, "move").otherwise("delete").alias("kind"), "path", F.when(part == 2, F.concat(F.lit("moved/"), "path")).alias("dest"), F.when(part == 1, "new").alias("text"))
     more = rows.where(part.isin(1, 3)).select(F.lit(2), F.lit("append"), "path", nothing, F.lit("more"))
-    return sessions.apply_changes(rows.drop("doc_id"), ends.union(more))[0]
+    files = sessions.apply_changes(rows.drop("doc_id"), ends.union(more))[0]
+    return files.select("path", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @catalog.add(

@@ -245,11 +245,11 @@ FILES = "f AS (SELECT source || '/' || lang || '/d' || doc_id || CASE WHEN doc_i
 
 
 @catalog.add(
-    f"""WITH {FILES}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM f WHERE ends_with(path, '.md'))
+    f"""WITH {FILES}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM f)
 SELECT path, line::INT AS line, left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 200) AS text FROM l WHERE regexp_matches(text, '[Ll]icen[cs]ed? under|@')"""
 )
 def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.grep(_files(spark, sf_dir), "[Ll]icen[cs]ed? under|@", include="*.md", limit=None)
+    return files.grep(_files(spark, sf_dir), "[Ll]icen[cs]ed? under|@", limit=None)
 
 
 @catalog.add(f"WITH {FILES} SELECT path FROM f WHERE regexp_matches(path, '^src1.*/en/d.5.*\\.md$') ORDER BY path LIMIT 100")
@@ -272,12 +272,12 @@ def attach_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add(
-    """WITH h AS (SELECT source AS file, doc_id AS place, left(text, 30) AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS c FROM documents),
-s AS (SELECT *, (c + 14) // 15 AS step FROM h) SELECT file, place, text FROM s WHERE (n - 1) % step = 0 AND (n - 1) // step < 15"""
+    """WITH h AS (SELECT source AS file, doc_id AS place, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS c FROM documents),
+s AS (SELECT *, (c + 14) // 15 AS step FROM h) SELECT file, place, md5(text) AS digest FROM s WHERE (n - 1) % step = 0 AND (n - 1) // step < 15"""
 )
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("place"), F.left("text", F.lit(30)).alias("text"))
-    return files.outline(rows)
+    rows = load(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("place"), "text")
+    return files.outline(rows).select("file", "place", F.md5("text").alias("digest"))
 
 
 @catalog.add(
