@@ -37,7 +37,7 @@ from skein.llm.text_arrays import give_back
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BLOCK = 256
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -450,3 +450,25 @@ def decode(df: DataFrame, model: Broadcast, ids: str = "ids", out: str = "decode
         give_back()
 
     return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, model: Broadcast, text: str = "text", ids: str = "ids", out: str = "decoded", keep_text: bool = True) -> DataFrame:
+    """``df`` with the packed ids of ``text`` and what they decode to, both made in one pass by one worker."""
+    columns = df if keep_text else df.drop(text)
+    schema = T.StructType([f for f in columns.schema.fields if f.name not in (ids, out)] + [T.StructField(ids, T.BinaryType()), T.StructField(out, T.StringType())])
+    fields = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = model.value
+        for batch in batches:
+            for part in _slices(batch, _byte_sizes(batch.column(text))):
+                flat, counts = encode_texts(v, part.column(text))
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                made = {
+                    ids: pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends * 4), pa.py_buffer(flat.astype("<u4"))]),
+                    out: decode_ids(v, flat.astype(np.int64), counts).cast(pa.string()),
+                }
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in fields], names=fields)
+        give_back()
+
+    return df.mapInArrow(run, schema)

@@ -21,8 +21,7 @@ def piece_model() -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = piece_bpe.vocabulary(docs, piece_model())
-    ids = piece_bpe.encode(docs, model).select("doc_id", "ids")
-    return piece_bpe.decode(ids, model).select(
+    return piece_bpe.round_trip(docs, model, keep_text=False).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

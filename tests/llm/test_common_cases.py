@@ -26,6 +26,7 @@ def model(df: DataFrame):
 
 ALL = {
     "encode": lambda df: piece_bpe.decode(piece_bpe.encode(df, model(df)), model(df)),
+    "round trip": lambda df: piece_bpe.round_trip(df, model(df)),
     "encode array": lambda df: piece_bpe.decode(piece_bpe.encode(df, model(df), packed=False), model(df)),
     "pii": pii.pseudonymise,
     "jaccard": jaccard_join.join,
@@ -36,7 +37,7 @@ ALL = {
     "classifier": quality_classifier.classify,
     "language": language_id.identify,
 }
-PER_ROW = {"encode", "encode array", "pii", "jaccard", "licenses", "media", "quality rules", "classifier", "language"}
+PER_ROW = {"encode", "round trip", "encode array", "pii", "jaccard", "licenses", "media", "quality rules", "classifier", "language"}
 
 
 @pytest.mark.parametrize("name", ALL)
