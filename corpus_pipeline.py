@@ -38,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids, and whether they decode to the text."""
     model = piece_bpe.vocabulary(docs, piece_model())
-    decoded = piece_bpe.decode(piece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), model), model)
+    decoded = piece_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), model)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return decoded.select("doc_id", "lang", "source", n_tokens.alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("lossless"))
 
