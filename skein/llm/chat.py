@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import cut
+
 RANGE = 1024
 PART = 512
 
@@ -54,7 +56,8 @@ def prefixes(rows: DataFrame) -> DataFrame:
     steps = hashed.distinct().groupBy("_key", "turn").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
     steps = steps.withColumn("_range", F.floor(F.col("turn") / RANGE))
     placed = _rolled(steps, {"_n": F.count("*")}, {"_nth": F.count("*")}).withColumn("place", F.col("_n") + F.col("_nth"))
-    placed = placed.select("_key", "_range", "turn", "place", *(F.xxhash64(F.lit(salt), "place", "h1", "h2").alias(h) for salt, h in (("first", "h1"), ("second", "h2"))))
+    # Written once, without texts, as three aggregates read it.
+    placed = cut(placed.select("_key", "_range", "turn", "place", *(F.xxhash64(F.lit(salt), "place", "h1", "h2").alias(h) for salt, h in (("first", "h1"), ("second", "h2")))))
     rolled = _rolled(placed, {"_b1": F.bit_xor("h1"), "_b2": F.bit_xor("h2")}, {"_w1": F.bit_xor("h1"), "_w2": F.bit_xor("h2")})
     last = placed.groupBy("_key").agg(F.max("place").alias("_last"))
     return rolled.join(last, "_key").select("_key", "place", F.col("_b1").bitwiseXOR(F.col("_w1")).alias("p1"), F.col("_b2").bitwiseXOR(F.col("_w2")).alias("p2"), (F.col("place") == F.col("_last")).alias("whole"))
