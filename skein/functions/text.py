@@ -22,6 +22,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def utf8(content: Column) -> Column:
+    """Bytes as text; those that are no UTF-8 become U+FFFD, where ``decode`` would end the job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def collapse(text: Column) -> Column:
     """Each run of white space as one space, none at the ends."""
     return strip(F.regexp_replace(text, r"\s+", " "))

@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions import text as tx
 from skein.plans.lineage import cut
@@ -144,18 +146,26 @@ def sections(notes: DataFrame, path: str = "path", text: str = "text", max_words
 def greedy_batches(rows: DataFrame, size: str, limit: int, order: list[str], group: list[str]) -> DataFrame:
     """``rows`` with ``batch``: consecutive rows of a group share one until the next would pass ``limit``.
 
-    The rule depends on all rows before, so each group (one note folder, one session) is folded in
-    order by the array function ``aggregate``; groups are as large as their caller makes them.
+    Where a batch begins depends on all rows before, so the rows of a group stream through one task in
+    order, sorted by Spark and never held; ties are ordered by all other columns. A null size counts as 0.
     """
-    packed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("_size"), F.struct(*[c for c in rows.columns if c not in group]).alias("_row")))).alias("_rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("out"))
-
-    def step(state, row):  # noqa: ANN001, ANN202
-        over = (state["total"] > 0) & (state["total"] + row["_size"] > limit)
-        batch = state["batch"] + F.when(over, 1).otherwise(0)
-        total = F.when(over, row["_size"]).otherwise(state["total"] + row["_size"])
-        return F.struct(batch.alias("batch"), total.cast("long").alias("total"), F.concat(state["out"], F.array(batch)).alias("out"))
-
-    folded = packed.withColumn("_batch", F.aggregate("_rows", start, step, lambda s: s["out"]))
-    both = folded.select(*group, F.explode(F.arrays_zip("_rows", "_batch")).alias("x"))
-    return both.select(*group, "x._rows._row.*", F.col("x._batch").alias("batch"))
+    others = [c for c in rows.columns if c not in (*group, *order, size)]
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, *order, size, *others)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, batch, total = None, 0, 0
+        for part in parts:
+            keys = zip(*(part.column(c).to_pylist() for c in group), strict=True)
+            numbers = []
+            for key, n in zip(keys, part.column(size).to_pylist(), strict=True):
+                n = n or 0
+                if key != last:
+                    last, batch, total = key, 0, 0
+                if total > 0 and total + n > limit:
+                    batch, total = batch + 1, 0
+                total += n
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(numbers, pa.int32())], names=[*part.schema.names, "batch"])
+
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema), T.StructField("batch", T.IntegerType())])
+    return dealt.mapInArrow(run, schema)

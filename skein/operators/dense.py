@@ -65,18 +65,20 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> Data
 
 
 def hash_embed(df: DataFrame, text: str = "text", dim: int = 256, out: str = "vec") -> DataFrame:
-    """``df`` with a lexical stand-in for an embedding: words counted by CRC-32 bucket, unit length."""
+    """``df`` with a lexical stand-in for an embedding: words counted by CRC-32 bucket, unit length.
+
+    A text without words, or a null one, has the zero vector. A batch of texts is counted at once.
+    """
     words = tx.tokens(F.coalesce(F.col(text), F.lit("")))
     buckets = F.transform(words, lambda w: (F.crc32(w) % dim).cast("int"))
 
     def fold(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in series:
-            out_rows = []
-            for row in part:
-                counts = np.bincount(np.asarray(row, dtype=np.int64), minlength=dim).astype(np.float32)
-                norm = np.linalg.norm(counts)
-                out_rows.append(counts / norm if norm else counts)
-            yield pd.Series(out_rows)
+            sizes = part.map(len).to_numpy()
+            cells = np.concatenate([*part, np.zeros(0, np.int64)]).astype(np.int64) + np.repeat(np.arange(len(part)) * dim, sizes)
+            counts = np.bincount(cells, minlength=len(part) * dim).reshape(len(part), dim).astype(np.float32)
+            norms = np.linalg.norm(counts, axis=1, keepdims=True)
+            yield pd.Series(list(counts / np.where(norms > 0, norms, 1)))
 
     return df.withColumn(out, F.pandas_udf(fold, "array<float>")(buckets))
 

@@ -99,6 +99,12 @@ def cost(stages: DataFrame, parts: dict[str, list[str]], megabytes: float, scale
     return total.crossJoin(sizes).select("type", F.round("seconds", 6).alias("seconds"), F.round(per, 6).alias("seconds_per_mb"), "scale", F.round(per * F.col("scale_mb") / 3600, 6).alias("projected_hours"))
 
 
+def small_document(gold: Column, small: list[str]) -> Column:
+    """Whether all gold pages, an array of structs with ``file``, are of one document, and that a small one."""
+    files = F.array_distinct(F.transform(gold, lambda g: g["file"]))
+    return F.coalesce((F.size(files) == 1) & F.get(files, F.lit(0)).isin(small), F.lit(False))
+
+
 def pick(questions: DataFrame, per_category: int = 3) -> DataFrame:
     """Questions (id, category, small) for an answer test, in order of id.
 

@@ -14,6 +14,11 @@ def find(files: DataFrame, pattern: str, limit: int | None = 100) -> DataFrame:
     return found.limit(limit) if limit else found
 
 
+def named(files: DataFrame, term: str) -> DataFrame:
+    """Files whose name, without its folders, contains ``term`` in any case."""
+    return files.where(F.contains(F.lower(F.substring_index("path", "/", -1)), F.lit(term.lower())))
+
+
 def grep(files: DataFrame, pattern: str, include: str | None = None, limit: int | None = 50) -> DataFrame:
     """(path, line, text) of lines with a match, in order; the limit is the report's length."""
     rows = files if include is None else files.where(F.col("path").rlike(tx.glob_regex(include)) | F.substring_index("path", "/", -1).rlike(tx.glob_regex(include)))

@@ -212,7 +212,7 @@ def parse_triples(replies: DataFrame, reply: str = "reply") -> tuple[DataFrame,
     rows = replies.select("ord", "batch_ids", F.posexplode_outer(F.from_json(tx.json_paths(F.col(reply)), kind)).alias("place", "x"))
     named = F.trim(F.regexp_replace(F.coalesce("x.source_chunk_id", F.lit("")), "(?i)^chunk ", ""))
     own = F.when(F.size("batch_ids") == 1, F.get("batch_ids", F.lit(0))).when(F.array_contains("batch_ids", named), named)
-    raw = rows.where("x is not null").select((F.col("ord") * 100_000 + F.col("place")).alias("ord"), "x.source", "x.relation", "x.target", "x.evidence", "x.confidence", own.alias("source_chunk_id"))
+    raw = rows.where("x is not null").select((F.shiftleft(F.col("ord").cast("long"), 31) + F.col("place")).alias("ord"), "x.source", "x.relation", "x.target", "x.evidence", "x.confidence", own.alias("source_chunk_id"))
     valid, rejected = validate(raw)
     unknown = valid.where("source_chunk_id is null").withColumn("reason", F.lit("unknown chunk"))
     return valid.where("source_chunk_id is not null"), rejected.unionByName(unknown.withColumn("confidence", F.col("confidence").cast("string")))

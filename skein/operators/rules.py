@@ -79,8 +79,31 @@ def validate_args(given: Column, declared: dict[str, dict[str, object]]) -> Colu
     return out
 
 
-def validate_event(event: Column, required: dict[str, list[str]], enums: dict[str, dict[str, list[str]]]) -> Column:
-    """What is wrong with an event, a map of strings with ``type``, or null."""
+def coerce_args(given: Column, declared: dict[str, dict[str, object]]) -> Column:
+    """A call's arguments, a map of strings, as a struct with a typed field per declared argument.
+
+    Arguments that are not given, or that ``validate_args`` refuses, are null.
+    """
+
+    def typed(name: str, kind: object) -> Column:
+        value = F.try_element_at(given, F.lit(name))
+        plain = F.trim(value)
+        if kind == "integer":
+            return plain.try_cast("long")
+        if kind == "number":
+            return plain.try_cast("double")
+        if kind == "boolean":
+            return F.when(F.lower(plain).isin("true", "yes", "1"), True).when(F.lower(plain).isin("false", "no", "0"), False)
+        return value
+
+    return F.struct(*(typed(name, meta["type"]).alias(name) for name, meta in declared.items()))
+
+
+def validate_event(event: Column, required: dict[str, list[str]], enums: dict[str, dict[str, list[str]]], allowed: dict[str, list[str]] | None = None) -> Column:
+    """What is wrong with an event, a map of strings with ``type``, or null.
+
+    Events of the types in ``allowed`` may have no fields but those listed there and the required ones.
+    """
     kind = F.try_element_at(event, F.lit("type"))
     out = F.when(kind.isNull() | ~kind.isin(list(required)), F.lit("unknown type"))
     for name, fields in required.items():
@@ -88,6 +111,9 @@ def validate_event(event: Column, required: dict[str, list[str]], enums: dict[st
         out = out.when((kind == name) & (F.size(missing) > 0), F.concat(F.lit("missing field "), F.get(missing, F.lit(0))))
         for field, values in enums.get(name, {}).items():
             out = out.when((kind == name) & ~F.try_element_at(event, F.lit(field)).isin(values), f"{field} must be one of {', '.join(values)}")
+    for name, fields in (allowed or {}).items():
+        unknown = F.array_sort(F.array_except(F.map_keys(event), F.array(*map(F.lit, ["type", *required.get(name, []), *fields]))))
+        out = out.when((kind == name) & (F.size(unknown) > 0), F.concat(F.lit("unknown field "), F.array_join(unknown, ", ")))
     return out
 
 

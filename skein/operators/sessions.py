@@ -11,6 +11,7 @@ from skein.functions import text as tx
 ATTACHED = "\n\nAttached file "
 TITLE = 120
 HIT_FLOOR = 200
+BATCH_RANGE = 1024
 
 
 def message_head(message: Column) -> Column:
@@ -109,21 +110,30 @@ def search_report(hits: DataFrame, relations: DataFrame, room: int) -> DataFrame
 def apply_changes(files: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, trash) after ``changes`` (seq, kind, path, dest, text) to files (path, text).
 
-    Kinds are write, append, move and delete. The last write, move or delete of a path counts, with
-    the appended texts after it in order. A move onto a file that is there is left undone.
+    Kinds are write, append, move and delete. A path's text is that of its last write, or its old one,
+    with the texts appended since in order. A delete counts unless the path is written later, a move
+    unless it is written or deleted later. A move is left undone onto a file that is there or written,
+    or onto the destination of an earlier move.
     """
-    ends = changes.where("kind != 'append'")
-    last = ends.groupBy("path").agg(F.max_by(F.struct("seq", "kind", "dest", "text"), "seq").alias("c")).select("path", "c.*")
-    more = changes.where("kind = 'append'").join(last.select("path", F.col("seq").alias("_after")), "path", "left").where(F.col("seq") > F.coalesce("_after", F.lit(-1)))
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("seq", "dest", "text")))
+    ends = changes.groupBy("path").agg(of("write").alias("w"), of("delete").alias("d"), of("move").alias("m"))
+    since = ends.select("path", F.greatest("w.seq", "d.seq").alias("_after"))
+    more = changes.where("kind = 'append'").join(since, "path").where(F.col("seq") > F.coalesce("_after", F.lit(-1)))
     more = more.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("_more"))
-    taken = files.select(F.col("path").alias("dest")).withColumn("_taken", F.lit(True))
-    rows = files.withColumnRenamed("text", "_old").join(last, "path", "full_outer").join(more, "path", "full_outer").join(taken, "dest", "left")
-    moves = (F.col("kind") == "move") & F.col("_taken").isNull()
-    base = F.when(F.col("kind") == "write", F.col("text")).otherwise(F.col("_old"))
+    none = F.lit(-1).cast("long")
+    wrote, deleted, moved = (F.coalesce(F.col(f"{c}.seq").cast("long"), none) for c in "wdm")
+    rows = files.withColumnRenamed("text", "_old").join(ends, "path", "full_outer").join(more, "path", "left")
+    rows = rows.withColumn("_gone", deleted > wrote).withColumn("_to", F.when((moved > wrote) & (moved > deleted), F.col("m.dest")))
+    base = F.when(F.col("w").isNotNull(), F.col("w.text")).otherwise(F.col("_old"))
+    base = F.when(~F.col("_gone"), base)
     body = F.when(F.col("_more").isNull(), base).when((F.coalesce(base, F.lit("")) != "") & ~base.endswith("\n"), F.concat(base, F.lit("\n"), "_more")).otherwise(F.concat(F.coalesce(base, F.lit("")), "_more"))
-    gone = F.coalesce(F.col("kind") == "delete", F.lit(False))
-    kept = rows.where(~gone).select(F.when(F.coalesce(moves, F.lit(False)), F.col("dest")).otherwise(F.col("path")).alias("path"), body.alias("text")).where("text is not null")
-    return kept, rows.where(gone & F.col("_old").isNotNull()).select("path", F.col("_old").alias("text"))
+    rows = rows.withColumn("_body", body)
+    taken = rows.where("_body is not null").select(F.col("path").alias("_to")).withColumn("_taken", F.lit(True))
+    first = rows.where("_to is not null and _body is not null").groupBy("_to").agg(F.min(F.struct("m.seq", "path")).alias("_first"))
+    rows = rows.join(taken, "_to", "left").join(first, "_to", "left")
+    moves = F.coalesce(F.col("_to").isNotNull() & F.col("_taken").isNull() & (F.col("_first.path") == F.col("path")), F.lit(False))
+    kept = rows.where("_body is not null").select(F.when(moves, F.col("_to")).otherwise(F.col("path")).alias("path"), F.col("_body").alias("text"))
+    return kept, rows.where(F.col("_gone") & F.col("_old").isNotNull()).select("path", F.col("_old").alias("text"))
 
 
 def token_statistics(passages: DataFrame) -> DataFrame:
@@ -206,6 +216,39 @@ def ask(requests: DataFrame, model, batch_size: int = 16) -> DataFrame:  # noqa:
 
 
 def budgeted(batches: DataFrame, cost: str, budget: int) -> DataFrame:
-    """Batches in order until the cost of those before reaches the budget; the others wait."""
-    before = F.coalesce(F.sum(cost).over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return batches.withColumn("runs", before < budget)
+    """Batches in order until the cost of those before reaches the budget; the others wait.
+
+    Costs are summed within ranges of BATCH_RANGE batch numbers, and only the ranges' totals in one task.
+    """
+    ranged = batches.withColumn("_range", F.floor(F.col("batch") / BATCH_RANGE))
+    totals = ranged.groupBy("_range").agg(F.sum(cost).alias("_cost"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", F.coalesce(F.sum("_cost").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_range").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_base") + F.coalesce(F.sum(cost).over(within), F.lit(0))
+    return ranged.join(totals, "_range").withColumn("runs", before < budget).select(*batches.columns, "runs")
+
+
+def extraction_outcome(outcomes: DataFrame, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(progress, saved) of a run over ``outcomes`` (batch, keys, failed, tokens, triples), one row a batch.
+
+    The run ends before the first batch that finds the budget spent, and after the first with a failure;
+    ``keys`` and ``failed`` list a batch's sections. ``progress`` has a row per batch that ran: running
+    totals ``done``, ``failed``, ``tokens``, ``triples``, and ``stopped``, why the run ended there or null.
+    ``saved`` (key) are the sections to store; all others stay pending.
+    """
+    sizes = outcomes.select("batch", (F.size("keys") - F.size("failed")).cast("long").alias("done"), F.size("failed").cast("long").alias("failed"), "tokens", "triples")
+    sizes = sizes.withColumn("_range", F.floor(F.col("batch") / BATCH_RANGE))
+    names = ("done", "failed", "tokens", "triples")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_range").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    bases = sizes.groupBy("_range").agg(*(F.sum(c).alias(c) for c in names))
+    bases = bases.select("_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in names))
+    rolled = sizes.select("_range", "batch", F.col("tokens").alias("own"), F.col("failed").alias("own_failed"), *(F.sum(c).over(within).alias(c) for c in names)).join(bases, "_range")
+    rolled = rolled.select("batch", "own", "own_failed", *((F.col(c) + F.col(f"_{c}")).alias(c) for c in names))
+    starts = (F.col("failed") == F.col("own_failed")) & (F.lit(True) if budget is None else F.col("tokens") - F.col("own") < budget)
+    spent = F.lit(False) if budget is None else F.col("tokens") >= budget
+    why = F.when(F.col("own_failed") > 0, "the model call failed; the rest stays pending").when(spent, f"token budget of {budget or 0:,} reached")
+    progress = rolled.where(starts).select("batch", *names, why.alias("stopped"))
+    ran = outcomes.join(progress.select("batch"), "batch", "left_semi")
+    return progress, ran.select(F.explode(F.array_except("keys", "failed")).alias("key"))

@@ -22,7 +22,7 @@ Reader = Callable[[bytes, int], tuple[str, int, int, bool]]
 
 def text_pages(files: DataFrame) -> DataFrame:
     """(file, page, text, method) of text files (path, content): one page each."""
-    return files.select(F.col("path").alias("file"), F.lit(1).alias("page"), tx.normalize(F.decode("content", "UTF-8")).alias("text"), F.lit("text").alias("method"))
+    return files.select(F.col("path").alias("file"), F.lit(1).alias("page"), tx.normalize(tx.utf8(F.col("content"))).alias("text"), F.lit("text").alias("method"))
 
 
 def scanned_pages(files: DataFrame, extract: Extractor) -> DataFrame:

@@ -14,6 +14,12 @@ def _relative(root: str) -> Column:
     return F.substring_index(F.col("path"), f"{plain}/", -1)
 
 
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text) of all files but those in or of a name that begins with a dot; bytes that are no UTF-8 become U+FFFD."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_relative(root).alias("path"), "content")
+    return rows.where(~F.col("path").rlike(r"(^|/)\.")).select("path", tx.utf8(F.col("content")).alias("text"))
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime_ns, size) of all notes; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -28,7 +34,7 @@ def read(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataF
     rows = rows.where(tx.is_note(F.col("path")))
     if only is not None:
         rows = rows.join(only.select("path"), "path", "left_semi")
-    return rows.select("path", "mtime_ns", "size", F.sha2("content", 256).alias("sha"), F.decode("content", "UTF-8").alias("text"))
+    return rows.select("path", "mtime_ns", "size", F.sha2("content", 256).alias("sha"), tx.utf8(F.col("content")).alias("text"))
 
 
 def relative_path(path: str) -> str:

@@ -4,34 +4,72 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from skein.operators import chunking, incremental
 
 THROTTLE = "5 seconds"
+#: Notes are dealt into so many buckets by the hash of their path; a batch rewrites only those it touches.
+BUCKETS = 256
+COLUMNS = ("id", "path", "heading", "ord", "line", "text", "vec")
 
 
-def follow(changes: DataFrame, folder: str, checkpoint: str, encode: Callable[[DataFrame], DataFrame], once: bool = False) -> StreamingQuery:
+def _bucket(path: str, buckets: int):  # noqa: ANN202
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def _manifest(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
+    """The version that holds each bucket after batch ``number``; at most one row per bucket."""
+    if number < 0:
+        return {}
+    rows = spark.read.schema("bucket int, held int").parquet(f"{folder}/manifest/version={number}")
+    return {r["bucket"]: r["held"] for r in rows.collect()}
+
+
+def _read(spark: SparkSession, folder: str, held: dict[int, int], schema: T.StructType) -> DataFrame:
+    paths = [f"{folder}/version={version}/bucket={bucket}" for bucket, version in sorted(held.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The index after the last batch: (id, path, heading, ord, line, text, vec)."""
+    number = spark.read.parquet(f"{folder}/manifest").agg(F.max("version")).first()[0]
+    held = _manifest(spark, folder, number)
+    schema = spark.read.parquet(f"{folder}/schema").schema
+    return _read(spark, folder, held, schema)
+
+
+def follow(changes: DataFrame, folder: str, checkpoint: str, encode: Callable[[DataFrame], DataFrame], once: bool = False, buckets: int = BUCKETS) -> StreamingQuery:
     """Index ``changes`` (path, version, text; a null text removes a note) into versions under ``folder``.
 
-    Each batch writes the index anew as ``version=<batch>``, from the version before; the last change
-    of a path in a batch counts. A batch that is run again writes the same version, so it counts once.
+    Each batch writes the buckets that its notes are in as ``version=<batch>`` and a manifest of which
+    version holds each bucket; other buckets are neither read nor written. The last change of a path in a
+    batch counts. A batch that is run again starts from the same manifest and writes the same version,
+    so it counts once. Files that no manifest in use names can be removed at any time.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         newest = Window.partitionBy("path").orderBy(F.desc("version"))
-        last = batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+        last = batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n").persist()
+        touched = {r[0] for r in last.select(_bucket("path", buckets)).distinct().collect()}
+        held = _manifest(spark, folder, number - 1)
         sections = chunking.sections(last.where("text is not null")).select("id", "path", "heading", "ord", "line", "text")
+        empty = encode(sections.limit(0)).select(*COLUMNS)
+        before = _read(spark, folder, {b: v for b, v in held.items() if b in touched}, empty.schema)
+        gone = last.where("text is null").select("path")
+        state = incremental.upsert(before.join(gone, "path", "left_anti"), sections, encode).select(*COLUMNS)
+        out = f"{folder}/version={number}"
+        state.withColumn("bucket", _bucket("path", buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
+        filled = {r[0] for r in spark.read.schema("bucket int").parquet(out).select("bucket").distinct().collect()}
+        held = {b: v for b, v in held.items() if b not in touched} | dict.fromkeys(filled, number)
         if number == 0:
-            state = encode(sections)
-        else:
-            before = spark.read.parquet(f"{folder}/version={number - 1}")
-            gone = last.where("text is null").select("path")
-            state = incremental.upsert(before.join(gone, "path", "left_anti"), sections, encode)
-        state.select("id", "path", "heading", "ord", "line", "text", "vec").write.mode("overwrite").parquet(f"{folder}/version={number}")
+            empty.write.mode("overwrite").parquet(f"{folder}/schema")
+        spark.createDataFrame(sorted(held.items()), "bucket int, held int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/version={number}")
+        last.unpersist()
 
     writer = changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=THROTTLE)).start()
