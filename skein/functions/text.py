@@ -40,7 +40,8 @@ def normalize(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case with ASCII digits: the form in which words match."""
-    return F.translate(F.lower(text), THAI_DIGITS, DIGITS)
+    lower = F.lower(text)
+    return F.when(text.rlike(f"[{THAI_DIGITS[0]}-{THAI_DIGITS[-1]}]"), F.translate(lower, THAI_DIGITS, DIGITS)).otherwise(lower)
 
 
 def tokens(text: Column) -> Column:

@@ -6,9 +6,12 @@ it occurs, and passages without a match fill up a list that is shorter than k, w
 count once and only matches are returned. Lists are ordered by score (rounded to six decimals), then
 by id, so that they do not depend on the plan.
 
-Only words that some query has leave the scan: passages are exploded against the distinct query
-words before anything is shuffled, a posting carries its passage's length, and postings are dealt by
-passage, so that neither a join nor the sum of scores needs a further exchange. ``index`` builds the whole inverted index for a corpus that is searched again and again.
+The corpus is read and tokenised once. Only words that some query has leave the scan, and one row of
+each passage that counts it: passages are exploded against the distinct query words before anything is
+shuffled. A posting carries its passage's length, and postings are dealt by passage, so that neither a
+join nor the sum of scores needs a further exchange. They are written to the checkpoint folder, as the
+totals, the document counts and the scores all read them. ``index`` builds the whole inverted index for
+a corpus that is searched again and again.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
-
+from skein.plans.lineage import cut
 
 #: Query words of a batch up to which they are sent to the postings; beyond it both sides are shuffled.
 BROADCAST_TERMS = 200_000
@@ -52,19 +55,27 @@ class Index:
     totals: DataFrame
 
 
-def _index(passages: DataFrame, profile: Profile, only: DataFrame | None) -> Index:
-    """``passages`` has id and text; ``only`` has the terms that are needed."""
+def index(passages: DataFrame, profile: Profile = OKAPI) -> Index:
+    """``passages`` has id and text."""
     words = passages.select("id", profile.tokens(F.coalesce("text", F.lit(""))).alias("words"))
     totals = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average"))
-    terms = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    if only is not None:
-        terms = terms.join(only, "term")
+    # Outer: otherwise the words would be found once more, to leave passages without any out.
+    terms = words.select("id", F.size("words").alias("length"), F.explode_outer("words").alias("term")).where("term is not null")
     # By passage alone: then scores are summed where their postings are.
     return Index(terms.repartition("id").groupBy("term", "id", "length").agg(F.count("*").alias("tf")), totals)
 
 
-def index(passages: DataFrame, profile: Profile = OKAPI) -> Index:
-    return _index(passages, profile, None)
+def _index_of(passages: DataFrame, profile: Profile, only: DataFrame) -> Index:
+    """The postings of the terms in ``only``, which are few, and the totals of all passages."""
+    words = passages.select("id", profile.tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    places = words.select("id", F.size("words").alias("length"), F.posexplode_outer("words").alias("place", "word"))
+    first = F.coalesce("place", F.lit(0)) == 0
+    found = places.join(F.broadcast(only), F.col("word") == F.col("term"), "left").where(F.col("term").isNotNull() | first)
+    rows = found.select("id", "length", "term", first.cast("int").alias("begins")).repartition("id")
+    counted = cut(rows.groupBy("term", "id", "length").agg(F.count("*").alias("tf"), F.sum("begins").alias("passages")))
+    passages_of = F.sum("passages")
+    totals = counted.agg(F.coalesce(passages_of, F.lit(0)).alias("n"), F.try_divide(F.sum(F.col("passages") * F.col("length")), passages_of).alias("average"))
+    return Index(counted.where("term is not null").drop("passages"), totals)
 
 
 def query_terms(queries: DataFrame, profile: Profile) -> DataFrame:
@@ -74,30 +85,37 @@ def query_terms(queries: DataFrame, profile: Profile) -> DataFrame:
     return counted if profile.repeat_query_words else counted.withColumn("times", F.lit(1).cast("long"))
 
 
-def scores(queries: DataFrame, built: Index, profile: Profile) -> DataFrame:
-    """(qid, id, score) of all matches."""
-    terms = query_terms(queries, profile)
+def _scores(terms: DataFrame, built: Index, profile: Profile, few: bool) -> DataFrame:
+    """(qid, id, score) of all matches of ``query_terms``, which are sent to the postings if they are few."""
     document_counts = built.postings.groupBy("term").agg(F.count("*").alias("with_word"))
     weighted = terms.join(document_counts, "term").crossJoin(built.totals)
     weighted = weighted.select("qid", "term", "times", "average", profile.idf(F.col("n"), F.col("with_word")).alias("idf"))
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     hits = built.postings.join(F.broadcast(weighted) if few else weighted, "term")
     norm = profile.k1 * (1 - profile.b + profile.b * F.col("length") / F.col("average"))
     gain = F.col("times") * F.col("idf") * F.col("tf") * (profile.k1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("qid", "id").agg(F.round(F.sum(gain), 6).alias("score"))
 
 
-def ranked(scored: DataFrame, k: int, key: str = "id") -> DataFrame:
+def ranked(rows: DataFrame, k: int, key: str = "id") -> DataFrame:
     """The k best rows of each query, with ``rank`` from 1."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def scored(queries: DataFrame, passages: DataFrame, profile: Profile, built: Index | None = None) -> DataFrame:
+    """(qid, id, score) of all matches."""
+    terms = cut(query_terms(queries, profile))
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if built is None:
+        built = _index_of(passages, profile, terms.select("term").distinct()) if few else index(passages, profile)
+    return _scores(terms, built, profile, few)
 
 
 def search(queries: DataFrame, passages: DataFrame, k: int, profile: Profile = OKAPI, built: Index | None = None) -> DataFrame:
     """(qid, rank, id, score): ``queries`` is (qid, text), ``passages`` (id, text)."""
-    built = built or _index(passages, profile, query_terms(queries, profile).select("term").distinct())
-    found = ranked(scores(queries, built, profile), k)
+    found = ranked(scored(queries, passages, profile, built), k)
     if profile.fill:
+        found = cut(found)
         # Of the 2k passages with the least ids, k are unmatched for any query with fewer than k matches.
         spare = passages.select("id").orderBy("id").limit(2 * k)
         short = queries.select("qid").distinct().join(found.groupBy("qid").agg(F.count("*").alias("have")), "qid", "left").where(F.coalesce("have", F.lit(0)) < k)

@@ -158,8 +158,7 @@ def search_notes(queries: DataFrame, sections: DataFrame, encode: Encoder, kind:
 
     def by_words(most: int) -> DataFrame:
         passages = sections.select("id", body.alias("text"))
-        built = bm25._index(passages, bm25.FULL_TEXT, bm25.query_terms(queries, bm25.FULL_TEXT).select("term").distinct())
-        scored = bm25.scores(queries, built, bm25.FULL_TEXT).join(within.select("id"), "id", "left_semi")
+        scored = bm25.scored(queries, passages, bm25.FULL_TEXT).join(within.select("id"), "id", "left_semi")
         return bm25.ranked(scored, most).select("qid", "rank", "id", "score")
 
     def by_vector(most: int) -> DataFrame:
