@@ -1,13 +1,15 @@
 """Quality rules: base rules on each document, and line frequency across documents.
 
 Lines are normalised and hashed, and each host's distinct documents with a line are counted. A line
-in more than ``max(min_docs, max_share * documents of the host)`` of them is boilerplate: it is
-removed, and a document left with too few of its words is rejected. Only built-in functions run.
+in more than ``min_docs`` of them is boilerplate if it is also in more than ``max_share`` of the
+host's documents or in more than ``max_docs``, so that what a large host leaves in has a bound: the
+line is removed, and a document left with too few of its words is rejected. Only built-in functions run.
 
-Plan: text is never shuffled to obtain verdicts. Counting sends (host, line hash, text hash) once
-with partial aggregation, so a line or host that a third of all rows share is spread by its text
-hash; the join that marks lines has one row per line on its other side, so that adaptive execution
-can split a hot key.
+Plan: text is never shuffled to obtain verdicts. It is read twice: for the base measures, and for a
+slim table of lines (hashes and numbers of words) in the checkpoint folder, from which lines are
+counted and marked. Counting sends (host, line hash, text hash) once with partial aggregation, so a
+line or host that a third of all rows share is spread by its text hash; the join that marks lines has
+one row per line on its other side, so that adaptive execution can split a hot key.
 
 Defined results: a null or empty text has no words, fails the base rules and is rejected. A null
 host is a host of its own. Documents with equal texts count once per host, so copies and repeated
@@ -20,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE, WORD, let
+from skein.llm.common import SPACE, WORD, cut, let
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 MIN_DOCS = 10
 MAX_SHARE = 0.1
+MAX_DOCS = 100
 MIN_KEPT_SHARE = 0.3
 
 
@@ -82,8 +85,8 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     out = df.select(
         *docs.columns,
         F.size("_qwords").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(body, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_qwords", "")).cast("long").alias("word_chars"),
+        F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_qlines") - F.size(F.array_distinct("_qlines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_qwords")).cast("long").alias("n_repeat_words"),
     )
@@ -91,22 +94,27 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, key) of lines that are above their host's limit."""
-    texts = docs.select(F.coalesce(F.col(host), F.lit("")).alias("_qhost"), F.xxhash64(_text(text)).alias("_qtext"), _text(text).alias("_qbody"))
-    per_host = texts.groupBy("_qhost", "_qtext").agg(F.lit(1).alias("one")).groupBy("_qhost").agg(F.count("*").alias("_qdocs"))
-    keys = texts.select("_qhost", "_qtext", F.explode(F.array_distinct(F.transform(lines(F.col("_qbody")), line_key))).alias("_qkey"))
-    counts = keys.groupBy("_qhost", "_qkey", "_qtext").agg(F.lit(1).alias("one")).groupBy("_qhost", "_qkey").agg(F.count("*").alias("_qn"))
+def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """(_qid, _qhost, _qtext, _qpos, _qkey, _qn): the lines of each document, or one row of nulls, with their words."""
+    items = F.transform(lines(_text(text)), lambda x: F.struct(line_key(x).alias("k"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    # Outer: documents without a line count as documents, and lines are not found twice to leave them out.
+    owned = docs.select(F.col(doc_id).alias("_qid"), F.coalesce(F.col(host), F.lit("")).alias("_qhost"), F.xxhash64(_text(text)).alias("_qtext"), F.posexplode_outer(items).alias("_qpos", "_qline"))
+    return cut(owned.select("_qid", "_qhost", "_qtext", "_qpos", F.col("_qline.k").alias("_qkey"), F.col("_qline.n").alias("_qn")))
+
+
+def frequent_lines(table: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, key) of lines of a ``line_table`` that are above their host's limit."""
+    per_host = table.groupBy("_qhost", "_qtext").agg(F.lit(1).alias("one")).groupBy("_qhost").agg(F.count("*").alias("_qdocs"))
+    keys = table.where("_qkey is not null").groupBy("_qhost", "_qkey", "_qtext").agg(F.lit(1).alias("one"))
+    counts = keys.groupBy("_qhost", "_qkey").agg(F.count("*").alias("_qn"))
     above = counts.where(F.col("_qn") > min_docs).join(per_host, "_qhost")
-    return above.where(F.col("_qn") > max_share * F.col("_qdocs")).select("_qhost", "_qkey")
+    return above.where(F.col("_qn") > F.least(F.lit(max_docs).cast("double"), max_share * F.col("_qdocs"))).select("_qhost", "_qkey")
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, max_share: float) -> DataFrame:
+def _marked(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, max_share: float, max_docs: int) -> DataFrame:
     """Per (document, text) with frequent lines: their keys and the number of words in them."""
-    items = F.transform(lines(_text(text)), lambda x: F.struct(line_key(x).alias("k"), F.size(words(x)).alias("n")))
-    owned = docs.select(F.col(doc_id).alias("_qid"), F.coalesce(F.col(host), F.lit("")).alias("_qhost"), F.xxhash64(_text(text)).alias("_qtext"), F.posexplode(items).alias("_qpos", "_qline"))
-    owned = owned.select("_qid", "_qhost", "_qtext", "_qpos", F.col("_qline.k").alias("_qkey"), F.col("_qline.n").alias("_qn"))
-    found = owned.join(frequent_lines(docs, text, host, min_docs, max_share), ["_qhost", "_qkey"])
+    table = line_table(docs, doc_id, text, host)
+    found = table.join(frequent_lines(table, min_docs, max_share, max_docs), ["_qhost", "_qkey"])
     once = found.repartition("_qid", "_qtext").groupBy("_qid", "_qtext", "_qhost", "_qpos").agg(F.first("_qkey").alias("_qkey"), F.first("_qn").alias("_qn"))
     return once.groupBy("_qid", "_qtext", "_qhost").agg(F.sum("_qn").alias("_qcut"), F.collect_set("_qkey").alias("_qkeys"))
 
@@ -123,21 +131,21 @@ def _verdict(min_kept_share: float) -> Column:
     return ~F.col("base_failed") & ~depleted
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """One row per document: the base counts, the words in frequent lines, and whether it is kept."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_qbody"), F.col(host).alias("_qsource"))
     rows = base_measures(slim.withColumn("_qhash", F.xxhash64(_text("_qbody"))), "_qbody").drop("_qbody")
-    marked = _marked(docs, doc_id, text, host, min_docs, max_share).drop("_qkeys")
+    marked = _marked(docs, doc_id, text, host, min_docs, max_share, max_docs).drop("_qkeys")
     out = _joined(rows, marked, "doc_id", "_qsource")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _verdict(min_kept_share).alias("kept"), F.coalesce("_qcut", F.lit(0)).cast("long").alias("n_boilerplate_words"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """The documents that are kept, without their frequent lines; columns as they came."""
     rest_of = [c for c in docs.columns if c != text]
     packed = docs.select(F.struct(*rest_of).alias("_qrow"), F.col(doc_id).alias("_qdoc"), F.col(text).alias("_qbody"), F.col(host).alias("_qsource"))
     rows = base_measures(packed.withColumn("_qhash", F.xxhash64(_text("_qbody"))), "_qbody").where(~F.col("base_failed"))
-    out = _joined(rows, _marked(docs, doc_id, text, host, min_docs, max_share), "_qdoc", "_qsource").where(_verdict(min_kept_share))
+    out = _joined(rows, _marked(docs, doc_id, text, host, min_docs, max_share, max_docs), "_qdoc", "_qsource").where(_verdict(min_kept_share))
     dropped = lambda line: F.coalesce(F.array_contains(F.col("_qkeys"), line_key(line)), F.lit(False))
     rest = F.array_join(F.filter(F.split("_qbody", "\n", -1), lambda x: ~dropped(x)), "\n")
     new = F.when(F.col("_qkeys").isNull(), F.col("_qbody")).otherwise(rest)
@@ -161,7 +169,7 @@ ln AS (SELECT doc_id, host, body, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')
               trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS k
        FROM (SELECT doc_id, host, body, unnest(ls) AS l FROM w)),
 freq AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT body) AS n FROM ln GROUP BY host, k)
-         JOIN (SELECT host, count(DISTINCT body) AS docs FROM d GROUP BY host) USING (host) WHERE n > 10 AND n > 0.1 * docs),
+         JOIN (SELECT host, count(DISTINCT body) AS docs FROM d GROUP BY host) USING (host) WHERE n > 10 AND (n > 0.1 * docs OR n > 100)),
 gone AS (SELECT doc_id, sum(n) AS gone FROM ln JOIN freq USING (host, k) GROUP BY doc_id),
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(gone, 0)::BIGINT AS n_boilerplate_words
       FROM base LEFT JOIN gone USING (doc_id))

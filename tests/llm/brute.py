@@ -28,7 +28,7 @@ def line_key(line: str) -> str:
     return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.lower())).strip(" ")
 
 
-def frequent(docs: list[dict], min_docs: int = 10, max_share: float = 0.1) -> set[tuple[str, str]]:
+def frequent(docs: list[dict], min_docs: int = 10, max_share: float = 0.1, max_docs: int = 100) -> set[tuple[str, str]]:
     holders, texts = defaultdict(set), defaultdict(set)
     for d in docs:
         host, text = d["source"] or "", d["text"] or ""
@@ -36,7 +36,7 @@ def frequent(docs: list[dict], min_docs: int = 10, max_share: float = 0.1) -> se
         for line in text.split("\n"):
             if WORD.search(line):
                 holders[host, line_key(line)].add(text)
-    return {k for k, v in holders.items() if len(v) > min_docs and len(v) > max_share * len(texts[k[0]])}
+    return {k for k, v in holders.items() if len(v) > min_docs and (len(v) > max_share * len(texts[k[0]]) or len(v) > max_docs)}
 
 
 def quality(docs: list[dict]) -> list[dict]:

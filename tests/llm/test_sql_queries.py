@@ -41,6 +41,15 @@ def test_quality_rules(spark):
         assert r["kept"] == (d["doc_id"] in {i for i, _ in kept})
 
 
+def test_a_large_host_does_not_loosen_the_limit(spark):
+    bodies = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(20)) for i in range(250)]
+    docs = [{"doc_id": i, "text": f"Imprint {i}\n{body}" if i < 20 else body, "source": "host"} for i, body in enumerate(bodies)]
+    table = quality_rules.line_table(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    for most in (19, 20):
+        found = quality_rules.frequent_lines(table, max_docs=most).count()
+        assert found == len(brute.frequent(docs, max_docs=most)) == (most < 20)
+
+
 def test_mixing(spark, sf_dir):
     docs = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     wanted = {k: v for k, v in brute.mix(docs).items() if v}
