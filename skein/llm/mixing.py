@@ -9,12 +9,12 @@ Only built-in functions run; budgets are exact integers.
 
 Plan: a slim table (no text) is written to the checkpoint folder once and read from there. The tree
 holds one row per leaf. The prefix of a leaf, which may have a third of all rows, is found without
-gathering it: its order is dealt into 4,096 ranges by hash, ranges are summed, the sums are
+gathering it (its budget is sent to its documents if the leaves, once counted, are few): its order is dealt into 4,096 ranges by hash, ranges are summed, the sums are
 accumulated, and rows are only ordered within their range.
 
 Defined results: documents without a word are never drawn; null languages, sources and texts count
 as empty ones. Repeated rows, alike in id, text and leaf, are one document, and ``mix`` repeats each
-of them alike. Other columns are carried through by ``mix``; helper columns start with ``_m``.
+of them alike. Other columns are carried through by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import WORD, cut
+from skein.llm.common import WORD, cut, pack, unpack
 
 DOMAINS = ("web", "reference", "forum", "code")
 WEIGHTS = {
@@ -34,6 +34,8 @@ LEVELS = ("domain", "lang", "source")
 BUDGET_PERCENT = 80
 MAX_EPOCHS = 3
 SEED = "skein-mix-1"
+#: Leaves up to which their budgets are sent to the documents; beyond it both sides are shuffled.
+BROADCAST_LEAVES = 200_000
 
 
 def domain_of(source: Column) -> Column:
@@ -100,8 +102,9 @@ def select(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, budget
     slim = cut(slim.where("n_tokens > 0").dropDuplicates(["doc_id", "_mtext", "lang", "source"]))
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n_available"))
     plan = leaf_budgets(leaves, weights, budget_percent, max_epochs)
-    plan = plan.select(*LEVELS, F.expr("n_budget div n_available").alias("_mepochs"), (F.col("n_budget") % F.col("n_available")).alias("_mprefix"))
-    rows = slim.join(plan, list(LEVELS)).withColumn("_morder", _order(F.col("_mepochs")))
+    plan = cut(plan.select(*LEVELS, F.expr("n_budget div n_available").alias("_mepochs"), (F.col("n_budget") % F.col("n_available")).alias("_mprefix")))
+    few = plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    rows = slim.join(F.broadcast(plan) if few else plan, list(LEVELS)).withColumn("_morder", _order(F.col("_mepochs")))
     rows = rows.withColumn("_mrange", F.substring("_morder", 1, 3))
     ranges = rows.groupBy(*LEVELS, "_mrange").agg(F.sum("n_tokens").alias("_msum"))
     running = Window.partitionBy(*LEVELS).orderBy("_mrange").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,10 +120,11 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, budget_pe
     drawn = select(docs, weights, budget_percent, max_epochs).select(
         F.col("doc_id").alias("_mid"), F.col("lang").alias("_mlang"), F.col("source").alias("_msource"), F.col("_mtext").alias("_mhash"), F.col("n_copies").alias("_mcopies")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_mid")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("_mhash"))
-    same &= (F.coalesce("lang", F.lit("")) == F.col("_mlang")) & (F.coalesce("source", F.lit("")) == F.col("_msource"))
-    again = docs.join(drawn, same).withColumn("_mcopy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mcopies"))))
-    return again.select(*docs.columns)
+    packed = pack(docs, _mdoc=F.col("doc_id"), _mtext=F.md5(F.coalesce("text", F.lit(""))), _mdoclang=F.coalesce("lang", F.lit("")), _mdocsource=F.coalesce("source", F.lit("")))
+    same = F.col("_mdoc").eqNullSafe(F.col("_mid")) & (F.col("_mtext") == F.col("_mhash"))
+    same &= (F.col("_mdoclang") == F.col("_mlang")) & (F.col("_mdocsource") == F.col("_msource"))
+    again = packed.join(drawn, same).withColumn("_mcopy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mcopies"))))
+    return unpack(again, docs.columns, {})
 
 
 def _sql_weight(level: str) -> str:

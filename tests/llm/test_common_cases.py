@@ -60,6 +60,14 @@ def test_filters_keep_columns(spark, stage):
     assert stage(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("stage", [quality_rules.clean, jaccard_join.keep_one, mixing.mix, pii.pseudonymise])
+def test_columns_named_like_helpers(spark, stage):
+    names = ["_mid", "_mtext", "_mcopies", "_qid", "_qtext", "_qkeys", "_id", "_whole", "_row", "_class"]
+    df = documents(spark).select("*", *(F.lit(f"own {c}").alias(c) for c in names))
+    out = stage(df)
+    assert all(r[c] == f"own {c}" for r in out.collect() for c in names)
+
+
 def test_null_text_results(spark):
     df = documents(spark)
     assert quality_rules.judge(df).where("doc_id = 0").first()["base_failed"]
