@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, jaccard_join, language_id, licenses, media, mixing, pii, piece_bpe, quality_classifier, quality_rules
+from skein.llm import chat, jaccard_join, language_id, licenses, media, merkle, mixing, packing, pii, piece_bpe, quality_classifier, quality_rules, vector_codes
 from skein.llm.common import read
 
 
@@ -18,6 +18,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_tokeniser() -> str:
+    """The path of the tokeniser that packing uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = piece_bpe.vocabulary(docs, piece_model())
@@ -66,6 +73,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    pieces = packing.pack(docs, packing.tokeniser(docs, byte_tokeniser()))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
@@ -77,9 +98,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op11_packing": op11_packing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
