@@ -10,9 +10,9 @@ A group has exactly as many full sequences as its tokens fill. What is left, les
 sequences of its tokens' binary digits (1,024, 256, ...), since a sequence of a power of two is not padded;
 so nothing is padded at all, at the price of at most eleven short sequences a group.
 
-Ids come from a tokeniser of the ``tokenizers`` library. A slice of texts is cut into words before each blank
-that follows something that is no white space, where no token of a byte-level vocabulary with that rule of
-words can span the cut, and equal words of a slice are encoded once.
+Ids come from a tokeniser of the ``tokenizers`` library. With a byte-level one, a slice of texts is cut into
+words before each blank that follows something that is no white space, where no token can span the cut, and
+equal words of a slice are encoded once; with others, whole texts are encoded.
 
 Plan: one pass in Arrow batches; nothing is shuffled, broadcast but the tokeniser's file (1.5 MB) or
 collected, as groups are made from the rows that a task reads. So a task that is run again makes its own
@@ -29,11 +29,14 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
+import json
+import os
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +50,9 @@ GROUP_DOCS = 1 << 15
 END = 1
 #: Of a token: cost of the projections in units of the attention with one other token, at a width of 4,096.
 LINEAR = 6 * 4096
+#: Bytes of text whose equal words are encoded once, and words that are encoded in a row.
+SLICE_BYTES = 1 << 23
+JOIN = 256
 #: Sequences of a group that are handed over at once.
 AT_ONCE = 512
 
@@ -61,19 +67,53 @@ class Tokeniser:
     def library(self):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         return Tokenizer.from_str(self.source)
 
+    @functools.cached_property
+    def token_bytes(self) -> np.ndarray | None:
+        """Bytes of text that each token stands for, if words can be encoded apart: byte-level, without a normaliser or an added blank."""
+        made = json.loads(self.source)
+        splits = made.get("pre_tokenizer") or {}
+        if made.get("normalizer") or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex", True):
+            return None
+        sizes = {i: len(token) for token, i in made["model"]["vocab"].items()}  # a letter of a token is a byte
+        sizes |= {x["id"]: len(x["content"].encode()) for x in made["added_tokens"]}
+        out = np.zeros(max(sizes) + 1, np.int64)
+        out[list(sizes)] = list(sizes.values())
+        return out
+
     def __getstate__(self) -> dict:
         return {"source": self.source}
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _word_ids(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words. Those that begin with a blank are encoded JOIN in a row, as they would be cut apart again."""
+        raw, ends = text_arrays.raw_bytes(words)
+        joined = np.append(raw[ends[:-1]] == 0x20, False)
+        fresh = ~joined[:-1]
+        fresh[1:] |= ~joined[:-2]
+        fresh[:1] = True
+        fresh[np.flatnonzero(joined)[::JOIN]] = True
+        begins = np.flatnonzero(fresh)
+        edges = np.append(ends[begins], len(raw)).tolist()
+        data = raw.tobytes()
+        flat, _ = self._ids([data[a:b].decode() for a, b in itertools.pairwise(edges)])
+        last = np.searchsorted(np.cumsum(self.token_bytes[flat]), ends[1:]) + 1
+        return flat, np.diff(last, prepend=0)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
+        if self.token_bytes is None:
+            return self._ids(pc.fill_null(texts, "").to_pylist())
         raw, offsets = text_arrays.raw_bytes(texts)
         words, per_text = _words(raw, offsets)
         coded = words.dictionary_encode()
-        found = [x.ids for x in self.library.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        flat, sizes = self._word_ids(coded.dictionary)
         which = coded.indices.to_numpy()
         return _gather(flat, sizes, which), np.bincount(np.repeat(np.arange(len(texts)), per_text), weights=sizes[which], minlength=len(texts)).astype(np.int64)
 
@@ -183,7 +223,7 @@ def pack(docs: DataFrame, model: Broadcast, doc_id: str = "doc_id", text: str =
             number += len(capacities(int(lengths.sum()), tokens))
 
         for batch in batches:
-            for part in text_arrays.slices(batch, "text"):
+            for part in text_arrays.slices(batch, "text", SLICE_BYTES):
                 flat, counts = t.encode(part.column("text"))
                 held.append((_with_end(flat, counts), counts + 1, part.column("doc_id")))
                 if sum(len(x[0]) for x in held) >= group_tokens or sum(len(x[1]) for x in held) >= GROUP_DOCS:

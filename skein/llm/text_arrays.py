@@ -81,12 +81,12 @@ def shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(total), n
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Rows in order, in slices of about SLICE_BYTES; a longer row is a slice of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows in order, in slices of about ``most`` bytes; a longer row is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > SLICE_BYTES:
+        if i > start and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
