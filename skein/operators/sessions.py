@@ -107,35 +107,6 @@ def search_report(hits: DataFrame, relations: DataFrame, room: int) -> DataFrame
     return rows.withColumn("_per", per).select("qid", F.concat("_head", F.lit("\n\n"), body, "_graph").alias("report"))
 
 
-def apply_changes(files: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, trash) after ``changes`` (seq, kind, path, dest, text) to files (path, text).
-
-    Kinds are write, append, move and delete. A path's text is that of its last write, or its old one,
-    with the texts appended since in order. A delete counts unless the path is written later, a move
-    unless it is written or deleted later. A move is left undone onto a file that is there or written,
-    or onto the destination of an earlier move.
-    """
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("seq", "dest", "text")))
-    ends = changes.groupBy("path").agg(of("write").alias("w"), of("delete").alias("d"), of("move").alias("m"))
-    since = ends.select("path", F.greatest("w.seq", "d.seq").alias("_after"))
-    more = changes.where("kind = 'append'").join(since, "path").where(F.col("seq") > F.coalesce("_after", F.lit(-1)))
-    more = more.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("_more"))
-    none = F.lit(-1).cast("long")
-    wrote, deleted, moved = (F.coalesce(F.col(f"{c}.seq").cast("long"), none) for c in "wdm")
-    rows = files.withColumnRenamed("text", "_old").join(ends, "path", "full_outer").join(more, "path", "left")
-    rows = rows.withColumn("_gone", deleted > wrote).withColumn("_to", F.when((moved > wrote) & (moved > deleted), F.col("m.dest")))
-    base = F.when(F.col("w").isNotNull(), F.col("w.text")).otherwise(F.col("_old"))
-    base = F.when(~F.col("_gone"), base)
-    body = F.when(F.col("_more").isNull(), base).when((F.coalesce(base, F.lit("")) != "") & ~base.endswith("\n"), F.concat(base, F.lit("\n"), "_more")).otherwise(F.concat(F.coalesce(base, F.lit("")), "_more"))
-    rows = rows.withColumn("_body", body)
-    taken = rows.where("_body is not null").select(F.col("path").alias("_to")).withColumn("_taken", F.lit(True))
-    first = rows.where("_to is not null and _body is not null").groupBy("_to").agg(F.min(F.struct("m.seq", "path")).alias("_first"))
-    rows = rows.join(taken, "_to", "left").join(first, "_to", "left")
-    moves = F.coalesce(F.col("_to").isNotNull() & F.col("_taken").isNull() & (F.col("_first.path") == F.col("path")), F.lit(False))
-    kept = rows.where("_body is not null").select(F.when(moves, F.col("_to")).otherwise(F.col("path")).alias("path"), F.col("_body").alias("text"))
-    return kept, rows.where(F.col("_gone") & F.col("_old").isNotNull()).select("path", F.col("_old").alias("text"))
-
-
 def token_statistics(passages: DataFrame) -> DataFrame:
     """One row: distinct words, and words per passage."""
     words = passages.select(tx.tokens(F.coalesce("text", F.lit(""))).alias("words"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import sessions
+from skein.operators import mutations, sessions
 from skein.plans import graph_queries, retrieval_queries
 from skein.plans.registry import Catalog
 from skein.sources.tables import load
@@ -66,10 +66,42 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, nothing = F.col("doc_id") % 5, F.lit(None).cast("string")
     ends = rows.where(part.isin(1, 2, 4)).select(F.lit(1).alias("seq"), F.when(part == 1, "write").when(part == 2, "move").otherwise("delete").alias("kind"), "path", F.when(part == 2, F.concat(F.lit("moved/"), "path")).alias("dest"), F.when(part == 1, "new").alias("text"))
     more = rows.where(part.isin(1, 3)).select(F.lit(2), F.lit("append"), "path", nothing, F.lit("more"))
-    files = sessions.apply_changes(rows.drop("doc_id"), ends.union(more))[0]
+    files = mutations.apply_changes(rows.drop("doc_id"), ends.union(more))[0]
     return files.select("path", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+#: Ten changes of four paths for each document, by a rule on its id and the change's number.
+CHANGES = 10
+_MIX = "(doc_id * 7919 + k * 104729 + k * k * 31)"
+
+
+@catalog.add(
+    f"""WITH RECURSIVE ops AS (SELECT doc_id, k, ['write', 'append', 'move', 'move', 'delete', 'append', 'move'][{_MIX} % 7 + 1] AS kind, {_MIX} // 7 % 4 AS src, {_MIX} // 28 % 4 AS dst
+  FROM documents, range(1, {CHANGES} + 1) r(k)),
+s AS (SELECT doc_id, 0::BIGINT AS k, [{{'p': 0::BIGINT, 't': text}}] AS f, []::STRUCT(p BIGINT, t VARCHAR)[] AS trash FROM documents
+UNION ALL SELECT s.doc_id, o.k, CASE
+    WHEN kind = 'write' THEN list_append(list_filter(f, lambda x: x.p != src), {{'p': src, 't': 'w' || o.k}})
+    WHEN kind = 'append' THEN list_append(list_filter(f, lambda x: x.p != src), {{'p': src, 't': coalesce(old || CASE WHEN old = '' OR ends_with(old, chr(10)) THEN '' ELSE chr(10) END, '') || 'a' || o.k}})
+    WHEN kind = 'delete' THEN list_filter(f, lambda x: x.p != src)
+    WHEN old IS NOT NULL AND len(list_filter(f, lambda x: x.p = dst)) = 0 THEN list_transform(f, lambda x: {{'p': CASE WHEN x.p = src THEN dst ELSE x.p END, 't': x.t}})
+    ELSE f END, CASE WHEN kind = 'delete' AND old IS NOT NULL THEN list_append(trash, {{'p': src, 't': old}}) ELSE trash END
+  FROM (SELECT s.*, o.* EXCLUDE (doc_id, k), list_filter(f, lambda x: x.p = src)[1].t AS old FROM s JOIN ops o ON s.doc_id = o.doc_id AND o.k = s.k + 1) s, (SELECT s.k + 1 AS k) o),
+e AS (SELECT doc_id, 'file' AS place, unnest(f) AS x FROM s WHERE k = {CHANGES} UNION ALL SELECT doc_id, 'trash', unnest(trash) FROM s WHERE k = {CHANGES})
+SELECT place, 'f' || doc_id || '/' || x.p AS path, length(x.t)::BIGINT AS n_chars, md5(x.t) AS digest FROM e"""
+)
+def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's file goes through writes, appends, deletes and chains of moves over four paths."""
+    docs = load(spark, sf_dir, "documents")
+    ops = docs.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(CHANGES).cast("long"))).alias("k")).withColumn("h", F.expr(_MIX))
+    path = lambda n: F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("/"), n.cast("string"))
+    kind = F.get(F.array(*map(F.lit, ("write", "append", "move", "move", "delete", "append", "move"))), (F.col("h") % 7).cast("int"))
+    text = F.concat(F.left(kind, F.lit(1)), F.col("k").cast("string"))
+    changes = ops.select(F.col("k").alias("seq"), kind.alias("kind"), path(F.expr("h div 7 % 4")).alias("path"), path(F.expr("h div 28 % 4")).alias("dest"), text.alias("text"))
+    kept, trash = mutations.apply_changes(docs.select(path(F.lit(0)).alias("path"), "text"), changes)
+    both = kept.withColumn("place", F.lit("file")).unionByName(trash.withColumn("place", F.lit("trash")))
+    return both.select("place", "path", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @catalog.add(
     f"""WITH {graph_queries.FACTS}, deg AS (SELECT id, count(*) AS degree FROM (SELECT unnest([source, target]) AS id FROM ed) GROUP BY id)
 SELECT 'note:' || path AS id, round(sqrt(coalesce(degree, 0)), 6) AS radius FROM f LEFT JOIN deg ON id = 'note:' || path"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import actions, html
 from skein.functions import text as tx
-from skein.operators import chunking, dense, evaluation, files, incremental, knowledge, rules, sessions
+from skein.operators import chunking, dense, evaluation, files, incremental, knowledge, mutations, rules, sessions
 from skein.sources import documents, notes, tables, trace_store
 from skein.streaming import index as index_stream
 
@@ -81,7 +81,7 @@ def test_changes_in_sequence(spark):
         (6, "delete", "d", None, None), (7, "append", "d", None, "again"),
         (8, "append", "e", None, "more"), (9, "append", "f", None, "first"),
     ]
-    kept, trash = sessions.apply_changes(old, spark.createDataFrame(changes, "seq int, kind string, path string, dest string, text string"))
+    kept, trash = mutations.apply_changes(old, spark.createDataFrame(changes, "seq int, kind string, path string, dest string, text string"))
     assert values(kept, "path", "text") == [("c", "C"), ("d", "again"), ("e", "E\nmore"), ("f", "first"), ("y", "B"), ("z", "new\nx")]
     assert values(trash, "path", "text") == [("d", "D")]
 
