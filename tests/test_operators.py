@@ -305,7 +305,8 @@ def test_following_notes(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "changes"))
         index_stream.follow(stream, str(tmp_path / "index"), str(tmp_path / "checkpoint"), encode, once=True).awaitTermination()
-    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "index" / "version=1")).collect()] == ["# A\ntwo"]
+    assert [r["text"] for r in index_stream.current(spark, str(tmp_path / "index")).collect()] == ["# A\ntwo"]
+    assert [r["text"] for r in index_stream.current(spark, str(tmp_path / "index"), 0).orderBy("path").collect()] == ["# A\none", "b"]
 
 
 def test_streamed_repeats(spark, tmp_path):

@@ -14,6 +14,7 @@ from skein.functions import actions, html
 from skein.functions import text as tx
 from skein.operators import chunking, dense, evaluation, files, incremental, knowledge, mutations, rules, sessions
 from skein.sources import documents, notes, tables, trace_store
+from skein.sources import versions
 from skein.streaming import index as index_stream
 
 
@@ -177,4 +178,38 @@ def test_untouched_buckets_stay(spark, tmp_path):
         index_stream.follow(stream, str(tmp_path / "index"), str(tmp_path / "checkpoint"), encode, once=True, buckets=64).awaitTermination()
     want = sorted((f"n{i}.md", "changed" if i == 3 else f"note {i}") for i in range(12) if i != 4)
     assert values(index_stream.current(spark, str(tmp_path / "index")), "path", "text") == want
-    assert len(list((tmp_path / "index" / "version=1").glob("bucket=*"))) <= 2
+    held = versions.load(spark, str(tmp_path / "index")).parts
+    before = versions.load(spark, str(tmp_path / "index"), 0).parts
+    assert sum(before.get(b) != x for b, x in held.items()) <= 2 and len(before) > 5
+
+
+def test_a_new_checkpoint_goes_on_from_what_is_there(spark, tmp_path):
+    schema = "path string, version long, text string"
+    encode = lambda df: df.withColumn("vec", F.array(F.lit(1.0).cast("float")))
+    folder = str(tmp_path / "index")
+    for k, batch in enumerate(([("a.md", 1, "one"), ("b.md", 1, "two")], [("c.md", 1, "three")])):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(str(tmp_path / f"changes{k}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"changes{k}"))
+        index_stream.follow(stream, folder, str(tmp_path / f"checkpoint{k}"), encode, once=True).awaitTermination()
+    assert values(index_stream.current(spark, folder), "path", "text") == [("a.md", "one"), ("b.md", "two"), ("c.md", "three")]
+    assert len(versions.load(spark, folder).marks) == 2
+
+
+def test_a_batch_counts_once_and_versions_are_vacuumed(spark, tmp_path):
+    schema, folder = "path string, version long, text string", str(tmp_path / "index")
+    encode = lambda df: df.withColumn("vec", F.array(F.lit(1.0).cast("float")))
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    assert index_stream.apply_batch(batch(("a.md", 1, "one"), ("b.md", 1, "b")), 0, "s", folder, encode)
+    assert not index_stream.apply_batch(batch(("a.md", 1, "again")), 0, "s", folder, encode)
+    assert index_stream.apply_batch(batch(("a.md", 2, "two")), 1, "s", folder, encode)
+    assert index_stream.apply_batch(batch(("a.md", 1, "other stream")), 0, "t", folder, encode)
+    assert values(index_stream.current(spark, folder), "path", "text") == [("a.md", "other stream"), ("b.md", "b")]
+    # Two writers from one snapshot: the second has to begin again.
+    base = versions.load(spark, folder)
+    assert versions.commit(spark, folder, base, base.parts, base.marks) and not versions.commit(spark, folder, base, {}, {})
+    there = {p.name for p in (tmp_path / "index").glob("version=*")}
+    assert len(there) == 3 and not any("version" in x for x in versions.vacuum(spark, folder, keep=1))
+    gone = versions.vacuum(spark, folder, keep=1, grace=0)
+    assert [x for x in gone if "version" in x] == sorted(there - versions.load(spark, folder).versions(), key=gone.index) and gone
+    assert values(index_stream.current(spark, folder), "path", "text") == [("a.md", "other stream"), ("b.md", "b")]
+    assert versions.numbers(spark, folder) == [3]
