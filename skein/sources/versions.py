@@ -78,6 +78,11 @@ def load(spark: SparkSession, folder: str, number: int | None = None) -> Snapsho
     return Snapshot(at, {r["name"]: r["value"] for r in rows if r["kind"] == "part"}, {r["name"]: int(r["value"]) for r in rows if r["kind"] == "mark"})
 
 
+def complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a write of Spark's to the folder has ended well."""
+    return "_SUCCESS" in _entries(spark, folder)
+
+
 def new_version() -> str:
     return f"{VERSION}{uuid.uuid4().hex}"
 
