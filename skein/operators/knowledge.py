@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
+from skein.operators import substrings
 from skein.plans.lineage import cut
 
 #: Words that never seed a search.
@@ -121,14 +122,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def seeds_by_query(triples: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, node): both ends of every triple whose text contains a word of the query.
 
-    Substring matching has no key to join on; the distinct needles of all queries, which are few,
-    meet each triple once, and queries are found from the needles by an equi-join.
+    Triples are found from the distinct needles of all queries by an index of grams, queries from the
+    needles by an equi-join.
     """
     terms = query_terms(queries)
     text = F.lower(F.concat_ws(" ", "source", "relation", "target", "evidence"))
-    hits = triples.select("source", "target", text.alias("_text")).join(terms.select("needle").distinct(), F.col("_text").contains(F.col("needle")))
-    ends = hits.select("needle", F.explode(F.array("source", "target")).alias("node")).distinct()
-    return ends.join(terms, "needle").select("qid", "node").distinct()
+    # Equal triples are one text, whose grams are taken once.
+    ends = triples.select("source", "target", text.alias("_text")).distinct()
+    hits = substrings.containing(ends.select("_text").distinct(), terms, "_text", "_text")
+    nodes = ends.join(hits, "_text").select("needle", F.explode(F.array("source", "target")).alias("node")).distinct()
+    return nodes.join(terms, "needle").select("qid", "node").distinct()
 
 
 def seeds(triples: DataFrame, queries: DataFrame | None = None, names: DataFrame | None = None, seeding: str = "hybrid", match: str = "exact", aliases: DataFrame | None = None) -> DataFrame:

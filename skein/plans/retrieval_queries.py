@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import html as hx
 from skein.functions import text as tx
-from skein.operators import bm25, chunking, dense, entity_graph, evaluation, fusion
+from skein.operators import bm25, chunking, dense, entity_graph, evaluation, fusion, substrings
 from skein.plans.registry import Catalog
 from skein.plans.retrieval import WIDER, Searcher
 from skein.sources.tables import load
@@ -244,7 +244,7 @@ s AS (SELECT qid, coalesce(first <= 5, false)::INT AS hit5, coalesce(1.0::DOUBLE
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, p = questions(spark, sf_dir), documents(spark, sf_dir)
     passages = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    gold = p.join(passages, F.col("text").contains(F.col("passage"))).select("qid", "id")
+    gold = substrings.containing(p, passages, needle="passage").join(passages, F.col("needle") == F.col("passage")).select("qid", "id")
     return evaluation.score(bm25.search(q, p, 10), gold, ["id"])
 
 
