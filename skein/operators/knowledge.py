@@ -128,9 +128,9 @@ def seeds_by_query(triples: DataFrame, queries: DataFrame) -> DataFrame:
     terms = query_terms(queries)
     text = F.lower(F.concat_ws(" ", "source", "relation", "target", "evidence"))
     # Equal triples are one text, whose grams are taken once.
-    ends = triples.select("source", "target", text.alias("_text")).distinct()
-    hits = substrings.containing(ends.select("_text").distinct(), terms, "_text", "_text")
-    nodes = ends.join(hits, "_text").select("needle", F.explode(F.array("source", "target")).alias("node")).distinct()
+    ends = cut(triples.select("source", "target", text.alias("_text")).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    hits = substrings.containing(ends, terms, "_id", "_text")
+    nodes = ends.join(hits, "_id").select("needle", F.explode(F.array("source", "target")).alias("node")).distinct()
     return nodes.join(terms, "needle").select("qid", "node").distinct()
 
 

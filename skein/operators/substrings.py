@@ -1,7 +1,8 @@
 """Which texts contain which needles, by an index of byte grams in place of comparing all with all.
 
 UTF-8 keeps substrings: a text contains a needle if its bytes do. A needle of up to WIDTH bytes is one
-gram of its own length, and a text has it if it has the gram. A longer one is found by its rarest WIDTH-byte gram:
+gram of its own length, and a text has it if it has the gram. A longer one is found by the rarest of
+about EACH of its WIDTH-byte grams:
 
 1. Grams of the needles are collected for a filter, as 64-bit numbers, if they are counted to be at most
    FILTER_GRAMS; with more of them texts hand over all grams of the widths that needles have.
@@ -32,6 +33,8 @@ FILTER_GRAMS = 2_000_000
 FEW_PAIRS = 100_000
 FEW_CHARS = 32_000_000
 SLICE_BYTES = 1 << 20
+#: Grams of a long needle that are looked for, of which the rarest becomes its key.
+EACH = 16
 ALIKE = 1 << 20
 
 
@@ -60,6 +63,14 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def _spaced(owner: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each needle's windows, in order, about EACH at equal distances."""
+    count = np.bincount(owner, minlength=int(owner.max()) + 1) if len(owner) else np.zeros(0, np.int64)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    kept = place % np.maximum(count // EACH, 1)[owner] == 0 if len(owner) else np.zeros(0, bool)
+    return owner[kept], number[kept]
+
+
 class Wanted:
     """Numbers of grams by width, with a table of their low bits before they are looked up."""
 
@@ -95,7 +106,7 @@ def grams(rows: DataFrame, widths: list[int], wanted: Broadcast | None = None, o
                     owner, number = _windows(raw, ends, width)
                     if own:
                         right = np.minimum(size[owner], WIDTH) == width
-                        owner, number = owner[right], number[right]
+                        owner, number = _spaced(owner[right], number[right])
                     if wanted is not None:
                         hit = wanted.value.has(width, number)
                         owner, number = owner[hit], number[hit]
@@ -116,14 +127,16 @@ def containing(texts: DataFrame, needles: DataFrame, key: str = "id", text: str
     given = needles.select(F.col(needle).alias("needle")).where("needle is not null and needle != ''").distinct()
     named = cut(given.withColumn("id", F.monotonically_increasing_id()))
     own = cut(grams(named.select("id", F.col("needle").alias("text")), list(range(1, WIDTH + 1)), own=True))
-    widths = sorted(r["width"] for r in own.select("width").distinct().collect())
     rows = texts.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
     wanted = own.select("width", "gram").distinct()
-    shared = None
-    if widths and wanted.count() <= FILTER_GRAMS:
-        table = wanted.toPandas()
+    # One job says which grams there are, or that there are too many; they are a few numbers each.
+    table = wanted.limit(FILTER_GRAMS + 1).toPandas()
+    shared, widths = None, sorted(int(w) for w in table["width"].unique())
+    if len(table) > FILTER_GRAMS:
+        widths = sorted(r["width"] for r in own.select("width").distinct().collect())
+    elif widths:
         shared = spark.sparkContext.broadcast(Wanted({w: np.sort(part["gram"].to_numpy().view(np.uint64)) for w, part in table.groupby("width")}))
-    found = grams(rows, widths, shared).distinct()
+    found = grams(rows, widths, shared)
     found = cut(found) if shared is not None else found
     counts = found.join(wanted, ["width", "gram"], "left_semi").groupBy("width", "gram").agg(F.count("*").alias("n"))
     keys = own.withColumnRenamed("id", "_needle").join(counts, ["width", "gram"]).groupBy("_needle").agg(F.min(F.struct("n", "width", "gram")).alias("x"))
