@@ -10,6 +10,7 @@ from skein.functions import text as tx
 from skein.operators import chunking, evaluation, files, incremental, rules, trace
 from skein.plans.registry import Catalog
 from skein.sources.tables import load
+from skein.streaming import sessions as live_sessions
 from skein.streaming import usage
 
 catalog = Catalog()
@@ -345,3 +346,24 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows with a watermark, drained from a stream."""
     daily = usage.windowed(usage.events(spark, f"{sf_dir}/events.parquet*"), "event_type")
     return usage.drain(daily, "stream_daily").select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "calls", F.round("total", 4).alias("total"))
+
+
+_STEPS = """SELECT user_id::VARCHAR AS session, event_id AS "at", event_type AS tool, event_id % 3 AS scope, ['ask', 'ask', 'allow', 'deny'][event_id % 4 + 1] AS rule, ['no', 'allow', 'always'][event_id % 7 % 3 + 1] AS reply FROM events"""
+
+
+@catalog.add(
+    f"""WITH e AS ({_STEPS}), g AS (SELECT session, tool, scope, min("at") AS since FROM e WHERE rule = 'ask' AND reply = 'always' GROUP BY ALL),
+n AS (SELECT *, CASE WHEN lag(tool) OVER w = tool AND lag(scope) OVER w = scope THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY session ORDER BY "at")),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY "at") AS run FROM n)
+SELECT session, "at", CASE WHEN rule != 'ask' THEN rule WHEN "at" > since THEN 'allow' WHEN "at" = since THEN 'ask_always' WHEN reply = 'allow' THEN 'ask_yes' ELSE 'ask_no' END AS decision,
+  row_number() OVER (PARTITION BY session, run ORDER BY "at") - 1 AS repeats FROM r LEFT JOIN g USING (session, tool, scope)"""
+)
+def stream_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of tool calls with rules and replies: what was decided, with state per session."""
+    pick = lambda n, *words: F.get(F.array(*map(F.lit, words)), n.cast("int"))
+    n = F.col("event_id")
+    steps = usage.events(spark, f"{sf_dir}/events.parquet*").select(
+        F.col("user_id").alias("session"), n.alias("at"), "ts", F.col("event_type").alias("tool"), (n % 3).cast("string").alias("scope"), pick(n % 4, "ask", "ask", "allow", "deny").alias("rule"),
+        pick(n % 7 % 3, "no", "allow", "always").alias("reply"), n.cast("string").alias("note"),
+    )
+    return live_sessions.land(live_sessions.follow(steps)).where("kind = 'step'").select("session", "at", "decision", "repeats")
