@@ -142,12 +142,11 @@ def permute_name(name: Column, key: str, tweak: Column) -> Column:
 def refill(shape: Column, filling: Column, kind: str) -> Column:
     """``shape`` with its characters of the class ``kind`` replaced, in order, by those of ``filling``."""
 
-    def step(s: Column, c: Column) -> Column:
-        taken = s["n"] + F.when(c.rlike(kind), 1).otherwise(0)
-        put = F.when(c.rlike(kind), F.substr(filling, taken, F.lit(1))).otherwise(c)
-        return F.struct(taken.alias("n"), F.concat(s["out"], put).alias("out"))
+    def between(fill: Column) -> Column:
+        put = lambda i: F.when(i > 0, F.coalesce(F.get(fill, i - 1), F.lit(""))).otherwise("")
+        return F.array_join(F.transform(F.split(shape, kind, -1), lambda rest, i: F.concat(put(i), rest)), "")
 
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda s: s["out"])
+    return let(F.split(filling, ""), between)
 
 
 def _only(text: Column, kind: str) -> Column:
