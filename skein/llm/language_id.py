@@ -4,15 +4,16 @@ The kernel counts the letter n-grams (n = 1 to 3, in lower case, words bounded b
 texts both have, whatever their frequency, normalised by the texts' own counts. A sample of labelled
 texts is fitted by one-versus-rest kernel ridge regression on Nystroem landmarks: with the landmark
 kernel ``K_mm`` and the kernel ``K_nm`` between sample and landmarks, the coefficients solve
-``(K_nm' K_nm + n * ridge * K_mm) a = K_nm' y``. Only n-grams of landmarks count, so a text's kernels
-with all landmarks are its 0/1 presence row times the landmarks' presence matrix; presence rows are
-stacked and scored by matrix products, a batch at a time.
+``(K_nm' K_nm + n * ridge * K_mm) a = K_nm' y``. Only n-grams of landmarks count. An inverted list says which
+landmarks have an n-gram, so a text's kernels with all landmarks are counts of what its own n-grams list;
+the kernels of a batch are stacked and scored by one matrix product with the coefficients.
 
 Fitting is bounded and documented: at most PER_LANGUAGE texts of each of MOST_LANGUAGES languages and
 MOST_TEXTS in all, of at most SAMPLE_BYTES bytes each, taken by hash of their id. LANDMARKS of them, or
 one of each language if there are more languages, are landmarks; all their letters count, of whatever
-script. Languages are counted first, so that little more than the sample is shuffled. Prediction covers all texts, whole, and shuffles nothing;
-the broadcast model has a size bounded by these parameters.
+script. Languages are counted first, so that little more than the sample is shuffled. Prediction covers all texts, whole, and shuffles nothing.
+The broadcast model is the landmarks' n-grams (a table of 24 to 48 bytes each, of at most three for each letter of
+LANDMARKS texts or one a language), the inverted list (two bytes an n-gram of a landmark) and landmarks x languages coefficients.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
 nothing can be learned from. A null language teaches nothing. Repeated rows get equal results. Other
@@ -22,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +42,9 @@ MOST_LANGUAGES = 1000
 LANDMARKS = 256
 RIDGE = 1e-3
 ROWS = 128
-#: Cells of the presence rows that are scored at once, which bounds their memory where landmarks have many n-grams.
+#: Bytes of the presence rows that are made at once, and entries of the inverted list that are counted at once.
 CELLS = 1 << 23
+LISTED = 1 << 20
 UNKNOWN = "und"
 
 
@@ -70,7 +73,7 @@ class Grams:
         out = cls(letter, 2 + len(points), np.zeros(1, np.int64), np.zeros(1, np.int32), 0)
         codes = np.unique(np.concatenate([out._codes(pa.array([x]))[1] for x in landmarks]))
         out.size = len(codes)
-        out.slots = np.zeros(1 << (4 * len(codes)).bit_length(), np.int64)  # no n-gram has the code 0
+        out.slots = np.zeros(1 << (2 * len(codes)).bit_length(), np.int64)  # no n-gram has the code 0
         out.ids = np.full(len(out.slots), -1, np.int32)
         left = np.arange(len(codes))
         at = out._slot(codes)
@@ -117,14 +120,14 @@ class Grams:
             rest, codes, at = rest[more], codes[more], (at[more] + 1) & (len(self.slots) - 1)
         return out
 
-    def presence(self, texts: pa.Array) -> np.ndarray:
-        """A row of 0 and 1 per text: which of the landmarks' n-grams it has."""
+    def presence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Text and id of every one of the landmarks' n-grams that a text has, once, in order."""
         owners, codes = self._codes(texts)
         ids = self._look_up(codes)
         known = ids >= 0
-        rows = np.zeros((len(texts), self.size), np.float32)
-        rows.ravel()[owners[known].astype(np.int64) * self.size + ids[known]] = 1
-        return rows
+        rows = np.zeros(len(texts) * self.size, bool)
+        rows[owners[known].astype(np.int64) * self.size + ids[known]] = True
+        return np.divmod(np.flatnonzero(rows), self.size)
 
     def rows_at_once(self) -> int:
         return max(1, min(ROWS, CELLS // max(1, self.size)))
@@ -133,26 +136,63 @@ class Grams:
         return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
-def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    own = lambda x: np.sqrt(np.maximum(x.sum(axis=1), 1))
-    return (a @ b.T) / own(a)[:, None] / own(b)[None, :]
+@dataclass
+class Landmarks:
+    """Which landmarks have an n-gram: those of id i stand in ``held`` from ``begin[i]`` to ``begin[i + 1]``."""
+
+    grams: Grams
+    begin: np.ndarray
+    held: np.ndarray
+    norm: np.ndarray
+
+    @classmethod
+    def learn(cls, texts: list[str]) -> Landmarks:
+        grams = Grams.learn(texts)
+        owners, ids = [], []
+        for start in range(0, len(texts), grams.rows_at_once()):
+            own, found = grams.presence(pa.array(texts[start : start + grams.rows_at_once()]))
+            owners.append((own + start).astype(np.uint16))
+            ids.append(found.astype(np.int32))
+        owner, number = np.concatenate(owners), np.concatenate(ids)
+        norm = np.sqrt(np.maximum(np.bincount(owner, minlength=len(texts)), 1))
+        begin = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=grams.size))])
+        return cls(grams, begin, owner[np.argsort(number, kind="stable")], norm)
+
+    def kernel(self, texts: pa.Array) -> np.ndarray:
+        """Of each text with each landmark, for as many texts as ``rows_at_once`` says."""
+        owner, number = self.grams.presence(texts)
+        n, m = len(texts), len(self.norm)
+        long = self.begin[number + 1] - self.begin[number]
+        ends = np.cumsum(long)
+        shared = np.zeros(n * m, np.int64)
+        edges = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]), LISTED)), len(ends))) if len(ends) else [0]
+        for a, b in itertools.pairwise(edges):
+            some = long[a:b]
+            at = np.arange(some.sum()) + np.repeat(self.begin[number[a:b]] - np.cumsum(some) + some, some)
+            shared += np.bincount(np.repeat(owner[a:b] * m, some) + self.held[at], minlength=n * m)
+        own = np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1))
+        return shared.reshape(n, m) / own[:, None] / self.norm[None, :]
+
+    def kernels(self, texts: list[str]) -> np.ndarray:
+        step = self.grams.rows_at_once()
+        return np.concatenate([self.kernel(pa.array(texts[i : i + step])) for i in range(0, len(texts), step)])
 
 
 @dataclass
 class Model:
-    """Presence rows times ``weights``, divided by each row's norm, plus ``offset``, are scores."""
+    """A text's kernels with the landmarks times ``solved``, plus ``offset``, are its scores."""
 
     languages: list[str]
-    grams: Grams | None
-    weights: np.ndarray
+    marks: Landmarks | None
+    solved: np.ndarray
     offset: np.ndarray
     sharpness: float
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        return (rows @ self.weights) / np.sqrt(np.maximum(rows.sum(axis=1), 1))[:, None] + self.offset
+    def scores(self, kernel: np.ndarray) -> np.ndarray:
+        return kernel @ self.solved + self.offset
 
-    def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        scores = self.scores(rows) * self.sharpness
+    def probabilities(self, kernel: np.ndarray) -> np.ndarray:
+        scores = self.scores(kernel) * self.sharpness
         odds = np.exp(scores - scores.max(axis=1, keepdims=True))
         return odds / odds.sum(axis=1, keepdims=True)
 
@@ -161,25 +201,21 @@ def fit_rows(texts: list[str], labels: list[str]) -> Model:
     """Fit from texts that have a letter; the first LANDMARKS, dealt evenly to languages, are landmarks, one of each at least."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], None, np.zeros((0, 0), np.float32), np.zeros(0, np.float32), 1.0)
-    at = {x: [i for i, y in enumerate(labels) if y == x] for x in languages}
+        return Model([], None, np.zeros((0, 0)), np.zeros(0), 1.0)
+    at: dict[str, list[int]] = {}
+    for i, label in enumerate(labels):
+        at.setdefault(label, []).append(i)
     share = max(1, LANDMARKS // len(languages))
     chosen = [i for x in languages for i in at[x][:share]]
-    grams = Grams.learn([texts[i] for i in chosen])
-    at_once = grams.rows_at_once()
-    marks = grams.presence(pa.array([texts[i] for i in chosen]))
-    k_mm = _kernel(marks, marks).astype(np.float64)
-    some = [pa.array(texts[i : i + at_once]) for i in range(0, len(texts), at_once)]
-    k_nm = np.concatenate([_kernel(grams.presence(x), marks) for x in some]).astype(np.float64)
+    marks = Landmarks.learn([texts[i] for i in chosen])
+    k_nm = marks.kernels(texts)
+    k_mm = k_nm[chosen]
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     offset = target.mean(axis=0)
     left = k_nm.T @ k_nm + len(texts) * RIDGE * k_mm + 1e-8 * np.eye(len(chosen))
-    solved = np.linalg.solve(left, k_nm.T @ (target - offset))
-    weights = marks.T @ (solved / np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None])
-    model = Model(languages, grams, weights.astype(np.float32), offset.astype(np.float32), 1.0)
+    model = Model(languages, marks, np.linalg.solve(left, k_nm.T @ (target - offset)), offset, 1.0)
     truth = target.argmax(axis=1)
-    # With the kernel in place of presence rows, the scores are those of the weights.
-    scored = k_nm @ solved + offset
+    scored = k_nm @ model.solved + offset
 
     def loss(sharpness: float) -> float:
         z = scored * sharpness
@@ -217,14 +253,14 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
             for some in text_arrays.slices(batch, "text"):
-                at_once = m.grams.rows_at_once() if m.grams is not None else ROWS
+                at_once = m.marks.grams.rows_at_once() if m.marks is not None else ROWS
                 for start in range(0, some.num_rows, at_once):
                     part = some.slice(start, at_once)
                     texts = part.column("text")
                     best, score = np.full(part.num_rows, len(names) - 1), np.zeros(part.num_rows)
-                    if m.grams is not None:
-                        fine = m.grams.has_letter(texts)
-                        odds = m.probabilities(m.grams.presence(texts))
+                    if m.marks is not None:
+                        fine = m.marks.grams.has_letter(texts)
+                        odds = m.probabilities(m.marks.kernel(texts))
                         best = np.where(fine, odds.argmax(axis=1), best)
                         score = np.where(fine, odds.max(axis=1), 0.0).astype(float)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])

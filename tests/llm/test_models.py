@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import pickle
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +33,21 @@ def test_language_held_out(docs):
 
 def test_kernel_is_the_share_of_common_grams():
     texts = ["abc abd", "abd", "zzz"]
-    grams = language_id.Grams.learn(texts)
-    rows = grams.presence(pa.array(texts))
+    marks = language_id.Landmarks.learn(texts)
 
     def by_hand(text: str) -> set[str]:
         padded = f" {text} "
         return {padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)} - {" "}
 
     sets = [by_hand(t) for t in texts]
-    kernel = language_id._kernel(rows, rows)
+    kernel = marks.kernel(pa.array(texts))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert kernel[i, j] == pytest.approx(len(a & b) / np.sqrt(len(a) * len(b)), abs=1e-6)
 
 
 def test_scores_are_kernel_ridge_regression():
-    """The collapsed weights give what the kernels with all landmarks give, solved by hand."""
+    """The inverted lists give what the kernels with all landmarks give, solved by hand."""
     texts = ["the cat and the dog", "a dog in the house", "der hund und die katze", "ein haus und der hund"] * 5
     labels = ["en", "en", "de", "de"] * 5
     model = language_id.fit_rows(texts, labels)
@@ -64,7 +65,7 @@ def test_scores_are_kernel_ridge_regression():
     target = np.array([[1.0, -1.0] if x == "de" else [-1.0, 1.0] for x in labels])
     solved = np.linalg.solve(k_nm.T @ k_nm + len(texts) * language_id.RIDGE * k_mm + 1e-8 * np.eye(len(marks)), k_nm.T @ (target - target.mean(axis=0)))
     wanted = kernel(asked, marks) @ solved + target.mean(axis=0)
-    assert np.abs(model.scores(model.grams.presence(pa.array(asked))) - wanted).max() < 1e-3
+    assert np.abs(model.scores(model.marks.kernel(pa.array(asked))) - wanted).max() < 1e-3
 
 
 def test_many_scripts_and_languages():
@@ -72,7 +73,7 @@ def test_many_scripts_and_languages():
     zh = ["我们今天去图书馆看书", "这个城市的天气很好", "他们在学校里学习中文", "请问你叫什么名字", "我喜欢喝茶和咖啡", "火车站离这里不远"]
     ja = ["今日は図書館で本を読みます", "この町の天気はとても良いです", "彼らは学校で勉強しています", "お名前は何ですか", "私はお茶とコーヒーが好きです", "駅はここから遠くありません"]
     model = language_id.fit_rows(zh[:5] + ja[:5], ["zh"] * 5 + ["ja"] * 5)
-    assert [model.languages[i] for i in model.scores(model.grams.presence(pa.array([zh[5], ja[5]]))).argmax(axis=1)] == ["zh", "ja"]
+    assert [model.languages[i] for i in model.scores(model.marks.kernel(pa.array([zh[5], ja[5]]))).argmax(axis=1)] == ["zh", "ja"]
     rng = np.random.default_rng(5)
 
     def text(k: int) -> str:
@@ -81,10 +82,37 @@ def test_many_scripts_and_languages():
 
     labels = [f"l{k:03d}" for k in range(100) for _ in range(4)]
     model = language_id.fit_rows([text(int(x[1:])) for x in labels], labels)
-    found = model.scores(model.grams.presence(pa.array([text(k) for k in range(100)]))).argmax(axis=1)
+    found = model.scores(model.marks.kernel(pa.array([text(k) for k in range(100)]))).argmax(axis=1)
     assert np.mean([model.languages[i] == f"l{k:03d}" for k, i in enumerate(found)]) > 0.99
 
 
+def test_long_lists_are_counted_in_parts(monkeypatch):
+    texts = ["the cat and the dog", "a dog in the house", "der hund und die katze", ""]
+    marks = language_id.Landmarks.learn(texts[:3])
+    whole = marks.kernel(pa.array(texts))
+    monkeypatch.setattr(language_id, "LISTED", 3)
+    assert np.array_equal(whole, marks.kernel(pa.array(texts)))
+
+
+def test_scripts_of_many_letters_fit_in_memory():
+    """40 languages of long texts in thousands of letters: what is kept and what fitting takes stays below 1 GB."""
+    rng = np.random.default_rng(7)
+
+    def text(k: int) -> str:
+        return "".join(map(chr, rng.integers(0x4E00 + 150 * k, 0x4E00 + 150 * k + 9000, 10_000)))
+
+    labels = [f"l{k:02d}" for k in range(40) for _ in range(8)]
+    texts = [text(int(x[1:])) for x in labels]
+    tracemalloc.start()
+    model = language_id.fit_rows(texts, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.marks.grams.size > 3_000_000 and peak < 1e9
+    assert len(pickle.dumps(model)) < 3e8
+    found = model.scores(model.marks.kernels([text(k) for k in range(0, 40, 8)])).argmax(axis=1)
+    assert [model.languages[i] for i in found] == [f"l{k:02d}" for k in range(0, 40, 8)]
+
+
 def test_classifier_against_labels(docs, spark):
     labels = spark.read.parquet(f"{LARGER}/labels.parquet")
     rows = quality_classifier.classify(docs, weak_labels=True).join(labels, "doc_id").collect()
