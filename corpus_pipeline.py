@@ -15,6 +15,14 @@ from skein.llm import jaccard_join, mixing, pii, piece_bpe, quality_rules
 from skein.llm.queries import piece_model
 
 
+#: Rows that go to a Python worker at once: a batch of whole texts is held by Spark and by the worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without lines that are frequent on their host."""
     return quality_rules.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
@@ -22,6 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -37,6 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids, and whether they decode to the text."""
+    small_batches(spark)
     model = piece_bpe.vocabulary(docs, piece_model())
     decoded = piece_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), model)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
