@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,9 +50,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(f"[{W}]{{2,}}"), F.lit(0))
 
 
-def full_text_tokens(text: Column) -> Column:
+def full_text_tokens(text: Column, words: Callable[[Column], Column] = tokens) -> Column:
     """Words as a full-text index splits them: underscores part words."""
-    return F.flatten(F.transform(tokens(text), lambda w: F.filter(F.split(w, "_"), lambda x: x != "")))
+    return F.flatten(F.transform(words(text), lambda w: F.filter(F.split(w, "_"), lambda x: x != "")))
 
 
 def entities(text: Column) -> Column:

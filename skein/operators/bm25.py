@@ -16,6 +16,7 @@ a corpus that is searched again and again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,9 +35,11 @@ class Profile:
     b: float
     repeat_query_words: bool
     fill: bool
+    #: Words of a text in place of ``text.tokens``, such as ``thai.segmenter`` gives.
+    words: Callable[[Column], Column] = tx.tokens
 
     def tokens(self, text: Column) -> Column:
-        return tx.tokens(text) if self.fill else tx.full_text_tokens(text)
+        return self.words(text) if self.fill else tx.full_text_tokens(text, self.words)
 
     def idf(self, total: Column, with_word: Column) -> Column:
         odds = (total - with_word + 0.5) / (with_word + 0.5)
