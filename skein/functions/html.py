@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_MAIN = 200
-#: What HTML says of elements. Never shown; shown only in a main region; without contents.
-NEVER, ASIDE, EMPTY = (frozenset(x.split()) for x in ("script style noscript template svg head iframe button select form", "nav footer aside", "area base br col embed hr img input link meta source track wbr"))
+#: Fixed values of the output: elements that are never shown, those shown only in a main region, and those without contents.
+NEVER = frozenset("script style noscript template svg head iframe button select form".split())
+ASIDE = frozenset("nav footer aside".split())
+EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: What an element puts before and after its contents; elements that are not named put nothing.
 RULES: dict[str, tuple[str, str]] = {
     **{f"h{n}": (f"\n\n{'#' * n} ", "\n") for n in range(1, 7)},
@@ -30,6 +32,8 @@ RULES: dict[str, tuple[str, str]] = {
     "tr": ("\n|", ""),
     "pre": ("\n\n```\n", "\n```\n\n"),
 }
+#: The same for plain text, which has neither heading marks nor fences.
+PLAIN = RULES | dict.fromkeys((f"h{n}" for n in range(1, 7)), ("\n\n", "\n")) | {"pre": ("\n\n", "\n\n")}
 
 
 @dataclass
@@ -120,8 +124,8 @@ class _Open:
     items: int = 0
 
 
-def _render(node: Node, base: str, whole_page: bool) -> str:
-    """The Markdown of an element and its contents."""
+def _render(node: Node, base: str, whole_page: bool, plain: bool = False) -> str:
+    """An element and its contents, as Markdown or as plain text."""
     stack = [_Open(node, iter(node.inside), [], node.tag == "pre", ())]
     while True:
         top = stack[-1]
@@ -135,15 +139,15 @@ def _render(node: Node, base: str, whole_page: bool) -> str:
         else:
             stack.pop()
             owner = next((x for x in reversed(stack) if x.node.tag in ("ul", "ol")), None)
-            made = _element(top, base, owner)
+            made = _element(top, base, owner, plain)
             if not stack:
                 return made
             stack[-1].text.append(made)
 
 
-def _element(done: _Open, base: str, owner: _Open | None) -> str:
+def _element(done: _Open, base: str, owner: _Open | None, plain: bool) -> str:
     text, tag = "".join(done.text), done.node.tag
-    if tag == "a":
+    if tag == "a" and not plain:
         href, label = done.node.attrs.get("href") or "", " ".join(text.split())
         follows = href and not href.startswith(("#", "javascript:", "mailto:"))
         return f"[{label}]({urljoin(base, href)})" if label and follows else text
@@ -153,30 +157,41 @@ def _element(done: _Open, base: str, owner: _Open | None) -> str:
             owner.items += 1
             mark = f"{owner.items}. "
         return "\n" + "  " * max(len(done.lists) - 1, 0) + mark + text
-    if tag == "code" and not done.verbatim:
+    if tag == "code" and not done.verbatim and not plain:
         return f"`{text}`"
-    before, after = RULES.get(tag, ("", ""))
+    before, after = (PLAIN if plain else RULES).get(tag, ("", ""))
     return before + text + after
 
 
 def _tidy(text: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(line.rstrip() for line in text.splitlines())).strip()
+    """Lines without white space at their ends, and at most one empty line between two."""
+    kept: list[str] = []
+    for line in map(str.rstrip, text.splitlines()):
+        if line or (kept and kept[-1]):
+            kept.append(line)
+    return "\n".join(kept).strip()
+
+
+def _body(root: Node, base: str, plain: bool = False) -> str:
+    """The main regions, or the whole page if they have little text in Markdown."""
+    regions = [x for x in _regions(root) if not x.hidden]
+    marked = _tidy("".join(_render(x, base, False) for x in regions))
+    enough = len(marked) >= MIN_MAIN
+    if enough and not plain:
+        return marked
+    return _tidy("".join(_render(x, base, not enough, plain) for x in (regions if enough else [root])))
 
 
 def to_markdown(html: str | None, base: str = "") -> tuple[str, str]:
     """(title, markdown) of a page's main region, or of the whole page if that has little text."""
     root = read(html)
     title = " ".join(" ".join("".join(x for x in node.inside if isinstance(x, str)) for node in _walk(root) if node.tag == "title").split())
-    body = _tidy("".join(_render(x, base, False) for x in _regions(root) if not x.hidden))
-    if len(body) < MIN_MAIN:
-        body = _tidy(_render(root, base, True))
-    return title, body
+    return title, _body(root, base)
 
 
 def to_text(html: str | None) -> str:
-    """The Markdown without link targets and marks."""
-    plain = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", to_markdown(html)[1])
-    return _tidy(re.sub(r"^#+ |^```$|`", "", plain, flags=re.M))
+    """The same contents as plain text: links by their labels; marks of the page's own text stay."""
+    return _body(read(html), "", plain=True)
 
 
 def markdown(html: Column, url: Column) -> Column:

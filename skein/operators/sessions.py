@@ -100,7 +100,7 @@ def search_report(hits: DataFrame, relations: DataFrame, room: int) -> DataFrame
     number = lambda i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "))
     head = F.concat(F.lit("found: "), F.array_join(F.transform(F.coalesce("hits", F.array()), lambda h, i: F.concat(number(i), h["label"])), ", "))
     lines = F.transform("facts", lambda f: F.concat(F.lit("- "), f["source"], F.lit(" --"), f["relation"], F.lit("--> "), f["target"], F.lit("  ("), f["where"], F.lit(")")))
-    graph = F.coalesce(F.concat(F.lit("\n\nRelations read from the notes (knowledge graph):\n"), F.array_join(lines, "\n")), F.lit(""))
+    graph = F.coalesce(F.concat(F.lit("\n\nFacts from the notes:\n"), F.array_join(lines, "\n")), F.lit(""))
     rows = rows.withColumn("_head", head).withColumn("_graph", graph)
     per = F.greatest(F.lit(HIT_FLOOR), ((F.lit(room) - F.length("_head") - F.length("_graph")) / F.greatest(F.size("hits"), F.lit(1))).cast("int") - 40)
     body = F.array_join(F.transform(F.coalesce("hits", F.array()), lambda h, i: F.concat(number(i), h["label"], F.lit("\n"), F.left(h["text"], F.col("_per")))), "\n\n")
@@ -140,11 +140,11 @@ def provider_error(status: Column, body: Column) -> Column:
     """Why a provider refused, in plain words, or null: too large a request, or a spent daily budget."""
     sizes = r"Limit (\d+), (?:Used \d+, )?Requested (\d+)"
     limit, asked = (F.format_number(F.regexp_extract(body, sizes, i).try_cast("long"), 0) for i in (1, 2))
-    detail = F.coalesce(F.concat(F.lit(" ("), asked, F.lit(" tokens; the limit is "), limit, F.lit(")")), F.lit(""))
+    detail = F.coalesce(F.concat(F.lit(" ("), asked, F.lit(" tokens, at most "), limit, F.lit(")")), F.lit(""))
     wait = F.regexp_extract(body, r"try again in ([\dhms.]+)", 1)
-    freed = F.when(wait != "", F.concat(F.lit("; it frees up in "), wait)).otherwise("")
-    too_large = F.concat(F.lit("the request is larger than this plan allows per request"), detail, F.lit(" - the conversation is too long"))
-    spent = F.concat(F.lit("the daily token limit for this model is used up"), freed)
+    freed = F.when(wait != "", F.concat(F.lit("; try again in "), wait)).otherwise("")
+    too_large = F.concat(F.lit("the plan does not take a request of this size"), detail, F.lit("; shorten the conversation"))
+    spent = F.concat(F.lit("no tokens of this model are left today"), freed)
     return F.when(status == 413, too_large).when((status == 429) & body.contains("per day"), spent)
 
 
@@ -219,7 +219,7 @@ def extraction_outcome(outcomes: DataFrame, budget: int | None = None) -> tuple[
     rolled = rolled.select("batch", "own", "own_failed", *((F.col(c) + F.col(f"_{c}")).alias(c) for c in names))
     starts = (F.col("failed") == F.col("own_failed")) & (F.lit(True) if budget is None else F.col("tokens") - F.col("own") < budget)
     spent = F.lit(False) if budget is None else F.col("tokens") >= budget
-    why = F.when(F.col("own_failed") > 0, "the model call failed; the rest stays pending").when(spent, f"token budget of {budget or 0:,} reached")
+    why = F.when(F.col("own_failed") > 0, "a call failed, other sections wait").when(spent, f"all {budget or 0:,} tokens are spent")
     progress = rolled.where(starts).select("batch", *names, why.alias("stopped"))
     ran = outcomes.join(progress.select("batch"), "batch", "left_semi")
     return progress, ran.select(F.explode(F.array_except("keys", "failed")).alias("key"))

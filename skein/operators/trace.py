@@ -133,10 +133,10 @@ def trimmed(messages: DataFrame, budget: int | None = None, keep: int = KEEP_WHO
     is still over ``budget``, one more is, until it fits or none is whole. The sizes after each step
     are running sums, so no loop over messages is needed.
     """
-    mark = "[... older output trimmed"
+    mark = "[... older output trimmed"  # a fixed value: agents look for it
     long = (F.length("content") > SHORT_ABOVE) & ~F.col("content").contains(mark) & ((F.col("role") == "tool") | ((F.col("role") == "user") & F.col("content").startswith("Observation:")))
     head = F.left(F.array_join(F.slice(F.split("content", "\r\n|\n|\r"), 1, 2), "\n"), F.lit(300))
-    short = F.concat(head, F.lit(f"\n{mark} ("), F.format_number(F.length("content"), 0), F.lit(" chars) - run the tool again if you need it]"))
+    short = F.concat(head, F.lit(f"\n{mark} ("), F.format_number(F.length("content"), 0), F.lit(" chars); ask the tool again for the rest]"))
     rows = messages.withColumn("_long", F.coalesce(long, F.lit(False))).withColumn("_short", F.when(F.col("_long"), short))
     age = F.row_number().over(Window.partitionBy("session_id", "_long").orderBy(F.desc("id")))
     rows = rows.withColumn("_age", F.when(F.col("_long"), age))

@@ -267,16 +267,24 @@ LETTERS_OF = "translate({}, 'éèêçñóíäöüßÉÈÊÇÑÓÍÄÖÜ', '01234
 
 
 @catalog.add(
-    rf"""WITH x AS (SELECT a.item_id AS key, a.text AS t, b.text AS r FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id + 1) % (SELECT count(*) FROM benchmark)),
+    rf"""WITH x AS (SELECT a.item_id AS key, a.text || ' 1,' || (100 + a.item_id) || ' 2.5 ' || a.item_id % 3 AS t, b.text || ' 1' || (100 + a.item_id) || ' 2.5' AS r FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id + 1) % (SELECT count(*) FROM benchmark)),
 w AS (SELECT key, 'w' AS kind, unnest(regexp_extract_all(lower(t), '[{W}]{{2,}}')) AS item, 1 AS want, 0 AS got FROM x UNION ALL
       SELECT key, 'w', unnest(regexp_extract_all(lower(r), '[{W}]{{2,}}')), 0, 1 FROM x),
 c AS (SELECT key, item, sum(want) AS want, sum(got) AS got FROM w GROUP BY key, item),
-s AS (SELECT key, sum(least(want, got))::DOUBLE / greatest(sum(want), 1) AS word_recall FROM c GROUP BY key)
-SELECT key, round(levenshtein({LETTERS_OF.format('t')}, {LETTERS_OF.format('r')})::DOUBLE / greatest(length(t), 1), 6) AS cer, round(coalesce(word_recall, 0), 6) AS word_recall, 0.0::DOUBLE AS number_recall FROM x LEFT JOIN s USING (key)"""
+s AS (SELECT key, sum(least(want, got))::DOUBLE / greatest(sum(want), 1) AS word_recall FROM c GROUP BY key),
+nw AS (SELECT key, replace(unnest(regexp_extract_all(t, '[0-9][0-9,]*(?:\.[0-9]+)?')), ',', '') AS item, 1 AS want, 0 AS got FROM x UNION ALL
+      SELECT key, replace(unnest(regexp_extract_all(r, '[0-9][0-9,]*(?:\.[0-9]+)?')), ',', ''), 0, 1 FROM x),
+nc AS (SELECT key, item, sum(want) AS want, sum(got) AS got FROM nw GROUP BY key, item),
+ns AS (SELECT key, sum(least(want, got))::DOUBLE / greatest(sum(want), 1) AS number_recall FROM nc GROUP BY key)
+SELECT key, round(levenshtein({LETTERS_OF.format('t')}, {LETTERS_OF.format('r')})::DOUBLE / greatest(length(t), 1), 6) AS cer, round(coalesce(word_recall, 0), 6) AS word_recall, round(coalesce(number_recall, 0), 6) AS number_recall FROM x LEFT JOIN s USING (key) LEFT JOIN ns USING (key)"""
 )
 def reading_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark passage as if it were a reading of the one before it."""
+    """Each benchmark passage as if it were a reading of the one before it; three numbers are added, of which two are read."""
     rows = load(spark, sf_dir, "benchmark")
     n = rows.agg(F.count("*").alias("n"))
     following = rows.crossJoin(n).select(((F.col("item_id") + F.col("n") - 1) % F.col("n")).alias("key"), F.col("text").alias("read"))
-    return evaluation.reading_accuracy(rows.select(F.col("item_id").alias("key"), F.col("text").alias("truth")).join(following, "key"), "key", "truth", "read")
+    number = (F.col("key") + 100).cast("string")
+    pairs = rows.select(F.col("item_id").alias("key"), "text").join(following, "key")
+    truth = F.concat("text", F.lit(" 1,"), number, F.lit(" 2.5 "), (F.col("key") % 3).cast("string"))
+    pairs = pairs.select("key", truth.alias("truth"), F.concat("read", F.lit(" 1"), number, F.lit(" 2.5")).alias("read"))
+    return evaluation.reading_accuracy(pairs, "key", "truth", "read")

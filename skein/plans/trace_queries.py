@@ -83,7 +83,7 @@ def conversation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("role") == "user"
     nothing = F.lit(None).cast("string")
     tool = F.when(~user, F.when(F.col("turn") % 3 == 1, F.lit("final_answer")).when(F.col("turn") % 3 == 2, "read"))
-    args = F.when(tool == "final_answer", F.to_json(F.struct(F.left("text", F.lit(40)).alias("answer"))))
+    args = F.when(tool == "final_answer", F.to_json(F.struct(F.col("text").alias("answer"))))
     return rows.select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), F.lit(1).alias("run"), F.when(user, "user").otherwise("act").alias("step_id"),
         F.when(~user, F.concat(F.lit("m"), (F.col("turn") % 2).cast("string"))).alias("model"), tool.alias("tool"), args.alias("args_json"), F.when(tool == "read", "allow").otherwise(nothing).alias("decision"),
@@ -114,7 +114,7 @@ def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add(
     """WITH m AS (SELECT conv_id AS session_id, turn AS id, text, role != 'user' AND length(text) > 600 AS long, length(text) // 3 + 4 AS n,
   array_to_string(string_split(text, chr(10))[1:2], chr(10)) AS head FROM conversations),
-c AS (SELECT *, left(head, 300) || chr(10) || '[... older output trimmed (' || format('{:,}', length(text)) || ' chars) - run the tool again if you need it]' AS short,
+c AS (SELECT *, left(head, 300) || chr(10) || '[... older output trimmed (' || format('{:,}', length(text)) || ' chars); ask the tool again for the rest]' AS short,
   row_number() OVER (PARTITION BY session_id, long ORDER BY id DESC) AS age, sum(n) OVER (PARTITION BY session_id) AS total FROM m),
 t AS (SELECT *, total - coalesce(sum(n - (length(short) // 3 + 4)) FILTER (long AND age > 2) OVER (PARTITION BY session_id), 0) AS t2,
   total - coalesce(sum(n - (length(short) // 3 + 4)) FILTER (long AND age > 1) OVER (PARTITION BY session_id), 0) AS t1 FROM c),

@@ -42,7 +42,7 @@ def relative_path(path: str) -> str:
     parts: list[str] = []
     for part in path.strip("/").split("/"):
         if part == ".." and not parts:
-            raise ValueError(f"path '{path}' is outside the workspace")
+            raise ValueError(f"{path!r} leads out of the folder")
         if part == "..":
             parts.pop()
         elif part not in ("", "."):

@@ -171,6 +171,7 @@ def test_html():
     assert html.to_markdown("<head><title>T</title><body><p>shown") == ("T", "shown")
     assert html.to_markdown("<ul><li>a<ol><li>b</li></ol></li></ul>")[1] == "- a\n  1. b"
     assert html.to_text('<p>a <a href="/b">c</a> <code>d</code>') == "a c d"
+    assert html.to_text("<h2>Head</h2><pre>x\n  y</pre><p>own `ticks` and [b](c) # stay<ul><li>one</ul>") == "Head\n\nx\n  y\n\nown `ticks` and [b](c) # stay\n- one"
 
 
 def test_actions():
@@ -183,8 +184,8 @@ def test_actions():
         "<tool_call><search>\nquery>\n a b \n</parameter></tool_call>": ("search", '{"query": " a b "}', None),
         '<tool_call>{"name": "old"}</tool_call> <tool_call>{"name": "new", "arguments": "{}"}': ("new", "{}", None),
         "nothing": (None, None, actions.NO_ACTION),
-        "```json\n{bad\n```": (None, None, "invalid json"),
-        '```json\n{"a": 1}\n```': (None, None, 'json must be an object with a "tool" key'),
+        "```json\n{bad\n```": (None, None, "the json block cannot be read"),
+        '```json\n{"a": 1}\n```': (None, None, 'the json names no tool'),
     }
     for reply, wanted in cases.items():
         assert actions.parse(reply) == wanted

@@ -12,7 +12,7 @@ def test_report(spark):
     facts = spark.createDataFrame([(1, 1, "A", "to", "B", "a.md")], "qid long, rank int, source string, relation string, target string, where string")
     out = {r["qid"]: r["report"] for r in sessions.search_report(hits, facts, 600).collect()}
     head = "found: [1] a.md > H (line 3), [2] b.md"
-    graph = "\n\nRelations read from the notes (knowledge graph):\n- A --to--> B  (a.md)"
+    graph = "\n\nFacts from the notes:\n- A --to--> B  (a.md)"
     per = max(200, (600 - len(head) - len(graph)) // 2 - 40)
     assert out[1] == f"{head}\n\n[1] a.md > H (line 3)\n{'x' * per}\n\n[2] b.md\n{'y' * per}{graph}"
     assert out[2] == "found: [1] c.md\n\n[1] c.md\nshort"
@@ -32,7 +32,7 @@ def test_registry_and_models(spark):
 def test_errors_and_secrets(spark):
     rows = spark.createDataFrame([(413, "Limit 8000, Requested 9100"), (429, "tokens per day; try again in 2m3.5s"), (429, "try again in 300ms"), (500, "x")], "status int, body string")
     out = [r["e"] for r in rows.select(sessions.provider_error(F.col("status"), F.col("body")).alias("e")).collect()]
-    assert out == ["the request is larger than this plan allows per request (9,100 tokens; the limit is 8,000) - the conversation is too long", "the daily token limit for this model is used up; it frees up in 2m3.5s", None, None]
+    assert out == ["the plan does not take a request of this size (9,100 tokens, at most 8,000); shorten the conversation", "no tokens of this model are left today; try again in 2m3.5s", None, None]
     waits = rows.select(sessions.retry_after(F.lit("7"), F.col("body"), F.lit(0)).alias("w")).collect()
     assert [r["w"] for r in waits] == [7.0, 7.0, 7.0, 7.0]
     assert rows.limit(1).select(sessions.redact(F.lit("key abc and abc"), ["abc", ""]).alias("t")).first()["t"] == "key [redacted] and [redacted]"

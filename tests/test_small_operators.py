@@ -67,10 +67,10 @@ def test_extraction_stops(spark):
     outcomes = spark.createDataFrame(rows, schema)
     progress, saved = sessions.extraction_outcome(outcomes)
     assert values(progress, "batch", "done", "failed", "tokens", "triples") == [(0, 2, 0, 100, 3), (1, 3, 0, 200, 4), (2, 4, 1, 300, 5)]
-    assert [r["stopped"] for r in progress.orderBy("batch").collect()] == [None, None, "the model call failed; the rest stays pending"]
+    assert [r["stopped"] for r in progress.orderBy("batch").collect()] == [None, None, "a call failed, other sections wait"]
     assert values(saved, "key") == [("a",), ("b",), ("c",), ("d",)]
     progress, saved = sessions.extraction_outcome(outcomes, 150)
-    assert [r["stopped"] for r in progress.orderBy("batch").collect()] == [None, "token budget of 150 reached"]
+    assert [r["stopped"] for r in progress.orderBy("batch").collect()] == [None, "all 150 tokens are spent"]
     assert values(saved, "key") == [("a",), ("b",), ("c",)]
 
 
