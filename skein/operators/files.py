@@ -46,6 +46,37 @@ def tree(files: DataFrame, depth: int = 2) -> DataFrame:
     return grouped.where(F.col("level") < depth).select("parent", "name", "kind", F.when((F.col("kind") == "folder") & (F.col("level") == depth - 1), F.col("items")).alias("items"))
 
 
+def nested_tree(listing: DataFrame, most: int | None = None) -> DataFrame:
+    """(root, tree): one JSON document a root of files (root, path, size), assembled from the deepest level up.
+
+    A folder has name, path, type and children, folders first, then by name in lower case; a file has its size.
+    Each level is one aggregation by (root, parent folder). Hidden files, and those in hidden folders, are
+    left out. With ``most``, a folder lists so many children, and ``more`` says how many others it has. A path counts
+    once, with its greatest size.
+    """
+    text = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    parts = F.split("path", "/")
+    files = listing.where(~F.col("path").rlike(r"(^|/)\.")).groupBy("root", "path").agg(F.max("size").alias("size"))
+    files = files.select("root", "path", F.size(parts).alias("level"), F.element_at(parts, -1).alias("name"), F.coalesce(F.col("size").cast("string"), F.lit("null")).alias("size"))
+    head = lambda kind: F.concat(F.lit('{"name":'), text(F.col("name")), F.lit(',"path":'), text(F.col("path")), F.lit(f',"type":"{kind}"'))
+    leaves = files.select("root", "path", "name", "level", F.lit(1).alias("kind"), F.concat(head("file"), F.lit(',"size":'), "size", F.lit("}")).alias("json"))
+    deepest = leaves.agg(F.max("level")).first()[0] or 0
+    above = None
+    for level in range(deepest, 0, -1):
+        here = leaves.where(F.col("level") == level).drop("level")
+        here = here if above is None else here.unionByName(above)
+        parent = F.array_join(F.slice(F.split("path", "/"), 1, level - 1), "/")
+        rows = here.select("root", parent.alias("parent"), F.struct("kind", F.lower("name").alias("low"), "name", "json").alias("x"))
+        grouped = rows.groupBy("root", F.col("parent").alias("path")).agg(F.array_sort(F.collect_list("x")).alias("all"))
+        shown = F.col("all") if most is None else F.slice("all", 1, most)
+        more = F.lit("") if most is None else F.when(F.size("all") > most, F.concat(F.lit(',"more":'), (F.size("all") - most).cast("string"))).otherwise("")
+        children = F.concat(F.lit(',"children":['), F.array_join(F.transform(shown, lambda x: x["json"]), ","), F.lit("]"), more, F.lit("}"))
+        grouped = grouped.withColumn("name", F.when(F.col("path") == "", F.col("root").cast("string")).otherwise(F.substring_index("path", "/", -1)))
+        above = grouped.select("root", "path", "name", F.lit(0).alias("kind"), F.concat(head("folder"), children).alias("json"))
+    empty = listing.select("root", F.lit("").alias("tree")).where("false")
+    return empty if above is None else above.select("root", F.col("json").alias("tree"))
+
+
 def replace_text(text: Column, old: str, new: str, every: bool = False) -> Column:
     """(text, error): the edit, or why it cannot be made."""
     count = ((F.length(text) - F.length(F.replace(text, F.lit(old), F.lit("")))) / len(old)).cast("int")

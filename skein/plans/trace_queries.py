@@ -266,6 +266,30 @@ def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.tree(_files(spark, sf_dir), 2)
 
 
+def _nested_sql(levels: int) -> str:
+    node = lambda name, path, kind: f"'{{\"name\":' || to_json({name}) || ',\"path\":' || to_json({path}) || ',\"type\":\"{kind}\"'"
+    out = [f"e AS (SELECT source AS root, path, string_split(path, '/') AS x, {node('list_last(x)', 'path', 'file')} || ',\"size\":' || n_chars || '}}' AS json FROM f)", f"n{levels} AS (SELECT root, x, 1 AS kind, json FROM e WHERE len(x) = {levels})"]
+    for k in range(levels, 0, -1):
+        path = f"array_to_string(x[1:{k - 1}], '/')"
+        out.append(f"""g{k} AS (SELECT root, x[1:{k - 1}] AS x, string_agg(json, ',' ORDER BY kind, lower(list_last(x)), list_last(x)) AS inside FROM n{k} GROUP BY root, x[1:{k - 1}])""")
+        name = "root" if k == 1 else "list_last(x)"
+        below = f" UNION ALL SELECT root, x, 1, json FROM e WHERE len(x) = {k - 1}" if k > 1 else ""
+        out.append(f"""n{k - 1} AS (SELECT root, x, 0 AS kind, {node(name, path, 'folder')} || ',\"children\":[' || inside || ']}}' AS json FROM g{k}{below})""")
+    return ",\n".join(out)
+
+
+@catalog.add(
+    f"""WITH f AS (SELECT source, n_chars, CASE WHEN doc_id < 10 THEN '' ELSE array_to_string(string_split((doc_id // 10)::VARCHAR, ''), '/') || '/' END || 'N' || doc_id % 10 || '.md' AS path FROM documents),
+{_nested_sql(8)} SELECT root, json AS tree FROM n0"""
+)
+def nested_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree a source, of the documents in folders named by the digits of their ids."""
+    docs = load(spark, sf_dir, "documents")
+    folders = F.array_join(F.split(F.floor(F.col("doc_id") / 10).cast("string"), ""), "/")
+    path = F.concat(F.when(F.col("doc_id") < 10, "").otherwise(F.concat(folders, F.lit("/"))), F.lit("N"), (F.col("doc_id") % 10).cast("string"), F.lit(".md"))
+    return files.nested_tree(docs.select(F.col("source").alias("root"), path.alias("path"), F.col("n_chars").alias("size")))
+
+
 @catalog.add("SELECT source AS file, sum(length(text))::BIGINT // 4 AS tokens, CASE WHEN sum(length(text))::BIGINT // 4 <= 25000 THEN 'full text' ELSE 'index' END AS route FROM documents GROUP BY source")
 def attach_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "documents").select(F.col("source").alias("file"), "text")

@@ -213,3 +213,16 @@ def test_a_batch_counts_once_and_versions_are_vacuumed(spark, tmp_path):
     assert [x for x in gone if "version" in x] == sorted(there - versions.load(spark, folder).versions(), key=gone.index) and gone
     assert values(index_stream.current(spark, folder), "path", "text") == [("a.md", "other stream"), ("b.md", "b")]
     assert versions.numbers(spark, folder) == [3]
+
+
+def test_nested_tree(spark):
+    rows = [("w", "b.md", 3), ("w", "A.md", 1), ("w", "dir/deep/x \"q\".md", 2), ("w", "dir/a.md", None), ("w", ".git/c", 1), ("w", "dir/.h", 1), ("v", "é.md", 5), ("v", "é.md", 4)]
+    df = spark.createDataFrame(rows, "root string, path string, size long")
+    made = {r["root"]: json.loads(r["tree"]) for r in files.nested_tree(df).collect()}
+    deep = {"name": "deep", "path": "dir/deep", "type": "folder", "children": [{"name": 'x "q".md', "path": 'dir/deep/x "q".md', "type": "file", "size": 2}]}
+    inner = {"name": "dir", "path": "dir", "type": "folder", "children": [deep, {"name": "a.md", "path": "dir/a.md", "type": "file", "size": None}]}
+    leaf = lambda name, size: {"name": name, "path": name, "type": "file", "size": size}
+    assert made["w"] == {"name": "w", "path": "", "type": "folder", "children": [inner, leaf("A.md", 1), leaf("b.md", 3)]}
+    assert made["v"]["children"] == [leaf("é.md", 5)]
+    few = json.loads(files.nested_tree(df.where("root = 'w'"), 1).first()["tree"])
+    assert few["more"] == 2 and few["children"][0]["more"] == 1 and files.nested_tree(df.where("false")).count() == 0
