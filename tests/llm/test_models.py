@@ -164,14 +164,14 @@ def test_license_kin_and_blanks(spark):
 def test_no_finding_is_passed_by(words, blank):
     """Trigrams of any paragraph are trigrams of the whole text."""
     text = blank.join(words)
-    whole = set(licenses._text_trigrams(pa.array([text]))[0].tolist())
+    whole = set(licenses._text_grams(pa.array([text]))[0].tolist())
     for part in licenses._parts(text):
-        assert set(licenses._text_trigrams(pa.array([part]))[0].tolist()) <= whole
+        assert set(licenses._text_grams(pa.array([part]))[0].tolist()) <= whole
         assert len(licenses.grams(licenses.tokens([part])[0], 3)) <= len(whole)
 
 
 def test_calibration(docs):
-    assert licenses.train(licenses.sample_negatives(docs)).error < 0.5  # of whole wordings that were not seen
+    assert licenses.train(licenses.sample_negatives(docs)).error < 0.1  # of whole wordings that were not seen
 
 
 def test_query_by_phrases(spark, sf_dir):
@@ -194,3 +194,42 @@ def test_several_licenses_in_a_paragraph():
     for family, notices in licenses.TEMPLATES.items():
         assert all(found(notice) == [family] for notice in notices)
     assert not any(model.scan(x) for x in licenses.NEAR_MISSES)
+
+
+def test_versions_negations_and_short_forms():
+    model = licenses.train(["The committee met in the town hall on Monday and spoke of the new road over the old bridge.\nNothing else was decided."])
+    found = lambda text: sorted({x[1] for x in model.scan(text)})
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    wanted = {
+        "CC BY 3.0": ["CC-BY-3.0"],
+        "CC BY 2.5": [],
+        "Licensed under CC BY 2.0": [],
+        "This work is licensed under a Creative Commons Attribution 2.5 Generic License": [],
+        "Apache License, Version 1.1": ["Apache-1.1"],
+        "Licensed under the Apache License, Version 1.0": [],
+        "Licensed under the GNU General Public License, version 1": ["GPL-1.0"],
+        "Licensed under the GNU General Public License, version 4": [],
+        gpl.format("2"): ["GPL-2.0"],
+        gpl.format("3"): ["GPL-3.0"],
+        gpl.format("2.0"): ["GPL-2.0"],
+        gpl.format("7"): [],
+        "He was not released under the MIT License terms": [],
+        "This file is not licensed under the MIT License but under the Apache License, Version 2.0": ["Apache-2.0"],
+        "It was never licensed under the GNU General Public License, version 3. It is licensed under the Mozilla Public License, Version 2.0": ["MPL-2.0"],
+        "MIT License": ["MIT"],
+        "# The MIT License (MIT)": ["MIT"],
+        "Licensed under MIT": ["MIT"],
+        "He was licensed under MIT rules for ten years": [],
+        "The office of the MIT license board is closed": [],
+        "GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007": ["GPL-3.0"],
+        "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 2.1, February 1999": ["LGPL-2.1"],
+        "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007": ["AGPL-3.0"],
+        "                                 Apache License\n                           Version 2.0, January 2004": ["Apache-2.0"],
+        "LGPL-2.1-only": ["LGPL-2.1"],
+        "SPDX-License-Identifier: LGPL-2.1-or-later": ["LGPL-2.1"],
+        "SPDX-License-Identifier: LGPL-2.0-only": [],
+        "License: BSD-3-Clause": ["BSD-3-Clause"],
+    }
+    assert {text: found(text) for text in wanted} == wanted
+    for family, texts in licenses.TITLES.items():
+        assert {text: found(f"Words before it.\n\n{text}\n\nWords after it.") for text in texts} == {text: [family] for text in texts}
