@@ -1,7 +1,10 @@
 """Media columns: documents as interleaved sequences of text and media references.
 
 ``interleave`` parses HTML into an ordered list of items: a text block, or a media reference with its
-caption. References name their payload by digest (``media:<sha256 of the payload>``) or hold it
+caption. A caption goes to all references of its figure, before it and after it. The alternatives of one
+medium (``source`` elements in a ``picture``, ``video`` or ``audio``) are one reference: an address of the element itself
+or of the picture's ``img`` comes before those of its sources, of which the first counts. ``poster`` and ``object`` are
+no references. References name their payload by digest (``media:<sha256 of the payload>``) or hold it
 (``data:`` addresses, which ``embedded`` collects); others keep their address alone. ``store`` keeps
 payloads losslessly as PNG images of 8-bit grey samples, 64 to a row, one per digest; ``resolve``
 joins references with stored media on the digest, so that each reference keeps its position and
@@ -40,6 +43,8 @@ HIDDEN = frozenset(("script", "style", "template", "noscript", "title"))
 #: Elements that a head can have.
 HEAD = frozenset("head title meta link base style script noscript template".split())
 MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
+#: Elements whose sources are alternatives.
+CHOICES = frozenset(("picture", "video", "audio"))
 ITEM = "struct<position: int, kind: string, text: string, src: string, digest: string, caption: string, bytes: long>"
 
 
@@ -70,7 +75,8 @@ class _Sequencer(HTMLParser):
         self.text: list[str] = []
         self.hidden = 0
         self.head = False
-        self.figures: list[list[int]] = []  # of each open figure, the items that are its own
+        self.figures: list[tuple[list[int], list[str]]] = []  # of each open figure, the items that are its own, and its caption
+        self.choices: list[list[dict[str, str | None]] | None] = []  # of each open medium, its sources so far; null if it has its reference
         self.caption: list[str] | None = None
 
     def _flush(self) -> None:
@@ -89,10 +95,31 @@ class _Sequencer(HTMLParser):
             digest = src[6:].lower()
         elif src[:5].lower() == "data:" and (raw := _data(src)) is not None:
             digest, size = hashlib.sha256(padded(raw)).hexdigest(), str(len(raw))
+        caption = found.get("alt") or None
         if self.figures:
-            self.figures[-1].append(len(self.items))
+            own, captions = self.figures[-1]
+            own.append(len(self.items))
+            caption = captions[-1] if captions else caption
         count = int(size) if size.isascii() and size.isdecimal() and len(size) < 19 else None
-        self.items.append({"kind": "media", "text": None, "src": src, "digest": digest, "caption": found.get("alt") or None, "bytes": count})
+        self.items.append({"kind": "media", "text": None, "src": src, "digest": digest, "caption": caption, "bytes": count})
+
+    def _medium(self, tag: str, found: dict[str, str | None]) -> None:
+        """A medium, or one of the sources among which an open one chooses."""
+        if tag in CHOICES:
+            self.choices.append(None if _source(found) else [])
+        elif tag == "source" and self.choices:
+            if self.choices[-1] is not None and _source(found) and not self.hidden:
+                self.choices[-1].append(found)
+            return
+        elif tag == "img" and self.choices and _source(found):
+            self.choices[-1] = None
+        self._reference(found)
+
+    def _chosen(self) -> None:
+        """The end of a medium: without an address of its own it is its first source."""
+        sources = self.choices.pop()
+        if sources:
+            self._reference(sources[0])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "head":
@@ -104,12 +131,12 @@ class _Sequencer(HTMLParser):
         elif tag == "figcaption":
             self._flush()
             self.caption = []
-        elif tag in MEDIA:
-            self._reference(dict(attrs))
+        elif tag in MEDIA or tag in CHOICES:
+            self._medium(tag, dict(attrs))
         elif tag in BLOCKS:
             self._flush()
             if tag == "figure":
-                self.figures.append([])
+                self.figures.append(([], []))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "head":
@@ -119,8 +146,13 @@ class _Sequencer(HTMLParser):
         elif tag == "figcaption" and self.caption is not None:
             text = " ".join("".join(self.caption).split())
             self.caption = None
-            for at in self.figures[-1] if self.figures and text else []:
-                self.items[at]["caption"] = text
+            if self.figures and text:
+                own, captions = self.figures[-1]
+                captions.append(text)
+                for at in own:
+                    self.items[at]["caption"] = text
+        elif tag in CHOICES and self.choices:
+            self._chosen()
         elif tag in BLOCKS:
             self._flush()
             if tag == "figure" and self.figures:
@@ -136,6 +168,8 @@ def parse(html: str | None) -> list[dict[str, str | int | None]]:
     parser = _Sequencer()
     parser.feed(html or "")
     parser.close()
+    while parser.choices:
+        parser._chosen()
     parser._flush()
     return [{"position": i, **item} for i, item in enumerate(parser.items)]
 

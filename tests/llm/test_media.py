@@ -97,3 +97,19 @@ def test_repeated_and_null_pages_align(spark):
 def test_payload_of_any_length(spark):
     rows = spark.createDataFrame([(i, "é" * i) for i in range(70)], "doc_id long, text string").select("doc_id", media.payload(F.col("text")).alias("p")).collect()
     assert all(len(r["p"]) == max(64, -(-2 * r["doc_id"] // 64) * 64) for r in rows)
+
+
+def test_captions_before_their_figure_and_alternatives():
+    def found(html):
+        return [(x["src"], x["caption"]) if x["kind"] == "media" else x["text"] for x in media.parse(html)]
+
+    assert found('<figure><figcaption>First</figcaption><img src="a" alt="x"><img src="b"></figure><img src="c" alt="y">') == [("a", "First"), ("b", "First"), ("c", "y")]
+    assert found('<figure><figcaption> </figcaption><img src="a" alt="x"></figure>') == [("a", "x")]
+    assert found('<figure><figcaption>Outer</figcaption><figure><img src="a"></figure><img src="b"></figure>') == [("a", None), ("b", "Outer")]
+    picture = '<p>t<picture><source srcset="a 1x, b 2x"><source srcset="c"><img src="d" alt="x"></picture>u</p>'
+    assert found(picture) == ["t", ("d", "x"), "u"]
+    assert found(picture.replace('src="d" ', "")) == ["t", ("b", None), "u"]
+    assert found(picture.replace("</picture>", "")) == ["t", ("d", "x"), "u"]
+    assert found('<video src="v"><source src="a"></video><video><source src="a"><source src="b">old</video><source src="c">') == [("v", None), "old", ("a", None), ("c", None)]
+    assert found('<picture><source srcset="a">') == [("a", None)] and found("<picture></picture></video>") == []
+    assert found('<style><picture><source srcset="a"></picture></style><object data="o"></object><video poster="p"></video>') == []
