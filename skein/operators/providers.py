@@ -4,17 +4,19 @@ A provider is a function of requests (key and their columns) that returns a row
 answer without a reason counts, unless it is null, an empty string or an empty array. A row with both is kept for the case that no
 later provider does better. ``calling`` makes a provider of a Python function, whose exceptions are reasons.
 
-A wave is written to the checkpoint folder before the next is formed, so that no provider is asked twice for
-a key, and what was answered takes no part in later waves. Of requests with one key one is asked; a null key
-is a key like others. A key that a provider gives no row for has the reason ``no results``; of several rows
-of a provider for one key the first by answer counts.
+What a provider gives is written to the checkpoint folder before the next wave is formed, so that no provider is
+asked twice for a key, and what was answered takes no part in later waves. Of requests with one key one is
+asked; a null key is a key like others. A key that a provider gives no row for has the reason ``no results``; of
+several rows of a provider for one key the least good answer and the least reason count.
 
-The keys of a wave are shuffled once, and the open requests once; both shrink from wave to wave.
+A wave shuffles the open requests once, in the columns that its provider reads. Waves are decided on keys and
+reasons alone; answers are shuffled once, at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -77,29 +79,24 @@ def first_answer(requests: DataFrame, providers: Sequence[tuple[str, Provider]])
     """
     if not providers:
         raise ValueError("at least one provider")
-    once = requests.dropDuplicates(["key"]).withColumn("_key", F.struct("key"))
-    waiting = once.drop("_key")
-    state = once.select("_key", F.array().cast("array<string>").alias("reasons"), F.lit(None).cast("string").alias("kept_by"))
-    done: list[DataFrame] = []
-    kept: DataFrame | None = None
+    keyed = requests.withColumn("_key", F.struct("key"))
+    waiting = keyed.dropDuplicates(["_key"])
+    state = waiting.select("_key", F.array().cast("array<string>").alias("reasons"), F.lit(None).cast("string").alias("kept_by"))
+    chosen: list[DataFrame] = []
+    answers: list[DataFrame] = []
     for name, ask in providers:
-        found = ask(waiting)
-        kind = found.schema["answer"].dataType
-        given = F.coalesce(_given(F.col("answer"), kind), F.lit(False))
-        one = found.select(F.struct("key").alias("_key"), F.struct((~(given & F.col("reason").isNull())).alias("late"), (~given).alias("later"), "answer", "reason").alias("x"))
-        one = one.groupBy("_key").agg(F.min("x").alias("x"))
-        wave = cut(state.join(one, "_key", "left").withColumn("good", F.coalesce(~F.col("x.late"), F.lit(False))))
-        done.append(wave.where("good").select("_key", F.lit(name).alias("provider"), "x.answer", "reasons"))
-        open_ = wave.where(~F.col("good"))
-        spare = open_.where(F.col("kept_by").isNull() & ~F.coalesce("x.later", F.lit(True))).select("_key", F.lit(name).alias("by"), F.col("x.answer").alias("spare"))
-        kept = spare if kept is None else kept.unionByName(spare)
-        why = F.concat(F.lit(f"{name}: "), F.coalesce("x.reason", F.lit(NOTHING)))
-        first = F.coalesce("kept_by", F.when(~F.coalesce("x.later", F.lit(True)), F.lit(name)))
-        state = open_.select("_key", F.concat("reasons", F.array(why)).alias("reasons"), first.alias("kept_by"))
-        waiting = once.join(state.select("_key"), "_key", "left_semi").drop("_key")
-    assert kept is not None
-    rest = state.join(kept, "_key", "left").select("_key", F.col("by").alias("provider"), F.col("spare").alias("answer"), "reasons")
-    out = rest
-    for part in done:
-        out = out.unionByName(part)
+        rows = ask(waiting.drop("_key"))
+        given = F.coalesce(_given(F.col("answer"), rows.schema["answer"].dataType), F.lit(False))
+        found = cut(rows.select(F.struct("key").alias("_key"), (~(given & F.col("reason").isNull())).alias("late"), (~given).alias("none"), "answer", "reason"))
+        answers.append(found.where(~F.col("none")).select("_key", F.lit(name).alias("provider"), "late", "answer"))
+        one = found.groupBy("_key").agg(F.min(F.struct("late", "none", "reason")).alias("x"))
+        wave = cut(state.join(one, "_key", "left").select("_key", "reasons", "kept_by", F.coalesce("x.late", F.lit(True)).alias("late"), F.coalesce("x.none", F.lit(True)).alias("none"), "x.reason"))
+        chosen.append(wave.where(~F.col("late")).select("_key", F.lit(name).alias("provider"), "late", "reasons"))
+        why = F.concat(F.lit(f"{name}: "), F.coalesce("reason", F.lit(NOTHING)))
+        state = wave.where("late").select("_key", F.concat("reasons", F.array(why)).alias("reasons"), F.coalesce("kept_by", F.when(~F.col("none"), F.lit(name))).alias("kept_by"))
+        waiting = keyed.join(state.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    chosen.append(state.select("_key", F.col("kept_by").alias("provider"), F.lit(True).alias("late"), "reasons"))
+    decided, held = reduce(DataFrame.unionByName, chosen), reduce(DataFrame.unionByName, answers)
+    joined = decided.join(held, ["_key", "provider", "late"], "left")
+    out = joined.groupBy("_key", "provider", "late").agg(F.min("answer").alias("answer"), F.first("reasons").alias("reasons"))
     return out.select("_key.key", "provider", "answer", "reasons")

@@ -17,12 +17,12 @@ WINDOW = 1000
 
 
 def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as bytes (page_id, url, content, content_type, status): each fourth in UTF-16, one no text, one refused."""
+    """Pages as bytes (page_id, url, html, content, content_type, status): each fourth in UTF-16, one no text, one refused."""
     rows = load(spark, sf_dir, "pages")
     turn, html = F.col("page_id") % 4, F.coalesce("html", F.lit(""))
     content = F.when(turn == 0, F.encode(html, "UTF-16LE")).otherwise(F.encode(html, "UTF-8"))
     kind = F.when(turn == 0, "Text/Plain; charset=utf-16le").when(turn == 2, "image/png").otherwise("text/html; charset=none-such")
-    return rows.select("page_id", "url", content.alias("content"), kind.alias("content_type"), F.when(turn == 3, 403).alias("status"))
+    return rows.select("page_id", "url", "html", content.alias("content"), kind.alias("content_type"), F.when(turn == 3, 403).alias("status"))
 
 
 @catalog.add(
@@ -52,7 +52,7 @@ CASE WHEN page_id % 4 != 3 THEN '' WHEN page_id % 8 != 3 THEN 'direct: refused w
 )
 def page_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that the first provider refuses go to a second, and those that this cannot give to a third, which has none."""
-    pages = fetched(spark, sf_dir).join(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    pages = fetched(spark, sf_dir)
     kind = "struct<title: string, kind: string, text: string>"
     ranked = [
         ("direct", web_pages.provider("html")),
