@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,21 +52,33 @@ def numbered(chunks: DataFrame, order: list[str]) -> DataFrame:
 def drop_repeats(pages: DataFrame, key: str, text: str = "text", min_chars: int = 40) -> DataFrame:
     """(key, text, looped): pages without sentences of ``min_chars`` that the page had before.
 
-    Lines that lose all sentences go; empty lines stay.
+    Lines that lose all sentences go; empty lines stay. A page is one row and is worked on within it, so nothing
+    is shuffled: its sentences are sorted by form, marked, and sorted back into their order.
     """
-    lines = pages.select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|\n|\r")).alias("line_no", "line"))
-    parts = lines.select("key", "line_no", "line", F.posexplode(tx.sentences(F.col("line"))).alias("part_no", "sentence"))
-    parts = parts.withColumn("form", F.lower(tx.collapse(F.col("sentence"))))
-    order = Window.partitionBy("key", "form").orderBy("line_no", "part_no")
-    parts = parts.withColumn("again", (F.length("form") >= min_chars) & (F.row_number().over(order) > 1))
-    joined = parts.groupBy("key", "line_no").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("again"), F.struct("part_no", "sentence")))).alias("kept"), F.first("line").alias("line"), F.bool_or("again").alias("cut")
-    )
-    joined = joined.withColumn("new", F.regexp_replace(F.array_join(F.transform("kept", lambda x: x["sentence"]), " "), r"\s+$", ""))
-    stays = (F.size("kept") > 0) | (tx.strip(F.col("line")) == "")
-    return joined.groupBy("key").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(stays, F.struct("line_no", "new")))), lambda x: x["new"]), "\n").alias("text"), F.bool_or("cut").alias("looped")
-    )
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|\n|\r")
+
+    def of_line(line: Column, i: Column) -> Column:
+        return F.transform(tx.sentences(line), lambda x: F.struct(i.alias("line_no"), x.alias("sentence"), F.lower(tx.collapse(x)).alias("form")))
+
+    parts = pages.select(F.col(key).alias("key"), F.flatten(F.transform(lines, of_line)).alias("parts"))
+    by_form = F.array_sort(F.transform("parts", lambda x, i: F.struct(F.when(F.length(x["form"]) >= min_chars, x["form"]).alias("form"), i.alias("place"), x["line_no"].alias("line_no"), x["sentence"].alias("sentence"), (x["form"] == "").alias("blank"))))
+    parts = parts.select("key", by_form.alias("parts"))
+
+    def marked(x: Column, i: Column) -> Column:
+        again = F.coalesce(x["form"] == F.get("parts", i - 1)["form"], F.lit(False))
+        return F.struct(x["place"].alias("place"), x["line_no"].alias("line_no"), x["sentence"].alias("sentence"), again.alias("again"), x["blank"].alias("blank"))
+
+    parts = parts.select("key", F.array_sort(F.transform("parts", marked)).alias("parts"))
+    parts = parts.select("key", F.exists("parts", lambda x: x["again"]).alias("looped"), F.filter("parts", lambda x: ~x["again"] | x["blank"]).alias("kept"))
+
+    def joined(x: Column, i: Column) -> Column:
+        gap = F.when(i == 0, "").when(x["line_no"] == F.get("kept", i - 1)["line_no"], " ").otherwise("\n")
+        return F.concat(gap, x["sentence"])
+
+    whole = F.array_join(F.transform("kept", joined), "")
+    # White space at the ends of lines; a run is tried once, from its beginning.
+    ended = F.regexp_replace(whole, r"(?<![ \t\x0B\f])[ \t\x0B\f]+(?=\n|\z)", "")
+    return parts.select("key", ended.alias("text"), "looped")
 
 
 def _sections(text: str) -> list[tuple[str, int, list[str]]]:

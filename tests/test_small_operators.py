@@ -42,6 +42,14 @@ def test_brief_measures_the_value_as_given(spark):
     assert found["short"] == "a" * 68 + " ⏎ b" and found["long"] == "a" * 68 + " …"
 
 
+def test_repeats_are_dropped_within_a_row(spark):
+    long, other = "This sentence has more than forty characters in it.", "Another one that has more than forty characters too!"
+    pages = [(1, f"{long} Yes. {long.upper()}\r\n\n{other}\t \n  {other}\n \nYes. {other}  Yes."), (2, None), (3, f"{long}\n{other}")]
+    found = chunking.drop_repeats(spark.createDataFrame(pages, "id int, text string"), "id")
+    assert values(found, "key", "text", "looped") == [(1, f"{long} Yes.\n\n{other}\n\nYes. Yes.", True), (2, "", False), (3, f"{long}\n{other}", False)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_greedy_batches_by_brute_force(spark):
     draw = random.Random(5)
     rows = [(g, i, draw.choice([0, 1, 40, 99, 250, None]), {"a": g}) for g in ("p", "q", None) for i in range(200)]
