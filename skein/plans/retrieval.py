@@ -1,7 +1,7 @@
 """Retrieval types: how lists of dense and BM25 hits become an answer, for many queries at once.
 
 ``queries`` is (qid, text), ``passages`` (id, text, vec) and ``encode`` adds ``vec`` to (qid, text).
-Thresholds branch inside the plan, by query, so a batch costs no extra job.
+Thresholds branch inside the plan, by query. Lists that several branches read (a few rows a query) are made once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as tx
 from skein.operators import bm25, dense, entity_graph, fusion
+from skein.plans.lineage import cut
 
 CANDIDATES = 25
 GRAPH_SEEDS = 8
@@ -70,9 +71,9 @@ class Searcher:
 
     def _agentic(self, queries: DataFrame, k: int) -> DataFrame:
         """Long queries take BM25 along; where the best dense score is low, a wider query joins in."""
-        found = self._list_dense(queries)
+        found = cut(self._list_dense(queries))
         long = queries.where(F.size(tx.tokens(F.col("text"))) > LONG_QUERY)
-        first = fusion.fuse([found, self._list_bm25(long)], k)
+        first = cut(fusion.fuse([found, self._list_bm25(long)], k))
         strong = found.where((F.col("rank") == 1) & (F.col("score") >= RETRY_BELOW)).select("qid")
         weak = queries.join(strong, "qid", "left_anti").withColumn("text", F.concat("text", F.lit(WIDER)))
         again = fusion.fuse([first.join(strong, "qid", "left_anti"), self._list_dense(weak)], k)
@@ -80,7 +81,7 @@ class Searcher:
 
     def _corrective(self, queries: DataFrame, k: int) -> DataFrame:
         """Dense hits where the best is good enough, and fusion with BM25 elsewhere."""
-        found = self._list_dense(queries)
+        found = cut(self._list_dense(queries))
         good = found.where((F.col("rank") == 1) & (F.col("score") >= CORRECT_FROM)).select("qid")
         poor = queries.join(good, "qid", "left_anti")
         fused = fusion.fuse([found.join(good, "qid", "left_anti"), self._list_bm25(poor)], k)
