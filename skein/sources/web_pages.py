@@ -15,7 +15,7 @@ from __future__ import annotations
 import codecs
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +28,9 @@ MAX_BYTES = 2 * 1024 * 1024
 REFUSED = (401, 403, 429, 503)
 LITTLE_TEXT, LARGE_PAGE = 200, 5000
 SCHEMA = "title string, text string, n_bytes long, truncated boolean, reason string"
+FIELDS = {"title": pa.string(), "text": pa.string(), "n_bytes": pa.int64(), "truncated": pa.bool_(), "reason": pa.string()}
+#: Pages that a task reads at once, however many come in a batch.
+PAGES = 64
 PAGE_KINDS = ("text/html", "application/xhtml+xml")
 
 
@@ -67,12 +70,13 @@ def scan(pages: DataFrame, form: str = "markdown", max_bytes: int = MAX_BYTES) -
     name = F.lower(F.trim(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
     kind = F.when(name == "", "unknown").otherwise(name)
 
-    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [_page(*row, form, max_bytes) for row in zip(*part, strict=True)]
-            yield pd.DataFrame(rows, columns=["title", "text", "n_bytes", "truncated", "reason"])
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for start in range(0, len(batch[0]), PAGES):
+                rows = [_page(*row, form, max_bytes) for row in zip(*(x.slice(start, PAGES).to_pylist() for x in batch), strict=True)]
+                yield pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), FIELDS.values(), strict=True)], names=list(FIELDS))
 
-    page = F.pandas_udf(run, SCHEMA)(F.col("url"), F.col("content"), kind, tx.charset(F.col("content_type")), F.coalesce("status", F.lit(200)))
+    page = F.arrow_udf(run, SCHEMA)(F.col("url"), F.col("content"), kind, tx.charset(F.col("content_type")), F.coalesce("status", F.lit(200)))
     return pages.select("url", kind.alias("kind"), page.alias("page")).select("url", "kind", "page.*")
 
 

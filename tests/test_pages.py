@@ -177,3 +177,12 @@ def test_multimodal_search_reads_the_index(spark):
     searcher = retrieval.Searcher(vectors(passages), vectors, images=index.images(), encode_image_query=seen)
     hits = searcher.search(spark.createDataFrame([(1, "a dog")], "qid long, text string"), "multimodal", 2).orderBy("rank").collect()
     assert [r["id"] for r in hits] == [1, 2] and hits[0]["score"] > hits[1]["score"]  # the first in both lists
+
+
+def test_pages_are_scanned_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(web_pages, "PAGES", 2)
+    pages = [(str(i), f"<p>é{i}</p>".encode() if i != 3 else None, "text/html" if i != 4 else "image/png", 403 if i == 5 else None) for i in range(7)]
+    found = web_pages.scan(spark.createDataFrame(pages, "url string, content binary, content_type string, status int").coalesce(1), "html")
+    text = lambda i: {3: "", 4: "(image/png, 10 bytes - not text, not shown)", 5: None}.get(i, f"<p>é{i}</p>")
+    want = [(str(i), text(i), 0 if i == 3 else 10) for i in range(7)]
+    assert sorted((r["url"], r["text"], r["n_bytes"]) for r in found.collect()) == want
