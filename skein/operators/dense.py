@@ -13,13 +13,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
 from skein.operators.bm25 import ranked
+from skein.plans.lineage import cut
 
 BLOCK = 4096
+#: Queries of a block that are scored at once, and queries up to which their blocks are sent to those of the corpus.
+AT_ONCE, BROADCAST_QUERIES = 128, 4 * BLOCK
+#: Texts that are embedded at once by their words.
+TEXTS = 512
 
 
 def _packed(df: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
@@ -30,7 +36,7 @@ def _packed(df: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
                 values = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype("<f4")
-                columns = [pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([values.tobytes()], pa.binary()), pa.array([len(values) // part.num_rows], pa.int32())]
+                columns = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id")), pa.array([values.tobytes()], pa.binary()), pa.array([len(values) // part.num_rows], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"{prefix}_ids", f"{prefix}_vectors", f"{prefix}_width"])
 
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).where("id is not null and size(vector) > 0")
@@ -42,18 +48,27 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_vector: str = "v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["q_width"] != row["c_width"]:
+            for i in range(batch.num_rows):
+                widths = batch.column("q_width")[i].as_py(), batch.column("c_width")[i].as_py()
+                if widths[0] != widths[1]:
                     raise ValueError("queries and corpus have vectors of different lengths")
-                unpack = lambda name, row=row: np.frombuffer(row[f"{name}_vectors"], "<f4").reshape(-1, row[f"{name}_width"]).astype(np.float64)
-                scores = np.round(unpack("q") @ unpack("c").T, 6)
-                ids, take = np.array(row["c_ids"]), min(k, len(row["c_ids"]))
-                order = np.argsort(ids, kind="stable")
-                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :take]]
-                columns = [pa.array(np.repeat(row["q_ids"], take)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())]
-                yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "score"])
-
-    blocks = _packed(queries, "qid", query_vector, "q").crossJoin(_packed(corpus, "id", corpus_vector, "c"))
+                unpack = lambda name, i=i, width=widths[0]: np.frombuffer(batch.column(f"{name}_vectors")[i].as_buffer(), "<f4").reshape(-1, width).astype(np.float64)  # noqa: B023, E731
+                qids, ids = (batch.column(f"{name}_ids")[i].values for name in "qc")
+                order = np.argsort(ids.to_numpy(), kind="stable")
+                ids, known, asked = ids.to_numpy()[order], unpack("c")[order].T, unpack("q")
+                take = min(k, len(ids))
+                for start in range(0, len(asked), AT_ONCE):
+                    scores = np.round(asked[start : start + AT_ONCE] @ known, 6)
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :take]
+                    found = qids.slice(start, len(scores)).to_numpy()
+                    columns = [pa.array(np.repeat(found, take)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "score"])
+
+    # Full blocks of queries, and as few as there can be: each meets every block of the corpus.
+    asked = cut(queries.select("qid", query_vector))
+    n = asked.count()
+    asked, known = _packed(asked.repartition(n // BLOCK + 1), "qid", query_vector, "q"), _packed(corpus, "id", corpus_vector, "c")
+    blocks = known.crossJoin(F.broadcast(asked)) if n <= BROADCAST_QUERIES else cut(known).crossJoin(cut(asked))
     return ranked(blocks.mapInArrow(run, "qid long, id long, score double"), k).select("qid", "rank", "id", "score")
 
 

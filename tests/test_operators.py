@@ -96,6 +96,22 @@ def test_bm25_blocks_agree_with_postings(spark, monkeypatch, profile):
     assert listed(bm25.search(queries, docs, 4, profile)) == listed(bm25.search(queries, docs, 4, profile, built))
 
 
+def test_dense_blocks_by_brute_force(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    vectors = draw.integers(-3, 4, (90, 5)).astype(np.float32)
+    corpus = spark.createDataFrame([(i * 7 % 90, vectors[i * 7 % 90].tolist()) for i in range(90)], "id long, vec array<float>").repartition(3)
+    queries = corpus.where("id % 4 = 0").withColumnRenamed("id", "qid").repartition(5)
+    want = [(q, r + 1, int(i)) for q in range(0, 90, 4) for r, i in enumerate(np.lexsort((np.arange(90), -(vectors @ vectors[q])))[:6])]
+    for block, few in ((4096, 100), (8, 100), (8, 3)):
+        monkeypatch.setattr(dense, "BLOCK", block)
+        monkeypatch.setattr(dense, "AT_ONCE", 3)
+        monkeypatch.setattr(dense, "BROADCAST_QUERIES", few)
+        found = dense.search(queries, corpus, 6)
+        # A few queries do not read the corpus again for each of their partitions.
+        assert ("CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()) == (few == 3)
+        assert sorted((r["qid"], r["rank"], r["id"]) for r in found.collect()) == want
+
+
 def test_fusion(spark):
     lists = [spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(ids)], "qid long, rank int, id long") for ids in ([1, 2, 3], [3, 1, 9])]
     assert [r["id"] for r in fusion.fuse(lists, 2).orderBy("rank").collect()] == [1, 3]
