@@ -82,20 +82,23 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> Data
 def hash_embed(df: DataFrame, text: str = "text", dim: int = 256, out: str = "vec") -> DataFrame:
     """``df`` with a lexical stand-in for an embedding: words counted by CRC-32 bucket, unit length.
 
-    A text without words, or a null one, has the zero vector. A batch of texts is counted at once.
+    A text without words, or a null one, has the zero vector. TEXTS of them are counted at once, however many come in a batch.
     """
     words = tx.tokens(F.coalesce(F.col(text), F.lit("")))
     buckets = F.transform(words, lambda w: (F.crc32(w) % dim).cast("int"))
 
-    def fold(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in series:
-            sizes = part.map(len).to_numpy()
-            cells = np.concatenate([*part, np.zeros(0, np.int64)]).astype(np.int64) + np.repeat(np.arange(len(part)) * dim, sizes)
-            counts = np.bincount(cells, minlength=len(part) * dim).reshape(len(part), dim).astype(np.float32)
-            norms = np.linalg.norm(counts, axis=1, keepdims=True)
-            yield pd.Series(list(counts / np.where(norms > 0, norms, 1)))
-
-    return df.withColumn(out, F.pandas_udf(fold, "array<float>")(buckets))
+    def fold(series: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in series:
+            for start in range(0, len(batch), TEXTS):
+                part = batch.slice(start, TEXTS)
+                sizes = pc.list_value_length(part).to_numpy(zero_copy_only=False)
+                cells = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(np.arange(len(part)) * dim, sizes)
+                counts = np.bincount(cells, minlength=len(part) * dim).reshape(len(part), dim).astype(np.float32)
+                norms = np.linalg.norm(counts, axis=1, keepdims=True)
+                vectors = (counts / np.where(norms > 0, norms, 1)).astype(np.float32)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * dim, pa.int32()), pa.array(vectors.ravel()))
+
+    return df.withColumn(out, F.arrow_udf(fold, "array<float>")(buckets))
 
 
 def encode(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "text", out: str = "vec") -> DataFrame:

@@ -36,6 +36,13 @@ def test_hash_embedding_counts_words(spark):
         assert np.allclose(got[number], want / (np.linalg.norm(want) or 1), atol=1e-6)
 
 
+def test_hash_embedding_counts_a_few_texts_at_a_time(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "ab cd " * i + f"w{i}") for i in range(5)] + [(5, None)], "id int, text string").coalesce(1)
+    whole = values(dense.hash_embed(texts), "id", "vec")
+    monkeypatch.setattr(dense, "TEXTS", 2)
+    assert values(dense.hash_embed(texts), "id", "vec") == whole
+
+
 def test_brief_measures_the_value_as_given(spark):
     lines = "a" * 68 + "\n" + "b"
     found = one(spark, short=tx.brief(F.lit(lines)), long=tx.brief(F.lit(lines + "c")))
