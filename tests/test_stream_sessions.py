@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skein.operators import trace
+from skein.plans import catalog
 from skein.streaming import sessions
 
 SCHEMA = "session string, at long, ts timestamp, tool string, scope string, rule string, reply string, note string"
@@ -59,3 +61,69 @@ def test_same_as_in_one_batch(spark, sf_dir, tmp_path):
     found = sessions.land(sessions.follow(stream)).where("kind = 'step'").select("session", "at", "decision", "repeats")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sessions.decisions(rows).collect()))
     assert found.count() == rows.count()
+
+
+class Counted:
+    """A state variable that counts how often it is asked."""
+
+    def __init__(self, value=None):
+        self.value, self.asked, self.map = value, 0, {}
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def containsKey(self, key):  # noqa: N802
+        self.asked += 1
+        return key in self.map
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+
+class Timers:
+    def __init__(self):
+        self.at = []
+
+    def getValueState(self, *_):  # noqa: N802
+        return Counted()
+
+    getMapState = getValueState  # noqa: N815
+
+    def getListState(self, *_):  # noqa: N802
+        return Counted([])
+
+    def registerTimer(self, at):  # noqa: N802
+        self.at.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.at.remove(at)
+
+
+def test_state_is_asked_once_for_each_approval():
+    run = sessions.Sessions()
+    run.init(Timers())
+    step = Row(*sessions.STEP)
+    rows = [step(*r) for r in steps("a", 0, *[("sh", "git", "ask", "no"), ("sh", "git", "ask", "always")] * 20)]
+    assert [r["decision"] for r in run.handleInputRows(("a",), iter(rows[::-1]), None)] == ["ask_no", "ask_always", *["allow"] * 38]
+    assert (run.last.asked, run.history.asked, run.approved.asked) == (1, 0, 0)
+    later = [step(*r) for r in steps("a", 40, *[("sh", "git", "ask", "no"), ("sh", "rm", "ask", "no")] * 20)]
+    assert [r["decision"] for r in run.handleInputRows(("a",), iter(later), None)] == ["allow", "ask_no"] * 20
+    assert (run.last.asked, run.history.asked, run.approved.asked) == (2, 1, 2) and len(run.handle.at) == 1
+    assert run.history.value == [(f"{i}. sh",) for i in range(80 - trace.HISTORY, 80)]
+
+
+def test_approvals_do_not_depend_on_the_number_of_files(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.orderBy(F.xxhash64("event_id")).repartition(130).write.parquet(str(tmp_path / "events.parquet"))
+    query = catalog.QUERIES["stream_approvals"]
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(map(tuple, query(spark, sf_dir).collect()))
